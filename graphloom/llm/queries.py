@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, simhash, token_store, topk, url_filter
+from graphloom.llm import decontaminate, packing, pii, simhash, token_store, topk, url_filter
 from graphloom.llm.common import table
 
 URL_RULES = [
@@ -16,6 +16,9 @@ URL_RULES = [
     url_filter.Rule("org/fr/", "allow"),
 ]
 
+#: Stands for the secret that a real run takes from its key store.
+PII_KEY = b"graphloom test tables"
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -40,6 +43,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_token_store": op5_token_store,
+    "op7_pii": op7_pii,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
 }
