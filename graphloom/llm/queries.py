@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, pii, simhash, token_store, topk, url_filter
+from graphloom.llm import decontaminate, packing, pii, simhash, token_store, topk, toxicity, url_filter
 from graphloom.llm.common import table
 
 URL_RULES = [
@@ -43,6 +43,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_token_store": op5_token_store,
+    "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,7 +62,8 @@ LOWERED[0x41:0x5B] += 32
 
 @dataclass
 class Words:
-    """Words of texts ``row``..: text i has words[bounds[i]:bounds[i+1]], word j is data[starts[j]:ends[j]]."""
+    """Words of texts ``row``..: text i is data[texts[i]:texts[i+1]] and has words[bounds[i]:bounds[i+1]],
+    word j is data[starts[j]:ends[j]]."""
 
     row: int
     data: np.ndarray
@@ -70,18 +71,20 @@ class Words:
     ends: np.ndarray
     bounds: np.ndarray
     hashes: np.ndarray
+    texts: np.ndarray
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
 
-def words_of(column: pa.Array, separators: np.ndarray, lower: bool = False, most: int = 4 << 20) -> Iterator[Words]:
-    """The words of a text column, about ``most`` bytes of text at a time."""
+def words_of(column: pa.Array, separators: np.ndarray, lower: bool = False, most: int = 4 << 20, clean: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Words]:
+    """The words of a text column, about ``most`` bytes of text at a time; ``clean`` changes the bytes first."""
     offsets, raw = text_bytes(column)
     for i, j in slices(offsets, most):
         at = offsets[i : j + 1] - offsets[i]
         data = raw[offsets[i] : offsets[j]]
         data = LOWERED[data] if lower else data
+        data = clean(data) if clean else data
         apart = separators[data]
         n = len(data)
         begins, stops = np.empty(n, bool), np.empty(n, bool)
@@ -94,7 +97,7 @@ def words_of(column: pa.Array, separators: np.ndarray, lower: bool = False, most
             stops &= ~apart
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         sums = prefix_sums(data.astype(np.uint64) + np.uint64(0x51))
-        yield Words(i, data, starts, ends, np.searchsorted(starts, at), range_hash(sums, starts, ends))
+        yield Words(i, data, starts, ends, np.searchsorted(starts, at), range_hash(sums, starts, ends), at)
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
