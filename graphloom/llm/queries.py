@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, pii, simhash, token_store, topk, toxicity, url_filter
+from graphloom.llm import decontaminate, packing, pii, simhash, substring_bytes, substring_words, token_store, topk, toxicity, url_filter
 from graphloom.llm.common import table
 
 URL_RULES = [
@@ -26,6 +26,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_bytes.repeated_substrings(table(spark, sf_dir, "documents"), 50)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("hits", "items")
@@ -51,6 +55,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_words.repeated_passages(table(spark, sf_dir, "documents"), 35).drop("spans")
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
@@ -61,12 +69,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
 }
