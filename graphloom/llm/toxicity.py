@@ -339,3 +339,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """doc_id, held_out, score, predicted, hits for every document (repeated rows stay repeated)."""
     scored = score(docs, fit(docs, labels, sample))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "hits")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns as they are; no shuffle."""
+    terms = docs.sparkSession.sparkContext.broadcast(model.terms)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = TermAutomaton(terms.value)
+        for b in batches:
+            x = np.zeros((b.num_rows, FEATURES))
+            for w in words_of(b.column("text"), LETTERS, clean=folded):
+                x[w.row : w.row + len(w)] = features(w, automaton.match(w))
+            yield b.filter(pa.array(model.score(x) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
