@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from graphloom.plans import graph_queries
+
+MODULES = [graph_queries]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for m in MODULES for n, f in m.QUERIES.items()}
+ORACLE: dict[str, str] = {n: s for m in MODULES for n, s in m.ORACLE.items()}
