@@ -105,19 +105,18 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
-            ids_of, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for i in range(0, len(ids_of), 500):
-                rows = []
-                for doc_id, ids in zip(ids_of[i : i + 500], enc.encode(texts.slice(i, 500).to_pylist()), strict=True):
-                    ids += end
-                    n, start, piece = len(ids) // 4, 0, 0
-                    size = n % capacity or capacity
+            doc_ids = b.column("doc_id").to_pylist()
+            for row, flat, bounds in enc.encode(b.column("text")):
+                rows, raw, at = [], flat.astype("<u4", copy=False).tobytes(), (4 * bounds).tolist()
+                for k in range(len(at) - 1):
+                    ids, n = raw[at[k] : at[k + 1]] + end, (at[k + 1] - at[k]) // 4 + 1
+                    start, piece, size = 0, 0, n % capacity or capacity
                     while start < n:
                         part = ids[4 * start : 4 * (start + size)]
-                        rows.append((doc_id, piece, start, size, zlib.crc32(part), part)[: 5 + with_ids])
+                        rows.append((doc_ids[row + k], piece, start, size, zlib.crc32(part), part)[: 5 + with_ids])
                         start, piece, size = start + size, piece + 1, capacity
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=[c.split()[0] for c in columns.split(", ")])
 
     return only(docs, "doc_id", "text").mapInArrow(cut, columns)
@@ -135,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     spark = docs.sparkSession
     cut = pieces(docs, tokenizer, end_id, capacity, with_ids)
     dealt = cut.repartitionByRange(partitions(spark), "length", "doc_id", "piece").withColumn("part", F.spark_partition_id())
-    dealt = written(dealt, "pieces")
+    dealt = written(dealt, "dealt-pieces")
     sizes = dealt.groupBy("length", "part").count()
     base = sizes.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count"))
     counts = {int(r["length"]): int(r["n"]) for r in sizes.groupBy("length").agg(F.sum("count").alias("n")).collect()}

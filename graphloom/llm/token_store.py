@@ -39,22 +39,27 @@ def shuffle_planes(ids: np.ndarray, compressor: zstandard.ZstdCompressor) -> tup
     padded = np.zeros(-(-len(ids) // 8) * 8, "<u4")
     padded[: len(ids)] = ids
     planes, sizes = [], []
-    for j in range(32):
-        bits = (padded >> np.uint32(j)).astype(np.uint8) & 1
-        packed = compressor.compress(np.packbits(bits, bitorder="little").tobytes()) if bits.any() else b""
-        planes.append(packed)
-        sizes.append(len(packed))
+    for byte in padded.view(np.uint8).reshape(-1, 4).T:  # eight planes from each byte of the ids
+        bits = np.unpackbits(np.ascontiguousarray(byte)[:, None], axis=1, bitorder="little").T if byte.any() else np.zeros((8, 0), np.uint8)
+        for plane in bits:
+            packed = compressor.compress(np.packbits(plane, bitorder="little").tobytes()) if plane.any() else b""
+            planes.append(packed)
+            sizes.append(len(packed))
     return b"".join(planes), sizes
 
 
 def unshuffle_planes(payload: bytes, n_ids: int, sizes: list[int], decompressor: zstandard.ZstdDecompressor) -> np.ndarray:
-    out, at = np.zeros(-(-n_ids // 8) * 8, "<u4"), 0
-    for j, size in enumerate(sizes):
-        if size:
-            bits = np.unpackbits(np.frombuffer(decompressor.decompress(payload[at : at + size]), np.uint8), bitorder="little")
-            out |= bits.astype("<u4") << np.uint32(j)
-            at += size
-    return out[:n_ids]
+    n, at = -(-n_ids // 8) * 8, 0
+    out = np.zeros((n, 4), np.uint8)
+    for byte in range(4):
+        bits = np.zeros((8, n), np.uint8)
+        for j in range(8):
+            if size := sizes[8 * byte + j]:
+                bits[j] = np.unpackbits(np.frombuffer(decompressor.decompress(payload[at : at + size]), np.uint8), bitorder="little")
+                at += size
+        if any(sizes[8 * byte : 8 * byte + 8]):
+            out[:, byte] = np.packbits(bits.T, axis=1, bitorder="little")[:, 0]
+    return out.view("<u4")[:n_ids, 0]
 
 
 def encode_segment(ids: bytes) -> tuple[list[dict], bytes]:
@@ -100,12 +105,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         size = 0
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for i in range(0, len(names), 200):
-                for doc_id, ids in zip(names[i : i + 200], enc.encode(texts.slice(i, 200).to_pylist()), strict=True):
-                    held.append(ids + end)
-                    doc_ids.append(doc_id)
-                    n_tokens.append(len(ids) // 4 + 1)
+            names = b.column("doc_id").to_pylist()
+            for row, flat, bounds in enc.encode(b.column("text")):
+                raw, at = flat.astype("<u4", copy=False).tobytes(), (4 * bounds).tolist()
+                for k in range(len(at) - 1):
+                    held.append(raw[at[k] : at[k + 1]] + end)
+                    doc_ids.append(names[row + k])
+                    n_tokens.append(len(held[-1]) // 4)
                     size += n_tokens[-1]
                     if size >= SEGMENT:
                         yield close()

@@ -1,25 +1,33 @@
-"""Exact, cached encoding with a public tokenizer file.
+"""Exact, cached encoding with a public tokenizer file, many texts at a time.
 
 A text is cut at single spaces that stand between two non-space characters.  The pre-tokenizers
 of both vocabularies always start a new piece there, so the ids of a text are the ids of its
-pieces, one after the other, and each distinct piece is encoded once a worker.  Texts where that
-doesn't hold (runs of white space next to a space, special-token strings) are encoded whole.
+pieces, one after the other.  Pieces are hashed as arrays; each distinct one is encoded once a
+worker, and its ids are gathered from one flat array.  Texts where the cut doesn't hold (runs of
+white space next to a space, special-token strings) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from graphloom.llm.words import Words, words_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct pieces that a worker keeps; beyond that it starts anew.
-MOST_PIECES = 600_000
+#: Distinct pieces that a worker keeps (some 30 bytes each); beyond that it starts anew.
+MOST_PIECES = 4_000_000
+BLANK = np.zeros(256, bool)
+BLANK[0x20] = True
+FIRST = np.uint64(0x5DEECE66D1234567)
 
 
-class Encoder(dict):
-    """piece -> its ids as little-endian uint32 bytes, or None if it can't stand alone."""
+class Encoder:
+    """A vocabulary with the ids of all pieces seen so far, by the pieces' hashes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -27,50 +35,87 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         #: Does a piece keep the space before it?
         self.spaced = self.tokenizer.normalizer is None
-
-    def _store(self, pieces: list[str]) -> None:
-        alone = []
-        for p in pieces:
-            if not p or p[0].isspace() or p[-1].isspace() or "<|" in p:
-                self[p] = None
-            else:
-                alone.append(p)
-        inputs = [" " + p for p in alone] if self.spaced else alone
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False), strict=True):
-            self[p] = np.asarray(e.ids, "<u4").tobytes()
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian uint32 bytes; null and empty texts have none."""
-        if len(self) > MOST_PIECES:
-            self.clear()
-        cut, new = [], set()
-        for t in texts:
-            pieces = (t or "").split(" ")
-            cut.append(pieces)
-            new.update(pieces[1:] if self.spaced else pieces)
-        new.difference_update(self.keys())
-        if new:
-            self._store(list(new))
-        out = []
-        for t, pieces in zip(texts, cut, strict=True):
-            if not t:
-                out.append(b"")
-                continue
-            first = pieces[0]
-            if not first or first[0].isspace() or first[-1].isspace() or "<|" in first:
-                out.append(self.whole(t))
-                continue
-            try:
-                if self.spaced:  # the first piece has no space before it
-                    out.append(self.whole(first) + b"".join(map(self.__getitem__, pieces[1:])))
-                else:
-                    out.append(b"".join(map(self.__getitem__, pieces)))
-            except TypeError:  # a None among them
-                out.append(self.whole(t))
-        return out
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = np.zeros(0, np.uint64)  # sorted
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)  # size -1: can't stand alone
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str], first: np.ndarray) -> None:
+        """Adds pieces (hashes sorted and new)."""
+        if len(self.known) + len(hashes) > MOST_PIECES:
+            self._clear()
+        alone = [not (p[0].isspace() or p[-1].isspace() or "<|" in p) for p in pieces]
+        inputs = [" " + p if self.spaced and not f else p for p, a, f in zip(pieces, alone, first.tolist(), strict=True) if a]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False)]
+        size = np.full(len(pieces), -1, np.int32)
+        size[np.array(alone, bool)] = np.array([len(x) for x in encoded], np.int32)
+        at = self.used + np.concatenate([[0], np.cumsum(np.maximum(size, 0))[:-1]]).astype(np.int64)
+        flat = np.fromiter((i for x in encoded for i in x), np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        where = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.size = np.insert(self.known, where, hashes), np.insert(self.at, where, at), np.insert(self.size, where, size)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _pieces(self, w: Words) -> np.ndarray:
+        """The place in the table of every piece."""
+        h = w.hashes
+        if self.spaced:
+            h = h.copy()
+            leading = w.bounds[:-1][w.bounds[:-1] < w.bounds[1:]]
+            h[leading] ^= FIRST
+        distinct, sample, inverse = np.unique(h, return_index=True, return_inverse=True)
+        i = np.searchsorted(self.known, distinct)
+        found = i < len(self.known)
+        found[found] = self.known[i[found]] == distinct[found]
+        if not found.all():
+            fresh = sample[~found]
+            raw, first = w.data.tobytes(), np.zeros(len(h), bool)
+            if self.spaced:
+                first[leading] = True
+            pieces = [raw[s:e].decode() for s, e in zip(w.starts[fresh].tolist(), w.ends[fresh].tolist(), strict=True)]
+            before = len(self.known)
+            self._learn(distinct[~found], pieces, first[fresh])
+            if len(self.known) < before + len(fresh):  # started anew
+                return self._pieces(w)
+            i = np.searchsorted(self.known, distinct)
+        return i[inverse]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids of some texts one after the other, bounds of each text's ids); null texts have none."""
+        for w in words_of(column, BLANK):
+            n = len(w)
+            place = self._pieces(w) if len(w.starts) else np.zeros(0, np.int64)
+            size = self.size[place]
+            odd = np.zeros(n, bool)
+            row = np.repeat(np.arange(n), np.diff(w.bounds))
+            odd[row[size < 0]] = True
+            wide = np.flatnonzero(w.starts[1:] - w.ends[:-1] != 1) + 1
+            wide = wide[row[wide] == row[wide - 1]] if len(wide) else wide
+            odd[row[wide]] = True
+            # a space at either end, or nothing but spaces
+            length = np.diff(w.texts)
+            some = w.bounds[:-1] < w.bounds[1:]
+            odd |= ~some & (length > 0)
+            k = np.flatnonzero(some)
+            odd[k] |= (w.starts[w.bounds[k]] != w.texts[k]) | (w.ends[w.bounds[k + 1] - 1] != w.texts[k + 1])
+            size = np.where(odd[row], 0, size)
+            total = np.concatenate([[0], np.cumsum(size)])
+            flat = self.ids[np.repeat(self.at[place] - total[:-1], size) + np.arange(total[-1])]
+            bounds = total[w.bounds]
+            if odd.any():
+                parts, raw = [], w.data.tobytes()
+                for t in range(n):
+                    parts.append(self.whole(raw[w.texts[t] : w.texts[t + 1]].decode()) if odd[t] else flat[bounds[t] : bounds[t + 1]])
+                bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+                flat = np.concatenate(parts)
+            yield w.row, flat, bounds
 
 
 _ENCODERS: dict[str, Encoder] = {}

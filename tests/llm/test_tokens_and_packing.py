@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import packing, token_store
@@ -28,7 +29,11 @@ def test_cached_encoding_is_exact(path):
     rng = random.Random(5)
     parts = ["a", "The", "word", "it's", "'s", " ", "  ", "\n", "\t", " ", "\x1c", "é", "é", "́", "12", "3.4", "<|endoftext|>", "<|", "ﬁ", "İ", "ß", "😀", "!?", "-"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + TEXTS
-    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)]
+    encoder, got = Encoder(path), []
+    for part in (texts, texts[::-1]):
+        for _, flat, bounds in encoder.encode(pa.array(part)):
+            got += [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    texts = texts + texts[::-1]
     assert got == [x[:-1] for x in plain(path, texts, 0)]
 
 
