@@ -143,4 +143,6 @@ def clause_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duck(query: str, **ctes: str) -> str:
     """``query`` after the given common table expressions."""
-    return "WITH " + ",\n".join(f"{n} AS ({s.strip()})" for n, s in ctes.items()) + "\n" + query.strip()
+    query = query.strip()
+    more = query.startswith("WITH ")  # the query brings expressions of its own
+    return "WITH " + ",\n".join(f"{n} AS ({s.strip()})" for n, s in ctes.items()) + (",\n" if more else "\n") + query[5 * more :]
