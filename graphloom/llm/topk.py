@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import written
 
 #: Vectors in a block of queries and of candidates, and pivots.
-QUERY_BLOCK, CANDIDATE_BLOCK, PIVOTS = 1024, 8192, 32
+QUERY_BLOCK, CANDIDATE_BLOCK, PIVOTS = 1024, 8192, 16
 #: Candidate blocks a task; vectors from which pivots are chosen.
 GROUP, SAMPLE = 2, 4096
-#: Candidates that are evaluated together, in bound order.
+#: Candidates evaluated first, in bound order; each further step is four times as large.
 STEP = 256
 
 
@@ -77,33 +77,40 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, to_pivots: np.ndarray, pivots: np.ndarray, best: list, k: int) -> int:
     """Merges a candidate block into ``best`` (per query: scores and ids, best first); returns evaluations.
 
-    The bound is taken a little high to make up for rounding of the distances.
+    The bound is taken a little high to make up for rounding.
     """
-    evaluated, f = 0, x.astype(np.float64)
-    norms, q_to = (f * f).sum(1), distances(q, pivots)
-    exact = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2**52
+    evaluated = 0
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # in which sums are exact
+    f, own_q = x.astype(kind), q.astype(kind)
+    wide = x.astype(np.float64)
+    norms, q_norms, q_to = (wide * wide).sum(1), (q.astype(np.float64) ** 2).sum(1), distances(q, pivots)
+    # single precision: the slack makes up for its rounding
+    table, half = np.ascontiguousarray(to_pivots.T, np.float32), (norms / 2).astype(np.float32)
+    slack = np.float32(1e-5 * (1 + norms.max(initial=0) + q_norms.max(initial=0)))
     for i in range(len(q)):
-        low = np.abs(to_pivots - q_to[i]).max(1) if len(pivots) else np.zeros(len(x))
-        low = np.maximum(low - 1e-6 * (1 + q_to[i].max(initial=0) + low), 0)
-        v = q[i].astype(np.float64)
-        bound = (float(v @ v) + norms - low * low) / 2 + 1e-6 * (1 + norms)
+        low = np.zeros(len(x), np.float32)
+        for near, own in zip(table, q_to[i].astype(np.float32), strict=True):
+            np.maximum(low, np.abs(near - own), out=low)
+        bound = half - low * low / 2 + (np.float32(q_norms[i] / 2) + slack)
         scores, found = best[i]
-        floor = scores[-1] if len(scores) == k else None
-        if floor is None:
-            order = np.argsort(-bound, kind="stable")
-        else:
-            left = np.flatnonzero(bound >= floor)
-            order = left[np.argsort(-bound[left], kind="stable")]
-        for at in range(0, len(order), STEP):
-            part = order[at : at + STEP]
-            if len(scores) == k and bound[part[0]] < scores[-1]:
-                break
+        left = np.flatnonzero(bound >= scores[-1]) if len(scores) == k else np.arange(len(x))
+        order = left[np.argsort(-bound[left])]
+        at, step = 0, STEP
+        while at < len(order) and not (len(scores) == k and bound[order[at]] < scores[-1]):
+            part = order[at : at + step]
+            if len(scores) == k:
+                part = part[bound[part] >= scores[-1]]
             evaluated += len(part)
-            own = np.rint(f[part] @ v).astype(np.int64) if exact else x[part] @ q[i]
+            own = (f[part] @ own_q[i]).astype(np.int64)
             keep = ids[part] != q_ids[i]
-            s, c = np.concatenate([scores, own[keep]]), np.concatenate([found, ids[part][keep]])
-            top = np.lexsort((c, -s))[:k]
-            scores, found = s[top], c[top]
+            if len(scores) == k:
+                keep &= own >= scores[-1]
+            if keep.any():
+                s, c = np.concatenate([scores, own[keep]]), np.concatenate([found, ids[part][keep]])
+                top = np.lexsort((c, -s))[:k]
+                scores, found = s[top], c[top]
+            at, step = at + step, step * 4
         best[i] = (scores, found)
     return evaluated
 
