@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     length that a third of all documents share is spread over many tasks.
     """
     spark = docs.sparkSession
-    cut = pieces(docs, tokenizer, end_id, capacity, with_ids)
+    cut = written(pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")  # else finding the ranges would encode again
     dealt = cut.repartitionByRange(partitions(spark), "length", "doc_id", "piece").withColumn("part", F.spark_partition_id())
     dealt = written(dealt, "dealt-pieces")
     sizes = dealt.groupBy("length", "part").count()

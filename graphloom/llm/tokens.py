@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from graphloom.llm.words import Words, words_of
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that a worker keeps (some 30 bytes each); beyond that it starts anew.
-MOST_PIECES = 4_000_000
+MOST_PIECES = 1_500_000
+#: Bytes of text cut at once, and pieces encoded at once: each holds Python objects for a while.
+TEXT_BYTES, ENCODED = 1 << 20, 4096
 BLANK = np.zeros(256, bool)
 BLANK[0x20] = True
 FIRST = np.uint64(0x5DEECE66D1234567)
@@ -48,11 +51,15 @@ class Encoder:
             self._clear()
         alone = [not (p[0].isspace() or p[-1].isspace() or "<|" in p) for p in pieces]
         inputs = [" " + p if self.spaced and not f else p for p, a, f in zip(pieces, alone, first.tolist(), strict=True) if a]
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(inputs, add_special_tokens=False)]
+        lengths, values = [], [np.zeros(0, np.uint32)]
+        for i in range(0, len(inputs), ENCODED):
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(inputs[i : i + ENCODED], add_special_tokens=False)]
+            lengths += map(len, encoded)
+            values.append(np.fromiter(chain.from_iterable(encoded), np.uint32))
         size = np.full(len(pieces), -1, np.int32)
-        size[np.array(alone, bool)] = np.array([len(x) for x in encoded], np.int32)
+        size[np.array(alone, bool)] = np.array(lengths, np.int32)
         at = self.used + np.concatenate([[0], np.cumsum(np.maximum(size, 0))[:-1]]).astype(np.int64)
-        flat = np.fromiter((i for x in encoded for i in x), np.uint32)
+        flat = np.concatenate(values)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
@@ -89,7 +96,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some texts one after the other, bounds of each text's ids); null texts have none."""
-        for w in words_of(column, BLANK):
+        for w in words_of(column, BLANK, most=TEXT_BYTES):
             n = len(w)
             place = self._pieces(w) if len(w.starts) else np.zeros(0, np.int64)
             size = self.size[place]
