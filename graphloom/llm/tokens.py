@@ -21,9 +21,9 @@ from graphloom.llm.words import Words, words_of
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces that a worker keeps (some 30 bytes each); beyond that it starts anew.
-MOST_PIECES = 1_500_000
+MOST_PIECES = 1_200_000
 #: Bytes of text cut at once, and pieces encoded at once: each holds Python objects for a while.
-TEXT_BYTES, ENCODED = 1 << 20, 4096
+TEXT_BYTES, ENCODED = 1 << 19, 4096
 BLANK = np.zeros(256, bool)
 BLANK[0x20] = True
 FIRST = np.uint64(0x5DEECE66D1234567)

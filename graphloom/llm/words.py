@@ -77,7 +77,7 @@ class Words:
         return len(self.bounds) - 1
 
 
-def words_of(column: pa.Array, separators: np.ndarray, lower: bool = False, most: int = 4 << 20, clean: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Words]:
+def words_of(column: pa.Array, separators: np.ndarray, lower: bool = False, most: int = 1 << 19, clean: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Words]:
     """The words of a text column, about ``most`` bytes of text at a time; ``clean`` changes the bytes first."""
     offsets, raw = text_bytes(column)
     for i, j in slices(offsets, most):
