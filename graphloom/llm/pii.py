@@ -172,48 +172,105 @@ def access_key(key: bytes, text: str) -> str | None:
     return text[:4] + permute_symbols(key, "access", text[4:])
 
 
-#: kind, pattern, pseudonym or None where the value is not valid.  The first that fits at a place counts.
-KINDS: list[tuple[str, str, Callable[[bytes, str], str | None]]] = [
-    ("mail", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9À-ɏ][A-Za-z0-9À-ɏ._%+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", mail),
-    ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
-    ("hex_secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])", hexadecimal),
-    ("secret", r"(?<=password=)[^\s\"',;]{6,}", secret),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", account),
-    ("date_ymd", r"(?<![0-9A-Za-z.\-/])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z\-])", date("ymd")),
-    ("date_dmy", r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z\-])", date("dmy")),
-    ("date_mdy", r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z\-/])", date("mdy")),
-    ("ipv4", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", address),
-    ("ssn", r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])", social),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])", card),
-    ("telephone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])", telephone),
-    ("telephone", r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z])", telephone),
+#: Digits after the country code where all numbers of the country have as many.
+NATIONAL = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "91": 10}
+
+
+def whole(text: str) -> list[int]:
+    """The ends to be tried for a match, in order: here only its own."""
+    return [len(text)]
+
+
+def longest_first(text: str) -> list[int]:
+    """Its own end and those before a blank, as the next word may be no part of the value."""
+    return [len(text)] + [i for i in range(len(text) - 1, 0, -1) if text[i] == " "]
+
+
+def card_ends(text: str) -> list[int]:
+    """Its own end, then those before a separator, while no group is shorter than three digits (a list of small numbers is no card)."""
+    stop = next((m.start() for m in re.finditer("[0-9]+", text) if len(m[0]) < 3), len(text))
+    return [len(text)] + [i for i in range(min(stop, len(text) - 1), 0, -1) if text[i] in " -"]
+
+
+def telephone_ends(text: str) -> list[int]:
+    """The end that fits the country's length; else where, of ten digits or more, a blank follows groups that had other marks; then the longest."""
+    ends = longest_first(text)
+    country = re.match(r"\+([0-9]{1,3})(?=[ .(-])", text)
+    sure = [e for e in ends if country and len(only_digits(text[:e])) == len(country[1]) + NATIONAL.get(country[1], 99)]
+    marked = re.search(r"[0-9][.\-][0-9]", text[country.end() + 1 :] if country else text)
+    from_ = marked.start() + (country.end() + 1 if country else 0) if marked else len(text)
+    apart = [e for e in reversed(ends) if from_ < e and len(only_digits(text[:e])) >= 10]
+    return sure + apart + ends
+
+
+#: kind, pattern, pseudonym or None where the value is not valid, ends to try.  The first that is valid at a place counts.
+KINDS: list[tuple[str, str, Callable[[bytes, str], str | None], Callable[[str], list[int]]]] = [
+    ("mail", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9À-ɏ][A-Za-z0-9À-ɏ._%+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", mail, whole),
+    ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", access_key, whole),
+    ("hex_secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])", hexadecimal, whole),
+    ("secret", r"(?<=password=)[^\s\"',;]{6,}", secret, whole),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", account, longest_first),
+    ("date_ymd", r"(?<![0-9A-Za-z.\-/])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-SU-Za-z\-]|T(?![0-9]{2}))", date("ymd"), whole),
+    ("date_dmy", r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z\-])", date("dmy"), whole),
+    ("date_mdy", r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z\-/])", date("mdy"), whole),
+    ("date_dmy", r"(?<![0-9A-Za-z.\-/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z\-/])", date("dmy"), whole),
+    ("ipv4", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])", address, whole),
+    ("ssn", r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])", social, whole),
+    ("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{4,5}|[0-9]{4}-[0-9]{6}-[0-9]{4,5})(?![0-9A-Za-z])", card, whole),
+    ("telephone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])", telephone, telephone_ends),
+    ("telephone", r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9A-Za-z])", telephone, whole),
+    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])", card, card_ends),
 ]
+#: The last kind, a card in unusual groups, gives way to any other value that begins within it.
+UNUSUAL = len(KINDS) - 1
 #: One scan for all kinds; a place without a digit, an @ or one of the marks can't start a value.
-PATTERN = re.compile("|".join(f"({p})" for _, p, _ in KINDS))
+PATTERN = re.compile("|".join(f"({p})" for _, p, _, _ in KINDS))
+SINGLE = [re.compile(p) for _, p, _, _ in KINDS]
+TOKEN = re.compile("[0-9A-Za-z]+|.", re.DOTALL)
 MAY_HOLD = re.compile(r"[0-9@]|password=")
 
 
-def pseudonymize(text: str, key: bytes, known: dict[str, tuple[str, str] | None]) -> tuple[str, list[str]]:
-    """The text with pseudonyms and the kinds of the values replaced, in order."""
-    kinds: list[str] = []
+def pseudonymize(text: str, key: bytes, known: dict[tuple[int, str], str | None]) -> tuple[str, list[str]]:
+    """The text with pseudonyms and the kinds of the values replaced, in order.
 
-    def change(m: re.Match) -> str:
-        own = m[0]
-        if own not in known:
-            name, _, f = KINDS[m.lastindex - 1]
-            new = f(key, own)
-            if new is None and name == "card":  # of a list of numbers parted by blanks each may be valid
-                parts = re.split("([ ])", own)
-                if len(parts) > 1:
-                    changed = [card(key, p) or p for p in parts]
-                    new = "".join(changed) if changed != parts else None
-            known[own] = None if new is None else (new, name)
-        if known[own] is None:
-            return own
-        kinds.append(known[own][1])
-        return known[own][0]
+    Where no kind is valid at a place, neither whole nor up to an earlier end, the scan goes on at the next token.
+    """
+
+    def valid(kind: int, at: int) -> tuple[int, str] | None:
+        """(end, pseudonym) of the first valid end."""
+        m = SINGLE[kind].match(text, at)
+        for n in KINDS[kind][3](m[0]) if m else ():
+            own = m[0][:n]
+            if (kind, own) not in known:
+                known[kind, own] = KINDS[kind][2](key, own)
+            if known[kind, own] is not None:
+                return at + n, known[kind, own]
+        return None
 
-    return PATTERN.sub(change, text), kinds
+    def holds_other(at: int, end: int) -> bool:
+        return any(valid(kind, at + m.end()) for m in re.finditer("[ -]", text[at:end]) for kind in range(UNUSUAL))
+
+    kinds, out, done, at, tried = [], [], 0, 0, 0
+    while m := PATTERN.search(text, at):
+        at, found = m.start(), None
+        for kind in range(m.lastindex - 1, UNUSUAL):
+            if found := valid(kind, at):
+                break
+        else:
+            kind = UNUSUAL
+            n = SINGLE[kind].match(text, at)
+            if n and (at >= tried or min(map(len, re.findall("[0-9]+", n[0]))) > 2):  # small numbers are tried once, not from each of them on
+                found = valid(kind, at)
+                if found and holds_other(at, found[0]):
+                    found = None
+                tried = n.end()
+        if found:
+            out += text[done:at], found[1]
+            kinds.append(KINDS[kind][0])
+            done = at = found[0]
+        else:
+            at = TOKEN.match(text, at).end()
+    return "".join(out) + text[done:], kinds
 
 
 def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
@@ -226,7 +283,7 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     started = kept.withColumns({"pii_found": F.lit(0).cast("long"), "pii_kinds": F.array().cast("array<string>")})
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, str] | None] = {}
+        known: dict[tuple[int, str], str | None] = {}
         for b in batches:
             texts, found, kinds = [], [], []
             for text in b.column("text").to_pylist():

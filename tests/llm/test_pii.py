@@ -49,3 +49,25 @@ def test_replace(spark):
     assert new in out[4] and new in out[5] and out[7].endswith(new) and rows[4]["pii_found"] == 4
     assert [len(x or "") for x in texts] == [len(t or "") if i in (3, 6, 7, 8) else len(texts[i] or "") for i, t in sorted(out.items())]
     assert pii.replace_personal_data(docs.limit(0), KEY).count() == 0
+
+
+def test_values_next_to_numbers():
+    card, tel, plain = "4111 1111 1111 1111", "+1 (988) 555-2485", "555-123-4567"
+    new = {v: pii.pseudonymize(v, KEY, {})[0] for v in (card, tel, plain, "555-987-6543", "2020-01-31", "31/01/2020", "AT61 1904 3002 3457 3201", "+49 (988) 555-2485", "123-45-6789")}
+    assert all(v != n for v, n in new.items())
+    for text in (
+        f"{card} 12/27", f"{card} 123", f"30 {card} 2024", f"{card} 2020-01-31", f"{card} {card}", f"{plain} 555-987-6543", f"{plain} 2020-01-31", f"2024 {plain}", f"{tel} 2024 2025",
+        f"{tel} 30", f"7 {tel} {plain} 30", "+49 (988) 555-2485 2024 2025", "+49 (988) 555-2485 30", "AT61 1904 3002 3457 3201 2024", "31/01/2020 30", "123-45-6789 2024 30",
+    ):
+        want = text
+        for v in sorted(new, key=len, reverse=True):
+            want = want.replace(v, new[v])
+        assert want != text and pii.pseudonymize(text, KEY, {})[0] == want, text
+    for stamp in ("2020-01-31T12:00:00Z", "2020-01-31 12:00:00"):
+        assert pii.pseudonymize(stamp, KEY, {})[0] == new["2020-01-31"] + stamp[10:]
+    unusual = "4041 8949746 08795"
+    got, kinds = pii.pseudonymize(unusual, KEY, {})
+    assert kinds == ["card"] and got != unusual and pii.pseudonymize(f"{unusual} 12/27", KEY, {})[0] == f"{got} 12/27"
+    assert pii.pseudonymize("+49-30-1234 5678", KEY, {})[0][-4:] != "5678"
+    for text in ("31/31/2020", "2020-01-31Test", "12 34 56 78 91 23 45 68 12 34", "1 2 3 4 5 6"):
+        assert pii.pseudonymize(text, KEY, {}) == (text, []), text
