@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontaminate, packing, pii, simhash, toxicity
+from graphloom.llm import decontaminate, near_copies, packing, pii, toxicity
 from graphloom.llm.common import written
 from graphloom.llm.queries import PII_KEY, tokenizer_path
 
 #: What every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies have this share of all their shingles, of so many words, in common.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +22,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame, what: str) -> DataFrame:
+    """``docs`` with a key of its own for every row, fixed in a table: doc_id may be null or repeated."""
+    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), what)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked fingerprints: the one with the least doc_id."""
-    groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one row of each group that pairs of at least 0.8 of all their five-word shingles in common connect.
+
+    It is the row with the least doc_id, one without doc_id only if there is no other.  Every row
+    counts for itself, also those of one doc_id; texts without words are one group.
+    """
+    rows = keyed(docs, "rows")
+    groups = near_copies.near_copies(rows, SHINGLE, SIMILARITY)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash"), "row")
+    kept = rows.select("row", order.alias("o")).join(groups, "row").groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
