@@ -49,3 +49,32 @@ def test_pipeline(spark, tmp_path):
     assert {i for i, t in texts.items() if t != dict(docs)[i]} == {i for i in want if i % 11 == 2}
     assert {r["doc_id"] for r in held.collect()} == want
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes[-1]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stage_output(spark, name, rows, path):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(path))
+    assert out.columns == corpus_pipeline.COLUMNS
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_near_copies_and_missing_ids(spark, tmp_path):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(200)) for _ in range(9)]
+    near = base[0].split()
+    near[10] = near[90] = near[170] = "other"  # 15 of 196 shingles differ: similarity 0.86
+    far = base[1].split()
+    far[10:190:15] = ["other"] * 12
+    rows = [(5, base[0]), (6, " ".join(near)), (7, base[1]), (8, " ".join(far)), (None, base[2]), (None, base[3]), (None, base[3]), (9, base[4]), (9, base[4]), (9, base[5]), (None, base[6]), (3, base[6])]
+    want = [(5, base[0]), (7, base[1]), (8, " ".join(far)), (None, base[2]), (None, base[3]), (9, base[4]), (9, base[5]), (3, base[6])]
+    assert stage_output(spark, "near_duplicates", rows, tmp_path) == sorted(want, key=str)
+
+
+def test_contaminated_rows_without_id(spark, tmp_path):
+    item = " ".join(f"b{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x y {item} z"), (None, "clean words"), (4, f"x {item}"), (4, "other clean words")]
+    assert stage_output(spark, "decontamination", rows, tmp_path) == sorted([rows[1], rows[3]], key=str)
