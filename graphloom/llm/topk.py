@@ -85,13 +85,16 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     f, own_q = x.astype(kind), q.astype(kind)
     wide = x.astype(np.float64)
     norms, q_norms, q_to = (wide * wide).sum(1), (q.astype(np.float64) ** 2).sum(1), distances(q, pivots)
-    # single precision: the slack makes up for its rounding
+    # single precision: the slack makes up for its rounding, and each pivot's own for that of distances to it, which grows with them
     table, half = np.ascontiguousarray(to_pivots.T, np.float32), (norms / 2).astype(np.float32)
     slack = np.float32(1e-5 * (1 + norms.max(initial=0) + q_norms.max(initial=0)))
+    squares = norms.max(initial=0) + (pivots.astype(np.float64) ** 2).sum(1)
+    farthest = to_pivots.max(0, initial=0)
     for i in range(len(q)):
         low = np.zeros(len(x), np.float32)
-        for near, own in zip(table, q_to[i].astype(np.float32), strict=True):
-            np.maximum(low, np.abs(near - own), out=low)
+        error = (2.0**-22 * np.maximum(farthest, q_to[i]) + 2 * np.sqrt((x.shape[1] + 4) * 2.0**-52 * (squares + q_norms[i]))).astype(np.float32)
+        for near, own, off in zip(table, q_to[i].astype(np.float32), error, strict=True):
+            np.maximum(low, np.abs(near - own) - off, out=low)
         bound = half - low * low / 2 + (np.float32(q_norms[i] / 2) + slack)
         scores, found = best[i]
         left = np.flatnonzero(bound >= scores[-1]) if len(scores) == k else np.arange(len(x))

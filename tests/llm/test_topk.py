@@ -44,3 +44,10 @@ def test_pivots_spare_evaluations():
         s = x @ q[i]
         order = [c for c in np.lexsort((ids, -s)) if c != i][:20]
         assert best[i][1].tolist() == order
+
+
+def test_bound_under_a_far_pivot():
+    x, q, pivots = np.array([[100]]), np.array([[90]]), np.array([[10**9]])
+    best = [(np.array([8000]), np.array([5]))]
+    topk.search_block(np.array([0]), q, np.array([1]), x, topk.distances(x, pivots), pivots, best, 1)
+    assert [c.tolist() for c in best[0]] == [[9000], [1]]
