@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,16 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (as in tests) a folder of our own is taken.
+    There is no default: a folder of the driver's own machine would be lost on the executors of a cluster.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.startswith("local["):  # one process, one machine
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir("/tmp/graphloom-checkpoints")
-        named = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -34,7 +35,15 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{what}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Empties ``written`` tables that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.range(0).write.mode("overwrite").parquet(t.written_path)
 
 
 def only(docs: DataFrame, *names: str) -> DataFrame:

@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
 from graphloom.llm.common import slices, text_bytes
 
-#: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
+#: An odd multiplier for chained hashes.
 BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n; kept, and grown by doubling."""
-    if len(_POWERS.get("up", ())) < n:
-        n = 1 << max(16, (n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", _INVERSE)):
-            out = np.ones(n, np.uint64)
-            out[1:] = np.uint64(base)
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+#: The first k of eight bytes of a number, least significant first.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Ranges of more bytes than this are digested one by one.
+LONG = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,18 +29,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums from which ``range_hash`` takes the hash of any range of ``values`` (uint64)."""
-    up, _ = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return sums
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view [place, 8] of the bytes from every place on; zeros follow the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
 
 
-def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end], wherever that range stands."""
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every data[start:end], chained over eight bytes at a time: each step is a bijection of the one before."""
+    size, view = ends - starts, eights(data)
+    h = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(0x1F83D9ABFB41BD6B))
+    alive, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(alive):
+        left = size[alive] - at
+        own = view[starts[alive] + at].view("<u8")[:, 0] & FIRST_BYTES[np.minimum(left, 8)]
+        h[alive] = mix(h[alive] * np.uint64(BASE) ^ own)
+        alive, at = alive[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 #: Bytes that separate words (true), by kind of word.
@@ -70,9 +69,12 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
-    hashes: np.ndarray
     texts: np.ndarray
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return range_hashes(self.data, self.starts, self.ends)
+
     def __len__(self) -> int:
         return len(self.bounds) - 1
 
@@ -96,8 +98,7 @@ def words_of(column: pa.Array, separators: np.ndarray, lower: bool = False, most
             begins &= ~apart
             stops &= ~apart
         starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-        sums = prefix_sums(data.astype(np.uint64) + np.uint64(0x51))
-        yield Words(i, data, starts, ends, np.searchsorted(starts, at), range_hash(sums, starts, ends), at)
+        yield Words(i, data, starts, ends, np.searchsorted(starts, at), at)
 
 
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

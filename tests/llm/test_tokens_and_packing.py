@@ -37,6 +37,27 @@ def test_cached_encoding_is_exact(path):
     assert got == [x[:-1] for x in plain(path, texts, 0)]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_pieces_are_compared_by_their_bytes(path):
+    a, b = "a", "b"
+    for _ in range(10):  # two words with one value under any polynomial modulo 2**64 with an odd base
+        a, b = a + b, b + a
+    texts = [f"x {a} y", f"x {b} y", b, a, f"{a} {b}", f"{b[:9]} {a[:9]}", f"{a[:17]} {b[:17]}"]
+    got = [flat[i:j].tolist() for _, flat, bounds in Encoder(path).encode(pa.array(texts)) for i, j in zip(bounds[:-1], bounds[1:])]
+    assert got == [x[:-1] for x in plain(path, texts, 0)]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_full_table_starts_anew(path):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 24))) for _ in range(rng.randint(0, 900))) for _ in range(40)]
+    encoder = Encoder(path, slots=1 << 11, most_pieces=700)
+    for _ in range(2):
+        got = [flat[i:j].tolist() for _, flat, bounds in encoder.encode(pa.array(texts)) for i, j in zip(bounds[:-1], bounds[1:])]
+        assert got == [x[:-1] for x in plain(path, texts, 0)]
+    assert encoder.count <= 700
+
+
 def test_plane_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 8, token_store.BLOCK, token_store.BLOCK + 3):
