@@ -7,6 +7,15 @@ from collections import Counter
 
 from graphloom.llm.substring_words import repeated_passages
 
+
+def thue_morse(n):
+    """Two different words that have one value under any polynomial modulo 2**64 with an odd base."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -43,3 +52,32 @@ def test_repeated_passages(spark):
     assert repeated_passages(table.limit(0)).count() == 0
     only = spark.createDataFrame([(1, "w " * 36), (2, "v " * 35)], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in repeated_passages(only).collect()} == {1: 36, 2: 0}
+
+
+def test_colliding_hashes_are_found_out(spark):
+    rng = random.Random(4)
+    shared = " ".join(rng.choice("abcdefgh") for _ in range(120))
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60)) + (" " + shared) * (i % 3)) for i in range(30)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeated_passages(table, 35, bits=3).collect()}
+    assert got == brute(docs, 35)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(10)
+    docs = [(i, " ".join(["w"] * 34 + [x])) for i, x in enumerate((a, b, a))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in repeated_passages(table).collect()} == {0: 35, 1: 0, 2: 35}
+
+
+def test_repeated_rows_long_texts_and_rows_without_id(spark):
+    rng = random.Random(6)
+    long = " ".join(str(rng.randint(0, 10**6)) for _ in range(150_000))  # about a megabyte
+    docs = [(1, long), (2, "x " * 40 + long), (3, long[:400_000]), (4, "y " * 20)]
+    rows = [*docs, (5, "r s " * 30), (5, "r s " * 30), (None, long)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeated_passages(table).collect()
+    assert len(got) == 6
+    expected = brute(docs, 35)
+    assert all((r["n_words"], r["n_removed"], r["kept_sha256"]) == expected[r["doc_id"]] for r in got if r["doc_id"] != 5)
+    assert [r["n_removed"] for r in got if r["doc_id"] == 5] == [60, 60]
