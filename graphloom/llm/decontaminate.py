@@ -1,9 +1,12 @@
 """Benchmark decontamination as a prefix-filtered set join over word shingles.
 
 An item's windows must be contained in a document whole, so every shingle of a window is
-necessary, and the shortest prefix of its shingles in order of rarity - the rarest one - is enough
-to find all candidates.  Document shingles meet the prefix shingles, the place of the shingle in
-its window bounds where the window can stand, and the words are then compared exactly.
+necessary, and the shortest prefix of its shingles in order of rarity - the rarest one by counts
+over all documents - is enough to find all candidates.  Document shingles meet the prefix shingles
+in a join, the place of the shingle in its window bounds where the window can stand, and the words
+are then compared exactly.  A bitmap of fixed size, of the hashes of all item shingles, keeps most
+other shingles of the documents out of the joins; the larger the benchmark, the more pass it, and
+nothing else changes.  Nothing of the benchmark but that bitmap passes the driver.
 """
 
 from __future__ import annotations
@@ -15,166 +18,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import only
+from graphloom.llm.common import emptied, only, written
 from graphloom.llm.words import NOT_ALPHANUMERIC, Words, ngram_hashes, words_of
 
 WINDOW, SHINGLE = 10, 3
-#: Item windows that are broadcast at once: some 30 MB.  A larger benchmark is joined in blocks of that many.
-BLOCK = 200_000
+#: Bits of the bitmap: two megabytes.
+BITMAP = 1 << 24
+
+
+def shingles(w: Words, size: int) -> np.ndarray:
+    """Hashes of all shingles of a size, by their first word's place."""
+    return ngram_hashes(w.hashes, size) + np.uint64(size)
 
 
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id (as text) and each window's words, joined by blanks; an item of fewer words is one window."""
+    """item_id (as text), a window's words, joined by blanks, and their number; an item of fewer words is one window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out_ids, out = b.column("item_id").to_pylist(), [], []
+            ids = b.column("item_id").to_pylist()
             for w in words_of(b.column("text"), NOT_ALPHANUMERIC, lower=True):
-                raw = w.data.tobytes()
+                raw, out_ids, out, size = w.data.tobytes(), [], [], []
                 for k in range(len(w)):
                     own = [raw[s:e] for s, e in zip(w.starts[w.bounds[k] : w.bounds[k + 1]].tolist(), w.ends[w.bounds[k] : w.bounds[k + 1]].tolist(), strict=True)]
                     for i in range(max(1, len(own) - window + 1) if own else 0):
                         out_ids.append(ids[w.row + k])
-                        out.append(b" ".join(own[i : i + window]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.string()), pa.array(out, pa.string())], names=["item_id", "words"])
+                        out.append(b" ".join(own[i : i + window]))
+                        size.append(min(window, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.string()), pa.array(out, pa.binary()), pa.array(size, pa.int32())], names=["item_id", "words", "n"])
 
     named = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL")
-    return named.mapInArrow(cut, "item_id string, words string").distinct()
-
-
-class WindowTable:
-    """Item windows of a block, their shingles and - once counts are known - their prefix shingles."""
-
-    def __init__(self, rows: list[tuple[str, str]]):
-        by_words: dict[str, list[str]] = {}
-        for item, words in rows:
-            by_words.setdefault(words, []).append(item)
-        self.items = [by_words[x] for x in sorted(by_words)]
-        self.words = [x.encode() for x in sorted(by_words)]
-        self.length = np.array([x.count(b" ") + 1 for x in self.words], np.int64)
-        owner, place, value = [], [], []
-        for w in words_of(pa.array(self.words, pa.binary()), NOT_ALPHANUMERIC):
-            for k in range(len(w)):
-                own = w.hashes[w.bounds[k] : w.bounds[k + 1]]
-                h = ngram_hashes(own, min(SHINGLE, len(own))) + np.uint64(min(SHINGLE, len(own)))
-                owner.append(np.full(len(h), w.row + k))
-                place.append(np.arange(len(h)))
-                value.append(h)
-        self.owner, self.place, self.value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((owner, np.int64), (place, np.int64), (value, np.uint64)))
-        self.shingles = np.unique(self.value)
-        self.sizes = sorted({int(min(SHINGLE, n)) for n in self.length})
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Keeps for each window the rarest of its shingles; ties: the smaller hash, the first place."""
-        rare = np.array([counts.get(i, 0) for i in range(len(self.shingles))], np.int64)[np.searchsorted(self.shingles, self.value)]
-        order = np.lexsort((self.place, self.value, rare, self.owner))
-        first = order[np.unique(self.owner[order], return_index=True)[1]]
-        by = first[np.argsort(self.value[first], kind="stable")]
-        self.prefix_window, self.prefix_place, self.prefix_value = self.owner[by], self.place[by], self.value[by]
-        del self.owner, self.place, self.value, self.shingles
-
-    def shingle_places(self, w: Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word place, index in the sorted ``wanted``) of all shingles of the texts that are wanted."""
-        at, found = [], []
-        for size in self.sizes:
-            h = ngram_hashes(w.hashes, size) + np.uint64(size)
-            if not len(h) or not len(wanted):
-                continue
-            # a bitmap of the low bits keeps the search to few places
-            low = np.zeros(1 << 20, bool)
-            low[(wanted & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            maybe = np.flatnonzero(low[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-            i = np.searchsorted(wanted, h[maybe])
-            i[i == len(wanted)] = 0
-            same = wanted[i] == h[maybe]
-            inside = np.searchsorted(w.bounds, maybe, "right") == np.searchsorted(w.bounds, maybe + size - 1, "right")
-            at.append(maybe[same & inside])
-            found.append(i[same & inside])
-        return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def count_shingles(docs: DataFrame, shared) -> dict[int, int]:
-    """Occurrences over all documents of each shingle of a block, by its index: at most as many rows as the block has."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        total = np.zeros(len(t.shingles), np.int64)
+    return named.mapInArrow(cut, "item_id string, words binary, n int").distinct()
+
+
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """words, n, place, shingle: all shingles of every distinct window; one of fewer words is its own shingle."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in words_of(b.column("text"), NOT_ALPHANUMERIC, lower=True):
-                total += np.bincount(t.shingle_places(w, t.shingles)[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["shingle", "n"])
+            for w in words_of(b.column("words"), NOT_ALPHANUMERIC):
+                size = np.minimum(np.diff(w.bounds), SHINGLE)
+                for n in range(1, SHINGLE + 1):
+                    rows = np.flatnonzero(size == n)
+                    count = np.diff(w.bounds)[rows] - n + 1
+                    if len(rows):
+                        owner = np.repeat(rows, count)
+                        place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                        h = shingles(w, n)[w.bounds[owner] + place]
+                        own = b.take(pa.array(w.row + owner))
+                        yield pa.RecordBatch.from_arrays([own.column("words"), own.column("n"), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], names=["words", "n", "place", "shingle"])
+
+    return windows.select("words", "n").distinct().mapInArrow(cut, "words binary, n int, place int, shingle long")
+
 
-    rows = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {int(r["shingle"]): int(r["n"]) for r in rows.toLocalIterator()}
+def bitmap(of_windows: DataFrame) -> np.ndarray:
+    """The bits of all shingles' hashes; at most BITMAP / 64 rows reach the driver."""
+    bit = F.expr(f"shingle & {BITMAP - 1}L")
+    rows = of_windows.groupBy((bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shingle & {BITMAP - 1}L & 63L as int))")).alias("bits")).toArrow()
+    bits = np.zeros(BITMAP // 64, np.int64)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
 
 
-def occurrences(docs: DataFrame, shared) -> DataFrame:
-    """Per document: its number of words, the places of hit words, the items that occur."""
+def keyed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, text and text_key, which stands for the text: rows of one text have the same windows, whatever their ids."""
+    return docs.select(*names, "text", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 40)).alias("text_key"))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        values, first = np.unique(t.prefix_value, return_index=True)
-        last = np.append(first[1:], len(t.prefix_value))
+
+def candidate_shingles(docs: DataFrame, wanted, sizes: list[int]) -> DataFrame:
+    """text_key, places, shingles: those of every row that the bitmap lets through."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value, bitorder="little").view(bool)
         for b in batches:
-            n_words, hits, items = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
+            for w in words_of(b.column("text"), NOT_ALPHANUMERIC, lower=True):
+                at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for size in sizes:
+                    h = shingles(w, size)
+                    maybe = np.flatnonzero(bits[(h & np.uint64(BITMAP - 1)).astype(np.int64)])
+                    inside = np.searchsorted(w.bounds, maybe, "right") == np.searchsorted(w.bounds, maybe + size - 1, "right")
+                    at.append(maybe[inside])
+                    found.append(h[maybe[inside]])
+                at, found = np.concatenate(at), np.concatenate(found)
+                row = np.searchsorted(w.bounds, at, "right") - 1
+                order = np.argsort(row, kind="stable")
+                count = np.bincount(row, minlength=len(w))
+                has = np.flatnonzero(count)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(count[has])]).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(bounds, pa.array(x[order])) for x in ((at - w.bounds[row]).astype(np.int64), found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("text_key").take(pa.array(w.row + has)), *lists], names=["text_key", "places", "shingles"])
+
+    return keyed(docs).mapInArrow(find, "text_key binary, places array<long>, shingles array<long>")
+
+
+def verified(docs: DataFrame, aligned: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_words, hits (places of hit words), windows (those that occur) for every row of ``docs``."""
+    columns = "doc_id long, text_key binary, n_words long, hits array<long>, windows array<binary>"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_words, hits, windows = np.zeros(b.num_rows, np.int64), [[]] * b.num_rows, [[]] * b.num_rows
             for w in words_of(b.column("text"), NOT_ALPHANUMERIC, lower=True):
                 n_words[w.row : w.row + len(w)] = np.diff(w.bounds)
-                raw = None
-                for at, i in zip(*(x.tolist() for x in t.shingle_places(w, values)), strict=True):
-                    raw = w.data.tobytes() if raw is None else raw
-                    k = int(np.searchsorted(w.bounds, at, "right")) - 1
-                    for p in range(first[i], last[i]):
-                        window = t.prefix_window[p]
-                        lo = at - int(t.prefix_place[p])
-                        hi = lo + int(t.length[window])
-                        if lo < w.bounds[k] or hi > w.bounds[k + 1]:
-                            continue
-                        own = b" ".join(raw[s:e] for s, e in zip(w.starts[lo:hi].tolist(), w.ends[lo:hi].tolist(), strict=True))
-                        if own == t.words[window]:
-                            r = w.row + k
-                            if hits[r] is None:
-                                hits[r], items[r] = set(), set()
-                            hits[r].update(range(lo - int(w.bounds[k]), hi - int(w.bounds[k])))
-                            items[r].update(t.items[window])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n_words), pa.array([sorted(x) if x else [] for x in hits], pa.list_(pa.int64())), pa.array([sorted(x) if x else [] for x in items], pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "hits", "items"],
-            )
-
-    return only(docs, "doc_id", "text").mapInArrow(verify, "doc_id long, n_words long, hits array<long>, items array<string>")
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+                raw = w.data.tobytes()
+                for k, own in enumerate(b.column("own").slice(w.row, len(w)).to_pylist()):
+                    hit, found = set(), set()
+                    for a in own or ():
+                        lo = int(w.bounds[k]) + a["lo"]
+                        hi = lo + a["n"]
+                        if hi <= w.bounds[k + 1] and b" ".join([raw[s:e] for s, e in zip(w.starts[lo:hi].tolist(), w.ends[lo:hi].tolist(), strict=True)]) == a["words"]:
+                            hit.update(range(a["lo"], a["lo"] + a["n"]))
+                            found.add(a["words"])
+                    hits[w.row + k], windows[w.row + k] = sorted(hit), sorted(found)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n_words), pa.array(hits, pa.list_(pa.int64())), pa.array(windows, pa.list_(pa.binary()))], names=["doc_id", "text_key", "n_words", "hits", "windows"])
+
+    return keyed(docs, "doc_id").join(aligned, "text_key", "left").select("doc_id", "text_key", "text", "own").mapInArrow(compare, columns)
+
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and the hit places and items.
 
     Null and empty texts have no words and are clean, items without words never occur, items
-    without id are left out.  doc_id names a document: with more than one block its rows are
-    joined by doc_id.  Nothing is shuffled but shingle counts, one row a shingle and task.
+    without id are left out; items that stand twice count once.  Every row of ``docs`` has a row of
+    the result, also those that repeat or have no doc_id; an empty table gives none.  Columns other
+    than doc_id, text and item_id are ignored, whatever their names.
     """
-    sc, found, part = docs.sparkSession.sparkContext, None, []
-
-    def join(rows: list[tuple[str, str]]) -> DataFrame:
-        t = WindowTable(rows)
-        shared = sc.broadcast(t)
-        counts = count_shingles(docs, shared)
-        shared.unpersist()
-        t.choose(counts)
-        return occurrences(docs, sc.broadcast(t))
-
-    for r in item_windows(items, window).toLocalIterator():
-        part.append((r["item_id"], r["words"]))
-        if len(part) == block:
-            found, part = join(part) if found is None else found.unionByName(join(part)), []
-    blocks = found is not None
-    if part or found is None:
-        found = join(part) if found is None else found.unionByName(join(part))
-    if blocks:
-        found = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-    return found.select(
-        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "hits", "items",
+    docs, sc = only(docs, "doc_id", "text"), docs.sparkSession.sparkContext
+    windows = written(item_windows(items, window), "item-windows")
+    of_windows = written(window_shingles(windows), "item-shingles")
+    sizes = sorted(r["size"] for r in of_windows.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect())
+    wanted = sc.broadcast(np.packbits(bitmap(of_windows), bitorder="little"))
+    found = written(candidate_shingles(docs, wanted, sizes), "candidate-shingles")
+    wanted.destroy()
+    counts = found.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("of"))
+    # a window with a shingle that no document has can't occur
+    prefix = of_windows.join(counts, "shingle").groupBy("words", "n").agg(F.min(F.struct("of", "shingle", "place")).alias("p"), F.countDistinct("place").alias("known")).where(F.col("known") == F.greatest(F.col("n") - F.lit(SHINGLE - 1), F.lit(1)))
+    prefix = written(prefix.select("words", "n", "p.shingle", "p.place"), "prefixes")
+    texts = found.groupBy("text_key").agg(F.first(F.arrays_zip("places", "shingles")).alias("own"))
+    met = texts.select("text_key", F.explode("own").alias("s")).select("text_key", F.col("s.places").alias("at"), F.col("s.shingles").alias("shingle")).join(prefix, "shingle")
+    aligned = met.select("text_key", F.struct((F.col("at") - F.col("place")).alias("lo"), "n", "words").alias("a")).where("a.lo >= 0").groupBy("text_key").agg(F.collect_list("a").alias("own"))
+    aligned = written(aligned, "aligned")
+    checked = written(verified(docs, aligned), "verified")
+    emptied(of_windows, found, prefix, aligned)
+    names = checked.select("text_key", F.explode("windows").alias("words")).distinct().join(windows.select("words", "item_id"), "words").groupBy("text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items_of = F.coalesce("items", F.array().cast("array<string>"))
+    return checked.join(names, "text_key", "left").select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "hits", items_of.alias("items"),
     )

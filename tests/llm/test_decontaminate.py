@@ -4,8 +4,6 @@ import hashlib
 import random
 import re
 
-import pytest
-
 from graphloom.llm.decontaminate import contamination
 
 
@@ -27,8 +25,7 @@ def brute(text, items, window):
     return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [200_000, 40])
-def test_contamination(spark, block):
+def test_contamination(spark):
     rng = random.Random(9)
     vocabulary = ["Alpha", "beta", "gämma", "x1", "the", "of", "İd", "zz"]
     some = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice(vocabulary) for _ in range(n))
@@ -42,8 +39,20 @@ def test_contamination(spark, block):
     items[0] = (items[0][0], some(30))
     d = spark.createDataFrame([(a, b, a, "v") for a, b in docs], "doc_id long, text string, items int, words string")
     b = spark.createDataFrame([(a, b, "v") for a, b in items], "item_id long, text string, doc_id string")
-    got = {r["doc_id"]: tuple(r)[1:6] for r in contamination(d, b, block=block).collect()}
+    got = {r["doc_id"]: tuple(r)[1:6] for r in contamination(d, b).collect()}
     for i, text in docs:
         assert got[i] == brute(text, items, 10), i
-    assert contamination(d.limit(0), b, block=block).count() == 0
-    assert not any(r["contaminated"] for r in contamination(d, b.limit(0), block=block).collect())
+    assert contamination(d.limit(0), b).count() == 0
+    assert not any(r["contaminated"] for r in contamination(d, b.limit(0)).collect())
+
+
+def test_repeated_rows_rows_without_id_and_long_texts(spark):
+    rng = random.Random(3)
+    filler = lambda n: " ".join(str(rng.randint(0, 10**7)) for _ in range(n))
+    items = [("q1", "one two three four five six seven eight nine ten eleven"), ("q2", "one two three four five six seven eight nine ten other"), ("q1", "one two three four five six seven eight nine ten eleven")]
+    texts = [filler(90_000) + " " + items[0][1] + " " + filler(10), "clean " * 30, items[0][1].upper(), None]
+    docs = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[2]), (None, texts[1]), (3, texts[2]), (3, texts[2]), (4, texts[3])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = contamination(d, spark.createDataFrame(items, "item_id string, text string")).collect()
+    expected = sorted((str(i), *brute(t, items, 10)) for i, t in docs)
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:6]) for r in rows) == expected
