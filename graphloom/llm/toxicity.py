@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import only
+from graphloom.llm.common import emptied, only, written
 from graphloom.llm.words import Words, words_of
 
 #: Labelled rows that a model is fitted on at most, taken in the order of their ids' hashes.
 SAMPLE = 20_000
-#: Terms of a lexicon at most; lengths of stems in bytes; the least length at which misspellings count.
-TERMS, STEM, FUZZY_FROM = 300, range(4, 11), 6
+#: Lengths of stems in bytes; the least length at which misspellings count.
+STEM, FUZZY_FROM = range(4, 11), 6
+#: Terms counted by a task before it passes them on.
+COUNTED = 50_000
 #: Chance of a term's toxic share under the base rate, and the share that it needs.
 CHANCE, SHARE = 1e-7, 0.5
 #: Rounds of learning: each looks at documents without a term so far, and takes terms about as telling as its best.
@@ -64,9 +66,7 @@ class TermAutomaton:
     ``category`` of its state is 2 if it holds a term, 1 if it is one edit away from one, else 0.
     """
 
-    MOST_STATES = 60_000
-
-    def __init__(self, terms: list[bytes]):
+    def __init__(self, terms: list[bytes], most_states: int = 20_000):
         children: list[dict[int, int]] = [{}]
         stem, word, long_enough = [False], [False], [False]
         for t in sorted(terms):
@@ -127,8 +127,8 @@ class TermAutomaton:
             for c in [*used, None]:
                 to = step(state, c)
                 if to not in numbers:
-                    if len(numbers) >= self.MOST_STATES:
-                        raise ValueError("the lexicon is too large for one automaton")
+                    if len(numbers) >= most_states and len(terms) > 1:
+                        raise OverflowError
                     numbers[to] = len(numbers)
                     todo.append(to)
                 row.append(numbers[to])
@@ -155,6 +155,23 @@ class TermAutomaton:
         return self.category[state]
 
 
+class Lexicon:
+    """Any number of terms, as one automaton or - where its states would be too many - as several."""
+
+    def __init__(self, terms: list[bytes], most_states: int = 20_000):
+        self.automata: list[TermAutomaton] = []
+        todo = [sorted(terms)]
+        while todo:
+            part = todo.pop()
+            try:
+                self.automata.append(TermAutomaton(part, most_states))
+            except OverflowError:
+                todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+
+    def match(self, w: Words) -> np.ndarray:
+        return np.maximum.reduce([a.match(w) for a in self.automata])
+
+
 def features(w: Words, category: np.ndarray) -> np.ndarray:
     """[text, FEATURES]: abuse and quotation hits, exact and misspelled, and the densest window."""
     out = np.zeros((len(w), FEATURES))
@@ -184,6 +201,10 @@ class Model:
     terms: list[bytes]
     weights: np.ndarray
 
+    def lexicon(self, docs: DataFrame):
+        """The finished automata, broadcast: their size follows the terms, which follow the bounded sample."""
+        return docs.sparkSession.sparkContext.broadcast(Lexicon(self.terms))
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
@@ -205,13 +226,16 @@ def learn_terms(counts: list[tuple[bytes, int, int]], toxic: int, clean: int) ->
         if s < math.log(CHANCE) and a / (a + b) >= max(SHARE, min(0.9, 2 * rate)):
             scored.append((s, len(t), t))
     chosen: list[bytes] = []
-    for s, _, t in sorted(scored):
-        if s > AS_TELLING * min(scored)[0]:
+    taken: set[bytes] = set()  # chosen stems and words without their end
+    beginnings: set[bytes] = set()  # what any chosen term begins with
+    for score_, _, t in sorted(scored):
+        if score_ > AS_TELLING * min(scored)[0]:
             break
-        if not any(t.startswith(c) or c.startswith(t.rstrip(b"\0")) for c in chosen):
+        plain = t.rstrip(b"\0")
+        if plain not in beginnings and not any(t[:n] in taken for n in range(1, len(t) + 1)):
             chosen.append(t)
-            if len(chosen) == TERMS:
-                break
+            taken.add(t)
+            beginnings.update(t[:n] for n in range(1, len(t) + 1))
     return chosen
 
 
@@ -221,35 +245,43 @@ def stem_counts(training: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label, seen = b.column("toxic").to_pylist(), {}
+
+            def counted() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([x[side] for x in seen.values()], pa.int64()) for side in (0, 1))], names=["term", "toxic", "clean"])
+                seen.clear()
+                return out
+
             for w in words_of(b.column("text"), LETTERS, clean=folded):
                 raw = w.data.tobytes()
                 for k in range(len(w)):
                     words = {raw[s:e] for s, e in zip(w.starts[w.bounds[k] : w.bounds[k + 1]].tolist(), w.ends[w.bounds[k] : w.bounds[k + 1]].tolist(), strict=True)}
-                    own = {x + b"\0" for x in words if len(x) <= 40}
+                    own = {x + b"\0" for x in words}
                     own.update(x[:n] for x in words for n in STEM if n <= len(x))
                     side = 0 if label[w.row + k] else 1
                     for t in own:
                         seen.setdefault(t, [0, 0])[side] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["term", "toxic", "clean"])
+                    if len(seen) > COUNTED:
+                        yield counted()
+            yield counted()
 
     return training.mapInArrow(count, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def telling_terms(training: DataFrame, toxic: int, clean: int) -> list[bytes]:
+    """The driver gets the terms that are unlikely enough in the training sample, whose size is bounded."""
     if not toxic or not clean:
         return []
     rate = (toxic + 0.5) / (toxic + clean + 1)
     least = math.ceil(math.log(CHANCE) / math.log(rate))
     found = stem_counts(training).where((F.col("toxic") >= least) & (F.col("toxic") >= SHARE * (F.col("toxic") + F.col("clean"))))
-    rows = found.orderBy(F.desc(F.col("toxic") - F.col("clean")), "term").limit(20_000).collect()
-    return learn_terms([(bytes(r["term"]), int(r["toxic"]), int(r["clean"])) for r in rows], toxic, clean)
+    return learn_terms([(bytes(r["term"]), int(r["toxic"]), int(r["clean"])) for r in found.collect()], toxic, clean)
 
 
-def without_terms(training: DataFrame, terms) -> DataFrame:
+def without_terms(training: DataFrame, lexicon) -> DataFrame:
     """The rows of ``training`` (text, toxic) without any of the terms so far."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = TermAutomaton(terms.value)
+        automaton = lexicon.value
         for b in batches:
             clean = np.ones(b.num_rows, bool)
             for w in words_of(b.column("text"), LETTERS, clean=folded):
@@ -259,12 +291,12 @@ def without_terms(training: DataFrame, terms) -> DataFrame:
     return training.mapInArrow(keep, "text string, toxic int")
 
 
-def _featured(docs: DataFrame, terms, carried: str) -> DataFrame:
+def _featured(docs: DataFrame, lexicon, carried: str) -> DataFrame:
     """``carried`` (name and type) and ``x`` (array<double>) for every row."""
     name = carried.split()[0]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = TermAutomaton(terms.value)
+        automaton = lexicon.value
         for b in batches:
             x = np.zeros((b.num_rows, FEATURES))
             for w in words_of(b.column("text"), LETTERS, clean=folded):
@@ -300,34 +332,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     the telling ones and the feature rows of the sample.  Without labels of both classes every score is the share of
     toxic labels, a half if there are none.
     """
-    spark = docs.sparkSession
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    training = only(docs, "doc_id", "text").join(rows, "doc_id").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).persist()
+    training = written(only(docs, "doc_id", "text").join(rows, "doc_id").groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")), "training")
     n = {int(r["toxic"] != 0): int(r["count"]) for r in training.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    terms: list[bytes] = []
+    model = Model([], np.zeros(FEATURES + 1))
     for _ in range(ROUNDS if toxic and clean else 0):
-        rest = without_terms(training, spark.sparkContext.broadcast(list(terms))) if terms else training
+        rest, lexicon = training, None
+        if model.terms:
+            lexicon = model.lexicon(docs)
+            rest = written(without_terms(training, lexicon), "training")
         n = {int(r["toxic"] != 0): int(r["count"]) for r in rest.groupBy("toxic").count().collect()}
         new = telling_terms(rest, n.get(1, 0), n.get(0, 0))
-        terms = (terms + new)[:TERMS]
-        if not new or len(terms) == TERMS:
+        if lexicon:
+            emptied(rest)
+            lexicon.destroy()
+        model.terms = model.terms + new
+        if not new:
             break
-    if not terms:
+    if not model.terms:
         share = (toxic + 0.5) / (toxic + clean + 1)
-        model = Model([], np.array([0.0] * FEATURES + [math.log(share / (1 - share))]))
+        model.weights[-1] = math.log(share / (1 - share))
     else:
-        got = _featured(training.withColumn("y", F.col("toxic")), spark.sparkContext.broadcast(terms), "y int").collect()
-        model = Model(terms, fit_logistic(np.array([r["x"] for r in got]), np.array([float(r["y"] != 0) for r in got])))
-    training.unpersist()
+        lexicon = model.lexicon(docs)
+        got = _featured(training.withColumn("y", F.col("toxic")), lexicon, "y int").toArrow()
+        x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+        model.weights = fit_logistic(x, (got.column("y").to_numpy() != 0).astype(float))
+        lexicon.destroy()
+    emptied(training)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, hits of every document; a null or empty text gets the score of a text without hits."""
     weights = model.weights
-    rows = _featured(only(docs, "doc_id", "text"), docs.sparkSession.sparkContext.broadcast(model.terms), "doc_id long")
+    rows = _featured(only(docs, "doc_id", "text"), model.lexicon(docs), "doc_id long")
     z = F.lit(float(weights[-1]))
     for k in range(FEATURES):
         z = z + F.lit(float(weights[k])) * F.col("x")[k]
@@ -343,10 +383,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns as they are; no shuffle."""
-    terms = docs.sparkSession.sparkContext.broadcast(model.terms)
+    lexicon = model.lexicon(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = TermAutomaton(terms.value)
+        automaton = lexicon.value
         for b in batches:
             x = np.zeros((b.num_rows, FEATURES))
             for w in words_of(b.column("text"), LETTERS, clean=folded):

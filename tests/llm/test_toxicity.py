@@ -36,6 +36,20 @@ def test_automaton():
         assert got == want, word
 
 
+def test_a_large_lexicon_is_several_automata():
+    rng = random.Random(2)
+    terms = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(5, 9))).encode() + b"\0" * rng.randint(0, 1) for _ in range(120)})
+    one, several = toxicity.TermAutomaton(terms, 10**6), toxicity.Lexicon(terms, 400)
+    words = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 10))) for _ in range(4000))
+    w = next(words_of(pa.array([words]), toxicity.LETTERS, clean=toxicity.folded))
+    assert len(several.automata) > 2 and (several.match(w) == one.match(w)).all() and set(one.match(w).tolist()) == {0, 1, 2}
+
+
+def test_terms_within_one_another_are_left_out():
+    counts = [(t, 100, 0) for t in (b"wretch", b"wretche", b"wretched\0", b"vermin\0", b"verm")]
+    assert toxicity.learn_terms(counts, 200, 2000) == [b"verm", b"wretch"]
+
+
 def test_quotation_is_told_from_abuse():
     automaton = toxicity.TermAutomaton([b"idiot\0"])
     texts = ["you idiot", 'they wrote "you idiot" there', "they wrote «you idiot» there", "“You Idiot”, they wrote", '"well" you idiot', None, "ÉIDIOT idiot"]
