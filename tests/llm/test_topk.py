@@ -51,3 +51,20 @@ def test_bound_under_a_far_pivot():
     best = [(np.array([8000]), np.array([5]))]
     topk.search_block(np.array([0]), q, np.array([1]), x, topk.distances(x, pivots), pivots, best, 1)
     assert [c.tolist() for c in best[0]] == [[9000], [1]]
+
+
+def test_repeated_rows(spark):
+    rng = random.Random(2)
+    data = [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(50)]
+    rows = spark.createDataFrame([*data, data[7], data[7]], "vec_id long, v array<long>")
+    queries = spark.createDataFrame([data[3], data[3], data[9]], "vec_id long, v array<long>")
+    got = sorted(map(tuple, topk.top_k(rows, queries, 5).collect()))
+    one = brute([*data, data[7], data[7]], [data[3]], 5)
+    assert got == sorted(one + one + brute([*data, data[7], data[7]], [data[9]], 5))
+
+
+def test_floors_leave_out_the_own_row():
+    q, x = np.array([[2, 0], [0, 1]]), np.array([[2, 0], [1, 1], [0, 3]])
+    least = np.iinfo(np.int64).min
+    assert topk.first_floors(np.array([5, 8]), q, np.array([5, 6, 7]), x, 2).tolist() == [0, 1]
+    assert topk.first_floors(np.array([5, 8]), q, np.array([5, 6, 7]), x, 4).tolist() == [least, least]
