@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +47,35 @@ def emptied(*tables: DataFrame) -> None:
         t.sparkSession.range(0).write.mode("overwrite").parquet(t.written_path)
 
 
+def hash_bits(keys: Column, df: DataFrame, bits: int) -> np.ndarray:
+    """A packed bitmap with the last bits of all of ``keys`` (longs) set: a filter of fixed size, whatever the number of keys."""
+    bit = keys.bitwiseAND(bits - 1)
+    rows = df.select(F.shiftright(bit, 6).cast("int").alias("at"), bit.bitwiseAND(63).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def has_bit(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the uint64 hashes may be among the bitmap's keys."""
+    at = hashes & np.uint64(8 * len(bitmap) - 1)
+    return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after which what it has freed goes back to the system, as workers live on between tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def only(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns can neither clash nor be carried along."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import emptied, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs, mark = written(pairs, "links"), None
     while True:
-        pairs = written(least(least(pairs, False), True), "links")
+        last, pairs = pairs, written(least(least(pairs, False), True), "links")
+        emptied(last)
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(now) == mark:
             break

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import emptied, only, written
+from graphloom.llm.common import emptied, has_bit, hash_bits, only, trimmed, written
 from graphloom.llm.words import NOT_ALPHANUMERIC, Words, ngram_hashes, words_of
 
 WINDOW, SHINGLE = 10, 3
@@ -34,6 +34,7 @@ def shingles(w: Words, size: int) -> np.ndarray:
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id (as text), a window's words, joined by blanks, and their number; an item of fewer words is one window."""
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("item_id").to_pylist()
@@ -54,6 +55,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def window_shingles(windows: DataFrame) -> DataFrame:
     """words, n, place, shingle: all shingles of every distinct window; one of fewer words is its own shingle."""
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in words_of(b.column("words"), NOT_ALPHANUMERIC):
@@ -71,15 +73,6 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return windows.select("words", "n").distinct().mapInArrow(cut, "words binary, n int, place int, shingle long")
 
 
-def bitmap(of_windows: DataFrame) -> np.ndarray:
-    """The bits of all shingles' hashes; at most BITMAP / 64 rows reach the driver."""
-    bit = F.expr(f"shingle & {BITMAP - 1}L")
-    rows = of_windows.groupBy((bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shingle & {BITMAP - 1}L & 63L as int))")).alias("bits")).toArrow()
-    bits = np.zeros(BITMAP // 64, np.int64)
-    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
-
-
 def keyed(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns, text and text_key, which stands for the text: rows of one text have the same windows, whatever their ids."""
     return docs.select(*names, "text", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 40)).alias("text_key"))
@@ -88,14 +81,14 @@ def keyed(docs: DataFrame, *names: str) -> DataFrame:
 def candidate_shingles(docs: DataFrame, wanted, sizes: list[int]) -> DataFrame:
     """text_key, places, shingles: those of every row that the bitmap lets through."""
 
+    @trimmed
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value, bitorder="little").view(bool)
         for b in batches:
             for w in words_of(b.column("text"), NOT_ALPHANUMERIC, lower=True):
                 at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for size in sizes:
                     h = shingles(w, size)
-                    maybe = np.flatnonzero(bits[(h & np.uint64(BITMAP - 1)).astype(np.int64)])
+                    maybe = np.flatnonzero(has_bit(wanted.value, h))
                     inside = np.searchsorted(w.bounds, maybe, "right") == np.searchsorted(w.bounds, maybe + size - 1, "right")
                     at.append(maybe[inside])
                     found.append(h[maybe[inside]])
@@ -115,6 +108,7 @@ def verified(docs: DataFrame, aligned: DataFrame) -> DataFrame:
     """doc_id, text_key, n_words, hits (places of hit words), windows (those that occur) for every row of ``docs``."""
     columns = "doc_id long, text_key binary, n_words long, hits array<long>, windows array<binary>"
 
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, hits, windows = np.zeros(b.num_rows, np.int64), [[]] * b.num_rows, [[]] * b.num_rows
@@ -148,7 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     windows = written(item_windows(items, window), "item-windows")
     of_windows = written(window_shingles(windows), "item-shingles")
     sizes = sorted(r["size"] for r in of_windows.select(F.least("n", F.lit(SHINGLE)).alias("size")).distinct().collect())
-    wanted = sc.broadcast(np.packbits(bitmap(of_windows), bitorder="little"))
+    wanted = sc.broadcast(hash_bits(F.col("shingle"), of_windows, BITMAP))
     found = written(candidate_shingles(docs, wanted, sizes), "candidate-shingles")
     wanted.destroy()
     counts = found.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("of"))

@@ -1,11 +1,15 @@
-"""Near copies by the Jaccard similarity of their word shingles: an exact set join, no signatures.
-
-Two sets of similarity t share one of the first |S| - ceil(t|S|) + 1 elements of each in any common
-order, and the first they share leaves enough of both behind it.  Shingles that a sample of the rows shows to be common come last in that order, which
-changes only how many pairs are compared.  Rows of one shingle set are a class, and only classes
-are compared: first those under a shingle with the least of them, then, where a shingle still
-holds several components, the pairs across them.  So a dense group costs about one comparison a
-member, and no pair that is similar enough is left apart.
+"""Near copies by the Jaccard similarity of their word shingles: SimHash links first, then an exact set join.
+
+Rows of one shingle set are a class, and only classes are compared.  SimHash fingerprints of the
+sets, joined by their Golay keys, propose the closest pairs.  What fingerprints miss is found by
+prefix filtering: two sets of similarity t share one of the first |S| - ceil(t|S|) + 1 elements of
+each in any common order (shingles that a sample of the rows shows to be common come last, which
+changes only how many pairs are compared).  Classes under a shingle are first compared with the
+least of them, then, where a shingle still holds several components, across these.  So a dense
+group costs about one comparison a member, and no pair that is similar enough is left apart.
+
+Every pair passes two bounds before its texts are fetched: the sizes, and the differing bits of two
+parity bitmaps, which are never more than the shingles that only one of the sets has.
 """
 
 from __future__ import annotations
@@ -18,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import only, written
+from graphloom.llm.common import emptied, has_bit, hash_bits, only, trimmed, written
 from graphloom.llm.components import connected_components
+from graphloom.llm.simhash import fingerprint_links, majority_bits
 from graphloom.llm.words import BASE, SPACES, mix, ngram_hashes, words_of
 
 #: One row in so many is read to learn which shingles are common, and so many of them are kept.
 SAMPLED, MOST_COMMON = 16, 200_000
-#: Pairs whose texts are compared at once.
-PAIRS = 128
+#: Pairs whose texts are compared at once; longs of a parity bitmap; bits of the filter of rows whose texts are fetched.
+PAIRS, PARITY, FETCHED = 128, 16, 1 << 23
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -43,6 +48,7 @@ def least_shared(n: int, similarity: float) -> int:
 def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of the shingles of three or more sampled rows."""
 
+    @trimmed
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in shingle_sets(b.column("text"), size):
@@ -57,31 +63,54 @@ def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def signed(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """row, digest of the shingle set (two longs), its size, and the shingles to be looked up."""
+    """row, digest of the shingle set (a, c), its size, fingerprint and parity bitmap, and the shingles to be looked up."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
+    @trimmed
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = common.value
         for b in batches:
-            a, c, n, first = [], [], [], []
+            longs: list[tuple] = []
+            parity, first = [], []
             for s in shingle_sets(b.column("text"), size):
-                a.append(int(s.sum(dtype=np.uint64)))
-                c.append(int(mix(s * np.uint64(BASE)).sum(dtype=np.uint64)))
-                n.append(len(s))
+                longs.append((int(s.sum(dtype=np.uint64)), int(mix(s * np.uint64(BASE)).sum(dtype=np.uint64)), len(s), int(majority_bits(s))))
+                odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY).astype(np.uint8) & 1
+                parity.append(np.packbits(odd, bitorder="little").view(np.int64))
                 if len(hashes) and len(s):
                     at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                     s = s[np.argsort(np.where(hashes[at] == s, counts[at], 0), kind="stable")]
                 first.append(s[: len(s) - least_shared(len(s), similarity) + 1].view(np.int64))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, c)]
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("row"), *longs, pa.array(n, pa.int64()), lists], names=["row", "a", "c", "n", "first"])
+            columns = np.array(longs, np.uint64).reshape(-1, 4).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, first)]).astype(np.int32), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))
+            bitmaps = pa.ListArray.from_arrays((PARITY * np.arange(len(parity) + 1)).astype(np.int32), pa.array(np.concatenate([*parity, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(columns[:, i]) for i in range(4)), bitmaps, lists], names=["row", "a", "c", "n", "fp", "parity", "first"])
 
-    return only(docs, "row", "text").mapInArrow(sign, "row long, a long, c long, n long, first array<long>")
+    return only(docs, "row", "text").mapInArrow(sign, "row long, a long, c long, n long, fp long, parity array<long>, first array<long>")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets have at least that similarity."""
+def fetched(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row and text of the rows in ``pairs`` (and of few others): texts that no pair needs are not shuffled."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(F.xxhash64("row").alias("h"))
+    wanted = docs.sparkSession.sparkContext.broadcast(hash_bits(F.col("h"), keys, FETCHED))
 
+    @trimmed
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield b.select(["row", "text"]).filter(pa.array(has_bit(wanted.value, h)))
+
+    return docs.select("row", "text", F.xxhash64("row").alias("h")).mapInArrow(keep, "row long, text string")
+
+
+def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of class representatives whose shingle sets have at least that similarity."""
+    x, y = (classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")) for k in ("a", "b"))
+    differ = sum((F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(1, PARITY)), F.bit_count(F.col("p_a")[0].bitwiseXOR(F.col("p_b")[0])))
+    may = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9)
+    left = written(pairs.join(x, "a").join(y, "b").where(may).select("a", "b"), "pairs")
+    texts = fetched(docs, left)
+
+    @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, PAIRS):
@@ -92,36 +121,51 @@ def similar(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
                     keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = docs.select(F.col("row").alias("a"), F.col("text").alias("x")), docs.select(F.col("row").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    joined = left.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
+    found = written(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    emptied(left)
+    return found
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, component) for every row of ``docs`` (row, text): the rows that similar pairs connect, by one of them.
 
-    ``row`` is a key without nulls or repeats, fixed in a table.  Texts without words are one component.
+    ``row`` is a key without nulls or repeats, fixed in a table.  Null, empty and blank texts have no
+    words and are one component; an empty table gives no rows; other columns are ignored.
     """
-    # at the first shingle in common nothing before it counts, and enough must be left of both sets
-    near = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9
     rows = written(signed(docs, size, similarity), "shingles")
-    classes = written(rows.groupBy("a", "c", "n").agg(F.min("row").alias("rep")), "classes")
+    of_class = F.min(F.struct("row", "fp", "parity")).alias("o")
+    classes = written(rows.groupBy("a", "c", "n").agg(of_class).select("a", "c", "n", F.col("o.row").alias("rep"), F.col("o.fp").alias("fp"), F.col("o.parity").alias("parity")), "classes")
+
+    # fingerprints of at most three differing bits
+    alike = written(classes.groupBy("fp").agg(F.min("rep").alias("center")), "fingerprints")
+    same = classes.join(alike, "fp").select(F.col("center").alias("a"), F.col("rep").alias("b"))
+    near = fingerprint_links(alike.select("fp")).join(alike.select(F.col("fp").alias("x"), F.col("center").alias("a")), "x").join(alike.select(F.col("fp").alias("y"), F.col("center").alias("b")), "y").select("a", "b")
+    tried = written(ordered(same.unionByName(near)), "tried")
+    links = similar(tried, classes, docs, size, similarity)
+
+    # the first shingles of every class
     least = rows.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    keyed = least.select("row", "n", F.posexplode("first").alias("at", "shingle"))
-    centers = keyed.groupBy("shingle").agg(F.count("*").alias("of"), F.min(F.struct("row", "n", "at")).alias("center")).where("of > 1")
-    held = written(keyed.join(centers, "shingle").select("shingle", "row", "n", "at", F.col("center.row").alias("center"), F.col("center.n").alias("m"), F.col("center.at").alias("there")), "shared_shingles")
-    stars = held.where(near & F.expr("row <> center")).select(F.col("center").alias("a"), F.col("row").alias("b")).distinct()
-    links = written(similar(stars, docs, size, similarity), "similar")
+    entries = least.select(F.explode("first").alias("shingle"), "row")
+    centers = written(entries.groupBy("shingle").agg(F.count("*").alias("of"), F.min("row").alias("center")).where("of > 1").select("shingle", "center"), "centers")
+    held = written(entries.join(centers, "shingle").select("shingle", "row", "center"), "shared-shingles")
+    stars = written(ordered(held.select(F.col("center").alias("a"), F.col("row").alias("b"))).join(tried, ["a", "b"], "left_anti"), "stars")
+    links = links.unionByName(similar(stars, classes, docs, size, similarity))
 
     roots = connected_components(links).select(F.col("node").alias("row"), "root")
-    part = held.select("shingle", "row", "n", "at").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    part = written(part, "parted")
-    mixed = part.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    part = part.join(mixed, "shingle", "left_semi")
-    other = part.select("shingle", F.col("row").alias("b"), F.col("n").alias("m"), F.col("at").alias("there"), F.col("root").alias("other"))
-    across = part.withColumnRenamed("row", "a").join(other, "shingle").where(near & F.expr("a < b AND root <> other")).select("a", "b").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = written(across, "across")
-    links = links.unionByName(written(similar(across.join(tried, ["a", "b"], "left_anti"), docs, size, similarity), "similar"))
+    part = written(held.select("shingle", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "parted")
+    mixed = written(part.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle"), "mixed")
+    part = part.join(mixed, "shingle", "left_semi").join(classes.select(F.col("rep").alias("row"), "n"), "row")
+    other = part.select("shingle", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    sizes = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    across = part.withColumnRenamed("row", "a").join(other, "shingle").where(sizes & F.expr("a < b AND root <> other")).select("a", "b").distinct()
+    across = written(across.join(tried, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"), "across")
+    links = links.unionByName(similar(across, classes, docs, size, similarity))
+    emptied(tried, centers, held, stars, mixed, across)
 
     roots = connected_components(links).withColumnRenamed("node", "rep")
     labelled = classes.join(roots, "rep", "left").select("a", "c", "n", F.coalesce("root", "rep").alias("component"))

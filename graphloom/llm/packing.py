@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import only, partitions, written
+from graphloom.llm.common import only, partitions, trimmed, written
 from graphloom.llm.tokens import encoder
 
 PLACES = "length int, rank_from long, rank_to long, seq_from long, offset long"
@@ -103,6 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids
     """Every document's ids with the end id, cut from its end into ``capacity`` long pieces."""
     columns = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]

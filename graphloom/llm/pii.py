@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import trimmed
+
 
 ROUNDS = 8
 #: Dates are permuted among the days of these years.
@@ -282,6 +284,7 @@ def replace_personal_data(docs: DataFrame, key: bytes) -> DataFrame:
     kept = docs.drop("pii_found", "pii_kinds")
     started = kept.withColumns({"pii_found": F.lit(0).cast("long"), "pii_kinds": F.array().cast("array<string>")})
 
+    @trimmed
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, str], str | None] = {}
         for b in batches:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import only, written
+from graphloom.llm.common import only, trimmed, written
 from graphloom.llm.components import connected_components
 from graphloom.llm.words import SPACES, words_of
 
@@ -76,9 +76,18 @@ def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(out)
 
 
+def majority_bits(h: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes; zero of none."""
+    ones = np.zeros(64, np.int64)
+    for c in range(0, len(h), 65536):
+        ones += np.unpackbits(h[c : c + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and its fingerprint (long) from the XXH64 hashes of all word shingles."""
 
+    @trimmed
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xxh64 = xxhash.xxh64_intdigest
         for b in batches:
@@ -100,10 +109,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                         starts = np.concatenate([[0], ends[:-1] + 1])
                     n = min(shingle, hi - lo)
                     h = np.array([xxh64(own[s:e], 42) for s, e in zip(starts[: len(starts) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)], np.uint64)
-                    ones = np.zeros(64, np.int64)
-                    for c in range(0, len(h), 65536):
-                        ones += np.unpackbits(h[c : c + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    values[w.row + k] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+                    values[w.row + k] = majority_bits(h)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
     return only(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(hashed, "doc_id long, fp long")
@@ -130,24 +136,51 @@ def spanning_links(values: np.ndarray, most_errors: int = MOST_ERRORS) -> tuple[
     return (np.concatenate(a), np.concatenate(b)) if a else (values[:0], values[:0])
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """(x, y) fingerprints that link; enough of them to connect all that are linked."""
+#: Members of a key that one task compares; a key with more is parted by further bits.
+MOST_MEMBERS = 4096
+#: Bits of a key that say how far it is parted, which segments it holds, and their values.
+LEVELS = 3
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = b.column("fp").to_numpy(zero_copy_only=False)
-            for c in range(0, len(fps), 20_000):
-                part = fps[c : c + 20_000]
-                at, key = keys(part.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[at])], names=["key", "fp"])
 
+def parted_keys(key: np.ndarray, fps: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of the keys of the next level.
+
+    A key of level 0 leaves two segments, 32 bits, with at most three errors: one of their four bytes
+    has none.  A key of level 1 leaves three bytes: one of the four groups of six bits has none.
+    """
+    i, j = key >> 30 & 3, key >> 28 & 3
+    rest = np.zeros(len(fps), np.uint64)
+    for k in range(SEGMENTS):
+        use = (i != k) & (j != k)
+        rest[use] = rest[use] << np.uint64(16) | fps[use] >> np.uint64(16 * k) & np.uint64(0xFFFF)
+    out = []
+    if level == 0:
+        for c in range(4):
+            out.append(key | np.int64(1 << 60 | c << 40) | (rest >> np.uint64(8 * c) & np.uint64(255)).astype(np.int64) << 32)
+    else:
+        at = 8 * (key >> 40 & 3).astype(np.uint64)
+        below = (np.uint64(1) << at) - np.uint64(1)
+        rest = rest & below | rest >> (at + np.uint64(8)) << at  # without the byte that the key holds
+        for c in range(4):
+            out.append(key ^ np.int64(3 << 60) | np.int64(c << 50) | (rest >> np.uint64(6 * c) & np.uint64(63)).astype(np.int64) << 42)
+    return np.tile(np.arange(len(fps)), 4), np.concatenate(out)
+
+
+def compared(rows: DataFrame, level: int, most: int) -> DataFrame:
+    """x, y, key: links of the members of each key; members of keys with more than ``most`` come as (x, key) of the next level."""
+
+    @trimmed
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held_key, held_fp, crowded = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+
+        def parted(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            at, to = parted_keys(key, fp.view(np.uint64), level)
+            return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.nulls(len(at), pa.int64()), pa.array(to)], names=["x", "y", "key"])
 
         def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             edges = np.flatnonzero(np.diff(key)) + 1
             lo, hi = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-            size, a, b = hi - lo, [], []
+            size, a, b = hi - lo, [fp[:0]], [fp[:0]]
             two = lo[size == 2]
             x, y = fp[two], fp[two + 1]
             near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= MOST_ERRORS
@@ -157,20 +190,56 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
                 x, y = spanning_links(fp[i:j].view(np.uint64))
                 a.append(x.view(np.int64))
                 b.append(y.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["x", "y"])
+            x = np.concatenate(a)
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.concatenate(b)), pa.nulls(len(x), pa.int64())], names=["x", "y", "key"])
 
         for batch in batches:  # sorted by key: the last group of a batch may go on in the next
             key = np.concatenate([held_key, batch.column("key").to_numpy(zero_copy_only=False)])
             fp = np.concatenate([held_fp, batch.column("fp").to_numpy(zero_copy_only=False)])
-            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0
+            if not len(key):
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begins, len(key)))
+            many = np.repeat((size > most) | (key[begins] == crowded), size) & (level + 1 < LEVELS)
+            if many.any():
+                yield parted(key[many], fp[many])
+            crowded = key[-1] if many[-1] else None
+            key, fp = key[~many], fp[~many]
+            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) and crowded is None else len(key)
             held_key, held_fp = key[cut:], fp[cut:]
             if cut:
                 yield out(key[:cut], fp[:cut])
         if len(held_key):
             yield out(held_key, held_fp)
 
-    rows = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linked, "x long, y long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linked, "x long, y long, key long")
+
+
+def fingerprint_links(distinct: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
+    """(x, y) fingerprints that link; enough of them to connect all that are linked.
+
+    No task holds more than ``most`` members of a key and a batch of rows, whatever the key's size:
+    more of them pass as rows of parted keys, down to where a key has 30 exact bits and a codeword.
+    """
+
+    @trimmed
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = b.column("fp").to_numpy(zero_copy_only=False)
+            for c in range(0, len(fps), 20_000):
+                part = fps[c : c + 20_000]
+                at, key = keys(part.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[at])], names=["key", "fp"])
+
+    rows, links = distinct.select("fp").mapInArrow(keyed, "key long, fp long"), None
+    for level in range(LEVELS):
+        found = written(compared(rows, level, most), "links")
+        own = found.where("y IS NOT NULL").select("x", "y")
+        links = own if links is None else links.unionByName(own)
+        rows = found.where("key IS NOT NULL").select("key", F.col("x").alias("fp"))
+        if not rows.take(1):
+            break
+    return links.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -178,7 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Fingerprints link at three or fewer differing bits.  Documents of one fingerprint are a class;
     only classes are linked, whatever their size.  A null, empty or blank text has fingerprint zero
-    and links like any other; rows without doc_id are left out; repeated rows stay repeated.
+    and links like any other; rows without doc_id are left out; repeated rows stay repeated; an empty
+    table gives no rows; columns other than doc_id and text are ignored, whatever their names.
     """
     rows = written(fingerprints(docs), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))

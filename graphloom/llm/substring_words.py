@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.anchors import anchored_runs
-from graphloom.llm.common import emptied, only, written
+from graphloom.llm.common import emptied, only, trimmed, written
 from graphloom.llm.words import BASE, SPACES, Words, mix, ngram_hashes, words_of
 
 #: Words of an anchor.
@@ -47,6 +47,7 @@ def digests(w: Words, begin: np.ndarray, end: np.ndarray, seed: int, bits: int)
 def paths(docs: DataFrame, window: int, seed: int, bits: int) -> DataFrame:
     """h, p, doc_id, at: anchor, digest of the path, document, and first edge << 7 | edges."""
 
+    @trimmed
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
@@ -65,6 +66,7 @@ def edges(docs: DataFrame, branching: DataFrame, window: int, seed: int, bits: i
     """e, doc_id, first: the edges of the given paths (doc_id, at), with digests of their words."""
     wanted = branching.groupBy("doc_id").agg(F.collect_set("at").alias("own"))
 
+    @trimmed
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, own = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("own").to_pylist()
@@ -125,6 +127,7 @@ def judged(docs: DataFrame, gone: DataFrame, window: int, with_text: bool) -> Da
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,last:long>>, claims " + CLAIMS + ", kept string" * with_text
     span, claim = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.struct([("path", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())]))
 
+    @trimmed
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, own = b.column("doc_id").to_pylist(), b.column("gone")

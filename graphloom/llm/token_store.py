@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import only, partitions, written
+from graphloom.llm.common import only, partitions, trimmed, written
 from graphloom.llm.tokens import encoder
 
 #: Ids a chunk, and ids from which a segment is closed.
@@ -87,6 +87,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     A null text is empty: its document is the end id alone.
     """
 
+    @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, part = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         held: list[bytes] = []
@@ -136,6 +137,7 @@ def read_documents(segments: DataFrame, with_ids: bool = False) -> DataFrame:
     # one row a part: a number that the session sets, not the data
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
+    @trimmed
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import trimmed, written
 
 #: Vectors in a block of queries and of candidates, and pivots.
 QUERY_BLOCK, CANDIDATE_BLOCK, PIVOTS = 1024, 8192, 16
@@ -151,6 +151,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, pivot_count: int
     shared = spark.sparkContext.broadcast({d: (choose_pivots(x, pivot_count), ids[:SEEDS], x[:SEEDS]) for d, (ids, x) in sample.items()})
     nothing = (np.zeros((0, 1), np.int64),) * 3
 
+    @trimmed
     def with_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = []

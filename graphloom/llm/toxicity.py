@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import emptied, only, written
+from graphloom.llm.common import emptied, only, trimmed, written
 from graphloom.llm.words import Words, words_of
 
 #: Labelled rows that a model is fitted on at most, taken in the order of their ids' hashes.
@@ -242,6 +242,7 @@ def learn_terms(counts: list[tuple[bytes, int, int]], toxic: int, clean: int) ->
 def stem_counts(training: DataFrame) -> DataFrame:
     """(term, toxic, clean): documents of each class that hold a word or stem."""
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             label, seen = b.column("toxic").to_pylist(), {}
@@ -280,6 +281,7 @@ def telling_terms(training: DataFrame, toxic: int, clean: int) -> list[bytes]:
 def without_terms(training: DataFrame, lexicon) -> DataFrame:
     """The rows of ``training`` (text, toxic) without any of the terms so far."""
 
+    @trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.value
         for b in batches:
@@ -295,6 +297,7 @@ def _featured(docs: DataFrame, lexicon, carried: str) -> DataFrame:
     """``carried`` (name and type) and ``x`` (array<double>) for every row."""
     name = carried.split()[0]
 
+    @trimmed
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.value
         for b in batches:
@@ -385,6 +388,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """The rows of ``docs`` that score below ``threshold``, all columns as they are; no shuffle."""
     lexicon = model.lexicon(docs)
 
+    @trimmed
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.value
         for b in batches:

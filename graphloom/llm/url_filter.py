@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import text_bytes
+from graphloom.llm.common import text_bytes, trimmed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,6 +102,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
     host, path = canonical(F.col("url"))
     rows = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
 
+    @trimmed
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = GlobAutomaton([r.glob for r in ranked])
         names = np.array([r.name for r in ranked] + [None], object)

@@ -78,3 +78,23 @@ def test_near_duplicates(spark):
     assert got == [(i, f"{f:016x}", roots[i]) for i, f in zip(ids, fps, strict=True)]
     assert len({r for r in roots.values()}) < len(ids) - 20
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_crowded_keys_are_parted_without_loss(spark):
+    rng = np.random.default_rng(5)
+    fixed = rng.integers(0, 2**64, dtype=np.uint64) & np.uint64(0xFFFFFFFF00000000)
+    loose = fixed | rng.integers(0, 2**32, 500, dtype=np.uint64)
+    close = np.array([loose[i] ^ sum(np.uint64(1) << np.uint64(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)) for i in range(60)], np.uint64)
+    values = np.unique(np.concatenate([loose, close])).view(np.int64)
+    links = simhash.fingerprint_links(spark.createDataFrame([(int(v),) for v in values], "fp long"), most=8).collect()
+    u = values.view(np.uint64)
+    linked = [(int(values[i]), int(values[j])) for i in range(len(u)) for j in np.flatnonzero(np.bitwise_count(u[:i] ^ u[i]) <= 3)]
+    assert len(linked) >= 60 and {(min(p), max(p)) for p in map(tuple, links)} <= {(min(p), max(p)) for p in linked}
+    every = [int(v) for v in values]
+    assert brute_components(every, [tuple(r) for r in links]) == brute_components(every, linked)
+
+
+def test_repeated_rows_and_rows_without_id(spark):
+    docs = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (2, "a b c d"), (9, None), (7, " ")], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert rows == [(2, 2), (4, 2), (4, 2), (7, 7), (9, 7)]
