@@ -44,7 +44,7 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
 def emptied(*tables: DataFrame) -> None:
     """Empties ``written`` tables that nothing reads any more."""
     for t in tables:
-        t.sparkSession.range(0).write.mode("overwrite").parquet(t.written_path)
+        t.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(t.written_path)
 
 
 def hash_bits(keys: Column, df: DataFrame, bits: int) -> np.ndarray:
