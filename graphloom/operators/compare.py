@@ -125,9 +125,10 @@ def hierarchy(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
 def resolve_ids(values: DataFrame, aliases: DataFrame, structural: str = r"[:0-9]") -> DataFrame:
     """Free-form ids (unit_uid, position, value) to candidates (id, alias, alias_order).
 
-    Equal aliases are an equi-join.  What is left is compared with structural aliases by their
-    beginning: a value can only begin with an alias that shares its first token, which is the key.
-    First by value position, exact before beginning, then alias order.
+    Equal aliases are an equi-join.  What is left is compared with structural aliases: a value may
+    begin with the alias, or hold the id, as a token or the beginning of one, anywhere.  The tokens of
+    the value, and their parts before each colon, are the keys that meet the first tokens of both.
+    First by value position, exact before the others, then alias order.
     """
     norm = lambda c: search_form(F.col(c))
     values = values.withColumn("v", norm("value")).where("v <> ''")
@@ -136,12 +137,12 @@ def resolve_ids(values: DataFrame, aliases: DataFrame, structural: str = r"[:0-9
     known = known.withColumn("r", F.row_number().over(first)).where("r = 1").select("a", "id", "alias_order")
     exact = values.join(known, F.col("v") == F.col("a")).select("unit_uid", "position", "v", "id", "alias_order", F.lit(0).alias("tier"))
     rest = values.join(exact.select("unit_uid", "position"), ["unit_uid", "position"], "left_anti")
-    token = lambda c: F.regexp_extract(F.col(c), r"^[^ \-]*", 0)
-    short = known.where(F.col("a").rlike(structural)).withColumn("t", F.regexp_extract("a", r"^[^ \-]*", 0))
+    first_token = lambda c: F.regexp_extract(c, r"^[^ \-]*", 0)
+    short = known.where(F.col("a").rlike(structural)).withColumn("t", F.explode(F.array_distinct(F.array(first_token(F.col("a")), first_token(F.lower("id"))))))
     begins = F.col("v").startswith(F.concat("a", F.lit(" "))) | F.col("v").startswith(F.concat("a", F.lit(":"))) | F.col("v").startswith(F.concat("a", F.lit("-"))) | F.col("v").contains(F.lower("id"))
-    # a value "alias:rest" has a longer token; its parts before each colon are keys as well
-    cut = rest.withColumn("parts", F.split(token("v"), ":"))
-    keyed = cut.withColumn("t", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", F.lit(1), n), ":"))))
+    tokens = F.split("v", r"[ \-,;()\[\]（），；]+")
+    prefixes = lambda w: F.transform(F.sequence(F.lit(1), F.size(F.split(w, ":"))), lambda n: F.array_join(F.slice(F.split(w, ":"), F.lit(1), n), ":"))
+    keyed = rest.withColumn("t", F.explode(F.array_distinct(F.flatten(F.transform(tokens, prefixes))))).where("t <> ''")
     part = keyed.join(short, "t").where(begins).select("unit_uid", "position", "v", "id", "alias_order", F.lit(1).alias("tier")).distinct()
     order = Window.partitionBy("unit_uid").orderBy("position", "tier", "alias_order", "id")
     return exact.unionByName(part).withColumn("r", F.row_number().over(order)).where("r = 1").select("unit_uid", "id", "tier")

@@ -35,8 +35,8 @@ def delete_document(document_id: str, jobs: DataFrame, registry: DataFrame, node
     """All datasets without a document: its jobs, its registry row and the spaces that it made."""
     spaces = registry.where(F.col("document_id") == document_id).select(SPACE).distinct()
     return {
-        "jobs": jobs.where(F.col("document_id") != document_id),
-        "registry": registry.where(F.col("document_id") != document_id),
+        "jobs": jobs.where(~F.col("document_id").eqNullSafe(document_id)),
+        "registry": registry.where(~F.col("document_id").eqNullSafe(document_id)),
         "nodes": remove(nodes, spaces, [SPACE]),
         "edges": remove(edges, spaces, [SPACE]),
     }

@@ -233,34 +233,45 @@ def typed_neighborhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, no
     return reached
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, most: int = 16) -> DataFrame:
-    """Closure of ``starts`` over CONTAINS, upwards; of several parents the last one by edge_uid counts."""
+def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Closure of ``starts`` over CONTAINS, upwards, to any height; of several parents the last one by edge_uid counts."""
     parent = edges.where(F.upper("edge_type") == "CONTAINS").groupBy(SPACE, F.col("target_uid").alias(NODE)).agg(F.max_by("source_uid", "edge_uid").alias("parent"))
     reached = frontier = starts.select(*KEY).distinct()
-    for _ in range(most):
+    parent = cut_lineage(parent)
+    while True:
         step = frontier.join(parent, KEY).select(SPACE, F.col("parent").alias(NODE)).distinct()
         frontier = cut_lineage(step.join(reached, KEY, "left_anti"))
         if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+            return reached
+        reached = cut_lineage(reached.unionByName(frontier))
 
 
-def prune(nodes: DataFrame, edges: DataFrame, node_id: str, most: int = 32) -> DataFrame:
-    """Drops a node and, until nothing changes, its neighbors left with one connection or none; never a root."""
+def prune(nodes: DataFrame, edges: DataFrame, node_id: str, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without a node and, until nothing changes, its neighbors left with one connection or none.
+
+    ``roots``, by default each space's standard nodes, only go if named.  A space of which nothing
+    would be left, or that hasn't the node, stays as it is.
+    """
+    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
+    roots = cut_lineage((nodes.where("node_type = 'standard'") if roots is None else roots).select(*KEY))
     near = cut_lineage(endpoints(inner_edges(nodes, edges)).where(F.col(NODE) != F.col("other_uid")).select(SPACE, NODE, "other_uid").distinct())
     gone = nodes.where(F.col(NODE) == node_id).select(*KEY)
     last = gone
-    for _ in range(most):
+    while True:
         left = near.join(gone, KEY, "left_anti").join(gone.withColumnRenamed(NODE, "other_uid"), [SPACE, "other_uid"], "left_anti").groupBy(*KEY).agg(F.count("*").alias("n"))
         touched = near.join(last.withColumnRenamed(NODE, "other_uid"), [SPACE, "other_uid"], "left_semi").select(*KEY).distinct().join(gone, KEY, "left_anti")
         weak = touched.join(left, KEY, "left").where(F.coalesce("n", F.lit(0)) <= 1)
-        weak = weak.join(nodes.select(*KEY, "node_type"), KEY).where("node_type <> 'standard'").select(*KEY)
+        weak = weak.select(*KEY).join(roots, KEY, "left_anti")
         last = cut_lineage(weak)
         if last.isEmpty():
             break
-        gone = gone.unionByName(last)
-    return nodes.join(gone, KEY, "left_anti")
+        gone = cut_lineage(gone.unionByName(last))
+    left = nodes.join(gone, KEY, "left_anti")
+    gone = gone.join(left.select(SPACE).distinct(), SPACE, "left_semi")
+    kept = edges
+    for end in ("source_uid", "target_uid"):
+        kept = kept.join(gone.withColumnRenamed(NODE, end), [SPACE, end], "left_anti")
+    return nodes.join(gone, KEY, "left_anti"), kept.select(*edges.columns)
 
 
 def tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

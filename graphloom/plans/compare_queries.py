@@ -134,14 +134,14 @@ def resolved_ids(spark, sf) -> DataFrame:
 
 
 @query("comparison_graph_edges", """
-SELECT edge_type, count(*) AS n FROM (SELECT 'CONTAINS' AS edge_type FROM e WHERE edge_type = 'CONTAINS' AND (source_uid IN (SELECT x.source_uid FROM e x JOIN customer ON x.target_uid = 'customer:' || c_custkey WHERE c_custkey % 10 = 0) AND target_uid IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey % 10 = 0)
- OR source_uid LIKE 'region:%' AND target_uid IN (SELECT x.source_uid FROM e x JOIN customer ON x.target_uid = 'customer:' || c_custkey WHERE c_custkey % 10 = 0))
-UNION ALL SELECT CASE WHEN c_custkey % 20 = 0 THEN 'COVERED' ELSE 'VIOLATED' END FROM customer WHERE c_custkey % 10 = 0) GROUP BY ALL""")
+SELECT standard_uid, edge_type, source_uid, target_uid FROM e WHERE edge_type = 'CONTAINS' AND (target_uid LIKE 'customer:%' OR target_uid IN (SELECT 'nation:' || c_nationkey FROM customer))
+UNION ALL SELECT 'space' || n_regionkey, CASE c_custkey % 4 WHEN 0 THEN 'COVERED' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'MISSING' ELSE 'VIOLATED' END, 'report-compare:u' || c_custkey % 3, 'customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def comparison_graph_edges(spark, sf) -> DataFrame:
     nodes, edges_ = kg(spark, sf)
     key = F.substring_index("node_uid", ":", -1).cast("long")
-    judged = nodes.where("node_type = 'clause'").where(key % 10 == 0).select("standard_uid", F.lit("u1").alias("unit_uid"), "node_uid", F.when(key % 20 == 0, "covered").otherwise("violated").alias("status"), F.lit("r").alias("reason"))
-    return compare.comparison_graph(nodes, edges_, judged)[1].groupBy("edge_type").agg(F.count("*").alias("n"))
+    status = F.element_at(F.array(*map(F.lit, ("covered", "partial", "missing", "violated"))), (key % 4 + 1).cast("int"))
+    judged = nodes.where("node_type = 'clause'").select("standard_uid", F.concat(F.lit("u"), key % 3).alias("unit_uid"), "node_uid", status.alias("status"), F.lit("r").alias("reason"))
+    return compare.comparison_graph(nodes, edges_, judged)[1]
 
 
 @query("merge_entities", """

@@ -218,7 +218,7 @@ def ancestor_closure(spark, sf) -> DataFrame:
 
 @query("prune_node", None)
 def prune_node(spark, sf) -> DataFrame:
-    return graph.prune(*kg(spark, sf), "nation:1").select("standard_uid", "node_uid")
+    return graph.prune(*kg(spark, sf), "nation:1")[0].select("standard_uid", "node_uid")
 
 
 #: A clause left with one order goes, then that order if it has one part or none, then that part if nothing else is about it; rounds in turn.

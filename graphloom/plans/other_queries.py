@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph, graph_build, payloads
+from graphloom.sources.stage import cut_lineage
 from graphloom.sources.bindings import JOB_LOG, KG_EDGES, KG_NODES, duck, kg, tables
 from graphloom.sources.stage import shared_dir
 from graphloom.streaming import pipelines
@@ -104,10 +105,11 @@ def context_tails(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", tail.alias("tail"))
 
 
-@query("embedding_store", "SELECT node_uid, 'concept' AS node_type, 'm' AS model, 64 AS dimensions FROM n JOIN embeddings ON node_uid = 'part:1:' || vec_id WHERE standard_uid = 'space1'", n=KG_NODES)
+@query("embedding_store", "SELECT node_uid, 'concept' AS node_type, 'm' AS model, 64 AS dimensions FROM n JOIN embeddings ON split_part(node_uid, ':', 3) = CAST(vec_id AS VARCHAR) WHERE node_type = 'concept'", n=KG_NODES)
 def embedding_store(spark, sf) -> DataFrame:
-    nodes = kg(spark, sf)[0].where("standard_uid = 'space1'").withColumn("embedding_text", F.col("label"))
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.concat(F.lit("part:1:"), F.col("vec_id").cast("string")).alias("node_uid"), F.col("embedding").alias("vector"))
+    nodes = cut_lineage(kg(spark, sf)[0].withColumn("embedding_text", F.col("label")))
+    parts = nodes.where("node_type = 'concept'").select("node_uid", F.substring_index("node_uid", ":", -1).cast("long").alias("vec_id"))
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector")).join(parts, "vec_id").select("node_uid", "vector")
     return graph_build.embedding_store(graph_build.embedding_inputs(nodes), vectors, "m").select("node_uid", "node_type", "model", "dimensions")
 
 

@@ -36,7 +36,7 @@ b AS (
   SELECT c_nationkey, page_idx, 5, item_idx, 'list_item',
          concat(CAST(item_idx AS VARCHAR(9)), '）监测资料',
            CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '必须' WHEN '2' THEN '应' WHEN '3' THEN '宜' WHEN '4' THEN '可' ELSE '不得' END,
-           '符合 GB ', CAST(50000 + o_orderkey % 300 AS VARCHAR(9)), '-2016；') FROM k JOIN o ON o_custkey = c_custkey WHERE item_idx <= 3
+           '符合 GB ', CAST(50000 + o_orderkey % 300 AS VARCHAR(9)), '-2016；') FROM k JOIN o ON o_custkey = c_custkey
   UNION ALL
   SELECT c_nationkey, page_idx, 6, 0, 'table', concat('表 ', CAST(ch AS VARCHAR(9)), '.', CAST(sec AS VARCHAR(9)), '-', CAST(cl AS VARCHAR(9)), ' 特性表') FROM k WHERE c_custkey % 5 = 0)
 SELECT concat('sn', CAST(c_nationkey AS VARCHAR(9)), ':2024') AS standard_uid, page_idx, block_idx, item_idx, source_type, text FROM b

@@ -32,8 +32,8 @@ def test_traversals(spark):
     start = graph.start_nodes(nodes, edges)
     assert [r["node_uid"] for r in graph.breadth_first(nodes, edges, start, 4).orderBy("seq").collect()] == ["s", "a", "b", "c", "d"]
     assert {r["node_uid"] for r in graph.ancestors(edges, nodes.where("node_uid = 'c'")).collect()} == {"c", "b", "a", "s"}
-    assert {r["node_uid"] for r in graph.prune(nodes, edges, "d").collect()} == {"s", "a", "b", "c"}
-    assert {r["node_uid"] for r in graph.prune(nodes, edges.where("edge_uid <> 'e6'"), "c").collect()} == {"s", "d"}
+    assert {r["node_uid"] for r in graph.prune(nodes, edges, "d")[0].collect()} == {"s", "a", "b", "c"}
+    assert {r["node_uid"] for r in graph.prune(nodes, edges.where("edge_uid <> 'e6'"), "c")[0].collect()} == {"s", "d"}
     assert {r["node_uid"]: r["weight"] for r in graph.leaf_weights(graph.tree(nodes, edges, start, 3)).collect()} == {"s": 2, "a": 2, "b": 2, "c": 1, "d": 1}
     found = compare.hierarchy(nodes, edges)
     assert [(r["id"], r["chapter_id"], r["section_id"]) for r in found["clauses"].orderBy("id").collect()] == [("c", "a", "b"), ("d", "a", "b")]
@@ -65,3 +65,42 @@ def test_streams(spark, tmp_path):
     got = pipelines.run_to_end(run, lambda: pipelines.latest_version(spark, f"{tmp_path}/blocks"))
     assert sorted((r["standard_uid"], r["source_type"], r["text"]) for r in got.collect()) == [(d, k, t) for d in ("a", "b") for k, t in (("list_item", "1）x"), ("paragraph", "1.1.1 应检查"))]
     assert artifacts.unparsed(spark.createDataFrame([("x", "{"), ("y", "[]")], "uid string, json string")).count() == 1
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    names = ["s", *(f"n{i:02d}" for i in range(35))]
+    nodes = spark.createDataFrame([("s", n, "standard" if n == "s" else "clause", n, None) for n in names], NODES)
+    edges = spark.createDataFrame([("s", f"e{i}", "CONTAINS", names[i], names[i + 1]) for i in range(35)], EDGES)
+    assert graph.ancestors(edges, nodes.where("node_uid = 'n34'")).count() == 36
+    left, kept = graph.prune(nodes, edges, "n34")
+    assert [r["node_uid"] for r in left.collect()] == ["s"] and kept.count() == 0
+
+
+def test_pruning_stops_at_roots_and_never_empties_a_space(spark):
+    nodes, edges = small(spark)
+    left, kept = graph.prune(nodes, edges, "s", nodes.where("node_uid = 'b'"))
+    assert {r["node_uid"] for r in left.collect()} == {"b", "c", "d"} and {r["edge_uid"] for r in kept.collect()} >= {"e3"}
+    chain = edges.where("edge_uid IN ('e1', 'e2')")
+    left, kept = graph.prune(nodes.where("node_uid IN ('s', 'a', 'b')"), chain, "s", nodes.limit(0))
+    assert left.count() == 3 and kept.count() == 2
+
+
+def test_ids_within_a_value(spark):
+    values = spark.createDataFrame([("u1", 1, "see clause part:12 here"), ("u2", 1, "Part:12:x"), ("u3", 1, "(part:7), part:12"), ("u4", 1, "nothing")], "unit_uid string, position int, value string")
+    known = spark.createDataFrame([("part:12", "part:12", 2), ("part:7", "part:7", 1)], "id string, alias string, alias_order int")
+    assert {r["unit_uid"]: r["id"] for r in compare.resolve_ids(values, known).collect()} == {"u1": "part:12", "u2": "part:12", "u3": "part:7"}
+
+
+def test_rows_without_document_stay(spark):
+    jobs = spark.createDataFrame([("j1", "d1"), ("j2", None), ("j3", "d2")], "job_id string, document_id string")
+    registry = spark.createDataFrame([("s", "d1"), ("t", None)], "standard_uid string, document_id string")
+    nodes, edges = small(spark)
+    left = edits.delete_document("d1", jobs, registry, nodes, edges)
+    assert {r["job_id"] for r in left["jobs"].collect()} == {"j2", "j3"} and left["registry"].count() == 1 and left["nodes"].count() == 0
+
+
+def test_numeric_entities(spark):
+    from graphloom.operators import report
+
+    rows = spark.createDataFrame([("a &#20013;&#x6587; b",), ("&lt;plain&gt;",), (None,), ("&#65;",)], "t string")
+    assert [r[0] for r in rows.select(report.unescaped(F.col("t"))).collect()] == ["a 中文 b", "<plain>", None, "A"]
