@@ -21,7 +21,7 @@ from graphloom.llm.words import BASE, FIRST_BYTES, Words, mix, words_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Slots of a worker's table (a power of two), pieces and bytes of long pieces that it keeps; beyond that it starts anew.
+#: Slots of a worker's table (a power of two), pieces and bytes of long pieces that it keeps; beyond that it forgets the later ones.
 SLOTS, MOST_PIECES, LONG_BYTES = 1 << 21, 900_000, 8 << 20
 #: Bytes of text cut at once, pieces encoded at once (each holds Python objects for a while), and pieces joined to one input.
 TEXT_BYTES, ENCODED, JOINED = 1 << 19, 4096, 64
@@ -49,7 +49,7 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().items()
         self.separator = next(((t.content, i) for i, t in sorted(added, key=lambda x: x[0]) if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)), ("", -1))
         self.slots, self.most_pieces = np.empty(slots, np.int32), min(most_pieces, slots // 2)
-        self.block = self.most_pieces // 4
+        self.block = self.most_pieces // 2
         self._clear()
 
     def _clear(self) -> None:
@@ -61,6 +61,21 @@ class Encoder:
         self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.uint32)
 
+    def _shrink(self) -> None:
+        """Keeps the third of the pieces that were learned first, which are the most frequent ones, and forgets the others."""
+        keep = self.most_pieces // 3 if self.long_bytes <= LONG_BYTES else 0
+        if not 0 < keep < self.count:
+            self._clear()
+            return
+        self.used = int(self.at[keep])
+        self.count = keep
+        self.slots[:] = -1
+        self.long = {k: n for k, n in self.long.items() if n < keep}
+        self.long_bytes = sum(len(p) for p, _ in self.long)
+        short = np.flatnonzero(self.tag[:keep] > 0)
+        self._put(mix(self.k0[short] * np.uint64(BASE) ^ mix(self.k1[short] + self.tag[short])), short)
+        self.tag[keep:] = 0
+
     def _encode_apart(self, inputs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each input, all ids): inputs are joined by a special token, which none of them holds and which parts the encoding."""
         sizes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
@@ -109,7 +124,7 @@ class Encoder:
         """The number of ids of every piece data[start:end] (-1: can't stand alone), and their ids one after the other."""
         length = ends - starts
         if self.count + len(length) > self.most_pieces or self.long_bytes > LONG_BYTES:
-            self._clear()
+            self._shrink()
         numbers = np.full(len(length), -1, np.int64)
         short = np.flatnonzero(length <= SHORT)
         padded = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(SHORT, np.uint8)]), SHORT)
