@@ -10,7 +10,9 @@ cut doesn't hold (runs of white space next to a space, special-token strings) ar
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +29,8 @@ SLOTS, MOST_PIECES, LONG_BYTES = 1 << 21, 900_000, 8 << 20
 TEXT_BYTES, ENCODED, JOINED = 1 << 19, 4096, 64
 #: Bytes of a piece that is compared as two numbers.
 SHORT = 16
+#: Pieces of printable Latin characters: composition leaves them alone, lower case is one character for one, none is white space.
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch
 BLANK = np.zeros(256, bool)
 BLANK[0x20] = True
 FIRST = 32  # set in the tag of a piece that begins its text
@@ -48,10 +52,23 @@ class Encoder:
         self.spaced = self.tokenizer.normalizer is None
         added = self.tokenizer.get_added_tokens_decoder().items()
         self.separator = next(((t.content, i) for i, t in sorted(added, key=lambda x: x[0]) if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)), ("", -1))
+        self.plain = self._without_normalizer(path)
         self.slots, self.most_pieces = np.empty(slots, np.int32), min(most_pieces, slots // 2)
         self.block = self.most_pieces // 2
         self._clear()
 
+    def _without_normalizer(self, path: str):
+        """The tokenizer for lower-cased plain pieces, where its normalizer does nothing else to them; else None."""
+        from tokenizers import Tokenizer
+
+        config = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        steps = [(s["type"], s.get("pattern", {}).get("Regex")) for s in config.get("normalizers", [])]
+        if self.spaced or ("Lowercase", None) not in steps or not set(steps) <= {("NFC", None), ("Lowercase", None), ("Replace", r"\s+")}:
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = None
+        return plain
+
     def _clear(self) -> None:
         self.slots[:] = -1
         self.long: dict[tuple[bytes, bool], int] = {}
@@ -77,13 +94,25 @@ class Encoder:
         self.tag[keep:] = 0
 
     def _encode_apart(self, inputs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each input, all ids): inputs are joined by a special token, which none of them holds and which parts the encoding."""
+        """(number of ids of each input, all ids)."""
+        if not self.plain:
+            return self._encode_marked(inputs, self.tokenizer)
+        plain = np.fromiter((PLAIN(p) is not None for p in inputs), bool, len(inputs))
+        groups = np.flatnonzero(plain), np.flatnonzero(~plain)
+        parts = [self._encode_marked([inputs[i].lower() for i in groups[0].tolist()], self.plain), self._encode_marked([inputs[i] for i in groups[1].tolist()], self.tokenizer)]
+        order, both, flat = np.concatenate(groups), np.concatenate([s for s, _ in parts]), np.concatenate([f for _, f in parts])
+        sizes, begins = np.empty(len(inputs), np.int64), np.empty(len(inputs), np.int64)
+        sizes[order], begins[order] = both, np.cumsum(both) - both
+        return sizes, flat[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))]
+
+    def _encode_marked(self, inputs: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs are joined by a special token, which none of them holds and which parts the encoding."""
         sizes, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         mark, end = self.separator
         for i in range(0, len(inputs), ENCODED):
             part = inputs[i : i + ENCODED]
             joined = [mark.join(part[j : j + JOINED]) + mark for j in range(0, len(part), JOINED)] if mark else part
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            encoded = [e.ids for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
             flat = np.fromiter(chain.from_iterable(encoded), np.uint32)
             ends = np.flatnonzero(flat == end) if mark else np.cumsum([len(x) for x in encoded]) - 1
             sizes.append(np.diff(np.concatenate([[-1], ends])) - bool(mark))

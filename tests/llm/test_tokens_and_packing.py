@@ -27,7 +27,7 @@ def plain(path, texts, end):
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_cached_encoding_is_exact(path):
     rng = random.Random(5)
-    parts = ["a", "The", "word", "it's", "'s", " ", "  ", "\n", "\t", " ", "\x1c", "é", "é", "́", "12", "3.4", "<|endoftext|>", "<|", "ﬁ", "İ", "ß", "😀", "!?", "-"]
+    parts = ["a", "The", "word", "it's", "'s", " ", "  ", "\n", "\t", " ", "\x1c", "é", "é", "́", "12", "3.4", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "ﬁ", "Ÿ", "Ⱥ", "¡", "\u00ad", "\u00a0", "Σ", "I'LL", "İ", "ß", "😀", "!?", "-"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + TEXTS
     encoder, got = Encoder(path), []
     for part in (texts, texts[::-1]):
