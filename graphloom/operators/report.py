@@ -25,6 +25,9 @@ TOC = ["目录", "目 录"]
 FRONT = ["内容提要", "内容摘要", "摘要"]
 UNIT_CHARS, UNIT_BLOCKS, LEVELS = 900, 4, 5
 TEXTUAL = ["paragraph", "equation"]
+MEDIA = {"table": "table", "image": "figure"}
+KINDS = ("chapter", "section", "subsection", "appendix", "topic", "subtopic", "front_matter", "toc")
+IMPLICIT = "前置内容"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 # End of fixed values.
 
@@ -174,9 +177,17 @@ def with_stack(rows: DataFrame) -> DataFrame:
 
 
 def planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Blocks with the plan of their titles (ignored and toc-page titles open nothing) and the open sections."""
+    """Blocks with the plan of their titles (ignored and toc-page titles open nothing) and the open sections.
+
+    Content before any section opens one of its own, on the first level, at its first block.
+    """
     named = plan.where("kind <> 'ignore'").select(DOC, "pos", "kind", "level", "ref", "structural")
-    return with_stack(rows.join(named, [DOC, "pos"], "left").withColumn("title", F.when(F.col("level").isNotNull(), F.col("text_normalized"))))
+    rows = rows.join(named, [DOC, "pos"], "left").withColumn("title", F.when(F.col("level").isNotNull(), F.col("text_normalized")))
+    content = (F.col("source_type") != "title") & (F.col("page_role") != "toc")
+    before = F.count("level").over(so_far()) + F.count_if(content).over(so_far())
+    rows = rows.withColumn("implicit", content & F.col("level").isNull() & (before == 1))
+    made = {"title": IMPLICIT, "kind": "front_matter", "level": 1, "structural": False}
+    return with_stack(rows.withColumns({c: F.when(F.col("implicit"), F.lit(v)).otherwise(F.col(c)) for c, v in made.items()}))
 
 
 def sections(stacked: DataFrame) -> DataFrame:
@@ -184,7 +195,7 @@ def sections(stacked: DataFrame) -> DataFrame:
     rows = stacked.where("level IS NOT NULL")
     nth = F.row_number().over(by())
     path = F.transform("stack", lambda s: s["title"])
-    out = rows.select(DOC, "pos", nth.alias("nth"), "title", "kind", "level", "ref", "structural", "page_idx", "page_role", path.alias("path"), F.transform(F.filter("stack", lambda s: s["structural"]), lambda s: s["title"]).alias("structural_path"), F.when(F.size("stack") > 1, F.element_at("stack", -2)["pos"]).alias("parent_pos"))
+    out = rows.select(DOC, "pos", nth.alias("nth"), "title", "kind", "level", "ref", "structural", F.when(F.col("implicit"), 1).otherwise(F.col("page_idx")).alias("page_idx"), F.when(F.col("implicit"), "front_matter").otherwise(F.col("page_role")).alias("page_role"), F.when(F.col("implicit"), "auto-front-matter").otherwise(F.col("block_id")).alias("block_id"), "implicit", path.alias("path"), F.transform(F.filter("stack", lambda s: s["structural"]), lambda s: s["title"]).alias("structural_path"), F.when(F.size("stack") > 1, F.element_at("stack", -2)["pos"]).alias("parent_pos"))
     return out.withColumn("section_uid", F.concat(F.lit("report:"), F.col(DOC), F.lit(":section:"), F.col("nth").cast("string")))
 
 
@@ -216,24 +227,56 @@ def text_units(stacked: DataFrame) -> DataFrame:
     return units.withColumns({"parent_pos": F.try_element_at("stack", F.lit(-1))["pos"], "section_path": F.transform("stack", lambda s: s["title"]), "structural_path": F.transform(F.filter("stack", lambda s: s["structural"]), lambda s: s["title"])}).drop("run", "chunk")
 
 
-def implicit_sections(units: DataFrame) -> DataFrame:
-    """One front-matter section for every document whose content begins before any section."""
-    return units.where("parent_pos IS NULL").groupBy(DOC).agg(F.count("*").alias("units"), F.min("unit_page").alias("page_idx")).withColumn("title", F.lit("前置内容"))
+def media(stacked: DataFrame) -> DataFrame:
+    """Tables and figures, one row each, numbered apart within their document; those of contents pages are skipped.
+
+    caption, footnote, html, item_ref and image_path are taken where the blocks have them.
+    """
+    rows = stacked.where(F.col("source_type").isin(*MEDIA) & (F.col("page_role") != "toc")).withColumn("part", F.when(F.col("source_type") == "table", MEDIA["table"]).otherwise(MEDIA["image"]))
+    given = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("caption", "footnote", "html", "item_ref", "image_path")]
+    nth = F.row_number().over(Window.partitionBy(DOC, "part").orderBy("pos"))
+    named = rows.select(
+        DOC, "pos", "part", nth.alias("nth"), "page_idx", "page_role", "block_id", F.col("text_normalized").alias("text"), *given, "stack", F.try_element_at("stack", F.lit(-1))["pos"].alias("parent_pos"),
+        F.transform("stack", lambda s: s["title"]).alias("section_path"), F.transform(F.filter("stack", lambda s: s["structural"]), lambda s: s["title"]).alias("structural_path"),
+    )
+    return named.withColumn("uid", F.concat(F.lit("report:"), F.col(DOC), F.lit(":"), F.col("part"), F.lit(":"), F.col("nth").cast("string")))
+
+
+def implicit_sections(found: DataFrame, units: DataFrame) -> DataFrame:
+    """The sections that content before any title opened, with the number of their own units."""
+    own = units.groupBy(DOC, F.col("parent_pos").alias("pos")).agg(F.count("*").alias("units"))
+    return found.where("implicit").join(own, [DOC, "pos"], "left").select(DOC, "pos", "section_uid", "title", "page_idx", F.coalesce("units", F.lit(0)).alias("units"))
+
+
+def contents(units: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Units, and tables and figures if given, under one set of names."""
+    own = units.select(DOC, "pos", F.col("unit_uid").alias("uid"), F.lit("unit").alias("part"), "parent_pos", "text", F.col("unit_page").alias("page"), F.col("last_block").alias("block"), "stack")
+    if others is None:
+        return own
+    return own.unionByName(others.select(DOC, "pos", "uid", "part", "parent_pos", "text", F.col("page_idx").alias("page"), F.col("block_id").alias("block"), "stack"))
 
 
-def section_contents(found: DataFrame, units: DataFrame) -> DataFrame:
-    """Sections with the units of their whole subtree: number, page span (of units' last blocks), preview."""
-    member = units.select(DOC, F.col("pos").alias("unit_pos"), "unit_uid", "unit_page", "text", F.explode(F.transform("stack", lambda s: s["pos"])).alias("pos"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("unit_pos", "text"))), lambda x: x["text"])
-    grouped = member.groupBy(DOC, "pos").agg(F.count("*").alias("members"), F.min("unit_page").alias("first_page"), F.max("unit_page").alias("last_page"), F.substring(F.array_join(texts, "\n"), 1, 500).alias("content_preview"))
+def section_contents(found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Sections with what their whole subtree holds: number and uids, page span and outermost blocks (of units' last blocks), preview."""
+    member = contents(units, others).withColumnRenamed("pos", "at").select(DOC, "at", "uid", "page", "block", "text", F.explode(F.transform("stack", lambda s: s["pos"])).alias("pos"))
+    inside = F.array_sort(F.collect_list(F.struct("at", "text", "uid")))
+    grouped = member.groupBy(DOC, "pos").agg(
+        F.count("*").alias("members"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min_by("block", "at").alias("first_block"), F.max_by("block", "at").alias("last_block"),
+        F.substring(F.array_join(F.transform(inside, lambda x: x["text"]), "\n"), 1, 500).alias("content_preview"), F.transform(inside, lambda x: x["uid"]).alias("member_uids"),
+    )
     own = found.join(grouped, [DOC, "pos"], "left")
-    return own.withColumns({"members": F.coalesce("members", F.lit(0)), "first_page": F.coalesce("first_page", "page_idx"), "last_page": F.coalesce("last_page", "page_idx"), "content_preview": F.coalesce("content_preview", F.lit(""))})
+    return own.withColumns({"members": F.coalesce("members", F.lit(0)), "first_page": F.coalesce("first_page", "page_idx"), "last_page": F.coalesce("last_page", "page_idx"), "content_preview": F.coalesce("content_preview", F.lit("")), "member_uids": F.coalesce("member_uids", F.array().cast("array<string>"))})
+
+
+def all_parts(found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Sections and their contents; ``first`` orders a section before the block that opened it."""
+    heads = found.select(DOC, "pos", F.col("section_uid").alias("uid"), F.lit("section").alias("part"), "parent_pos")
+    return heads.unionByName(contents(units, others).select(*heads.columns)).withColumn("first", F.when(F.col("part") == "section", 0).otherwise(1))
 
 
-def ordered_parts(found: DataFrame, units: DataFrame) -> DataFrame:
-    """Sections and units numbered together in the order in which they end."""
-    both = found.select(DOC, "pos", F.col("section_uid").alias("uid"), F.lit("section").alias("part")).unionByName(units.select(DOC, "pos", F.col("unit_uid").alias("uid"), F.lit("unit").alias("part")))
-    return both.withColumn("order_index", F.row_number().over(Window.partitionBy(DOC).orderBy("pos", "part")))
+def ordered_parts(found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Sections, units, tables and figures numbered together in the order in which they end."""
+    return all_parts(found, units, others).withColumn("order_index", F.row_number().over(Window.partitionBy(DOC).orderBy("pos", "first")))
 
 
 def scopes(units: DataFrame, found: DataFrame) -> DataFrame:
@@ -244,11 +287,14 @@ def scopes(units: DataFrame, found: DataFrame) -> DataFrame:
     return text.groupBy(DOC, scope.alias("scope_uid")).agg(F.max("title").alias("title"), F.array_join(texts, "\n\n").alias("text"), F.count("*").alias("units"), F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
 
 
-def report_metrics(rows: DataFrame, found: DataFrame, units: DataFrame) -> DataFrame:
-    """Per document: pages by role, sections by kind, units."""
+def report_metrics(rows: DataFrame, found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Per document: pages by role, sections by kind, units, tables and figures."""
     pages = rows.groupBy(DOC).agg(*[F.count_distinct(F.when(F.col("page_role") == r, F.col("page_idx"))).alias(f"{r}_pages") for r in ("front_matter", "toc", "body")])
-    kinds = found.groupBy(DOC).agg(F.count("*").alias("sections"), *[F.count_if(F.col("kind") == k).alias(f"{k}_sections") for k in ("chapter", "section", "topic", "front_matter")])
-    return pages.join(kinds, DOC, "left").join(units.groupBy(DOC).agg(F.count("*").alias("units")), DOC, "left").fillna(0)
+    kinds = found.groupBy(DOC).agg(F.count("*").alias("sections"), *[F.count_if(F.col("kind") == k).alias(f"{k}_sections") for k in KINDS])
+    whole = pages.join(kinds, DOC, "left").join(units.groupBy(DOC).agg(F.count("*").alias("units"), F.count_if(F.col("page_role") == "front_matter").alias("front_matter_units")), DOC, "left")
+    if others is not None:
+        whole = whole.join(others.groupBy(DOC).agg(*[F.count_if(F.col("part") == m).alias(f"{m}s") for m in MEDIA.values()]), DOC, "left")
+    return whole.fillna(0)
 
 
 def text_previews(rows: DataFrame, most: int = 180) -> DataFrame:
@@ -265,21 +311,26 @@ def text_previews(rows: DataFrame, most: int = 180) -> DataFrame:
     return rows.where("source_type = 'title'").join(after, [DOC, "group"]).select(DOC, "pos", "before", N.blank_to_null(F.col("after")).alias("after"))
 
 
-def report_nodes(found: DataFrame, units: DataFrame) -> DataFrame:
-    """Nodes of a report's graph: the report, its sections and units."""
-    root = units.select(DOC).union(found.select(DOC)).distinct().select(DOC, F.concat(F.lit("report:"), DOC).alias("node_uid"), F.lit("report").alias("node_type"), F.col(DOC).alias("label"), F.col(DOC).alias("text_content"))
-    heads = found.select(DOC, F.col("section_uid").alias("node_uid"), F.lit("report_section").alias("node_type"), F.col("title").alias("label"), F.array_join("path", " > ").alias("text_content"))
-    own = units.select(DOC, F.col("unit_uid").alias("node_uid"), F.lit("report_unit").alias("node_type"), preview(F.col("text")).alias("label"), F.col("text").alias("text_content"))
-    return root.unionByName(heads).unionByName(own)
+def report_nodes(found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Nodes of a report's graph: the report, its sections (with a preview of what they hold), units, tables and figures."""
+    text = lambda *cs: F.array_join(F.filter(F.array(*cs), lambda x: x.isNotNull() & (x != "")), "\n")
+    root = all_parts(found, units, others).select(DOC).distinct().select(DOC, F.concat(F.lit("report:"), DOC).alias("node_uid"), F.lit("report").alias("node_type"), F.col(DOC).alias("label"), F.col(DOC).alias("text_content"))
+    heads = section_contents(found, units, others).select(DOC, F.col("section_uid").alias("node_uid"), F.lit("report_section").alias("node_type"), F.col("title").alias("label"), text(F.array_join("structural_path", " > "), F.col("title"), F.col("content_preview")).alias("text_content"))
+    own = units.select(DOC, F.col("unit_uid").alias("node_uid"), F.lit("report_unit").alias("node_type"), F.substring("text", 1, 80).alias("label"), F.col("text").alias("text_content"))
+    nodes = root.unionByName(heads).unionByName(own)
+    if others is None:
+        return nodes
+    footnote = F.when(F.col("part") == "figure", F.col("footnote"))
+    shown = others.select(DOC, F.col("uid").alias("node_uid"), F.concat(F.lit("report_"), F.col("part")).alias("node_type"), F.coalesce("caption", "item_ref", "uid").alias("label"), text(F.col("caption"), footnote, F.col("text")).alias("text_content"))
+    return nodes.unionByName(shown.withColumn("text_content", F.coalesce(N.blank_to_null(F.col("text_content")), "node_uid")))
 
 
-def report_edges(found: DataFrame, units: DataFrame) -> DataFrame:
+def report_edges(found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """CONTAINS from parents (the report where there is none) and NEXT between siblings in order."""
     up = found.select(DOC, F.col("pos").alias("parent_pos"), F.col("section_uid").alias("parent_uid"))
-    parts = found.select(DOC, "pos", F.col("section_uid").alias("uid"), "parent_pos").unionByName(units.select(DOC, "pos", F.col("unit_uid").alias("uid"), "parent_pos"))
-    placed = parts.join(up, [DOC, "parent_pos"], "left").withColumn("parent_uid", F.coalesce("parent_uid", F.concat(F.lit("report:"), DOC)))
+    placed = all_parts(found, units, others).join(up, [DOC, "parent_pos"], "left").withColumn("parent_uid", F.coalesce("parent_uid", F.concat(F.lit("report:"), DOC)))
     contains = placed.select(DOC, F.lit("CONTAINS").alias("edge_type"), F.col("parent_uid").alias("source_uid"), F.col("uid").alias("target_uid"))
-    by = Window.partitionBy(DOC, "parent_uid").orderBy("pos")
-    follow = placed.withColumn("following", F.lead("uid").over(by)).where("following IS NOT NULL").select(DOC, F.lit("NEXT").alias("edge_type"), F.col("uid").alias("source_uid"), F.col("following").alias("target_uid"))
+    siblings = Window.partitionBy(DOC, "parent_uid").orderBy("pos", "first")
+    follow = placed.withColumn("following", F.lead("uid").over(siblings)).where("following IS NOT NULL").select(DOC, F.lit("NEXT").alias("edge_type"), F.col("uid").alias("source_uid"), F.col("following").alias("target_uid"))
     both = contains.unionByName(follow)
     return both.withColumn("edge_uid", N.edge_uid(F.col("edge_type"), F.col("source_uid"), F.col("target_uid")))

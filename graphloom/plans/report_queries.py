@@ -28,14 +28,28 @@ F_ = """SELECT document_id, run, nth, n AS chars, 1 AS cnt, 0 AS chunk, n >= 900
 U = """SELECT document_id, pos, text, blocks, first_page, last_page, parent_pos, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS nth, unit_page, stack FROM (
  SELECT p.document_id, max(pos) AS pos, string_agg(text, chr(10) ORDER BY pos) AS text, count(*) AS blocks, min(page_idx) AS first_page, max(page_idx) AS last_page, any_value(stack[-1]) AS parent_pos, arg_max(page_idx, pos) AS unit_page, any_value(stack) AS stack FROM p JOIN f USING (document_id, run, nth) GROUP BY p.document_id, p.run, chunk
  UNION ALL SELECT document_id, pos, text, 1, page_idx, page_idx, stack[-1], page_idx, stack FROM k WHERE source_type = 'list_item')"""
+#: Reports with tables (lines with cells) and figures (some paragraphs), every second one without a first title: its first content opens a section.
+MEDIA_BLOCKS = """SELECT document_id, page_idx, block_idx, CASE WHEN text LIKE '%|%' THEN 'table' WHEN source_type = 'paragraph' AND block_idx % 13 = 0 THEN 'image'
+ WHEN block_idx = 1 AND length(text) % 2 = 0 THEN 'paragraph' ELSE source_type END AS source_type, text FROM plain_blocks"""
+ML = "SELECT *, CASE WHEN source_type = 'title' THEN 1 + length(text) % 5 WHEN pos = 1 THEN 1 END AS level FROM b"
+X = """SELECT document_id, pos, row_number() OVER (PARTITION BY document_id ORDER BY pos) AS nth, stack, page_idx, source_type, CASE WHEN source_type = 'title' THEN text ELSE '前置内容' END AS title, stack[-2] AS parent_pos FROM k WHERE level IS NOT NULL"""
+M = """SELECT document_id, pos, CASE source_type WHEN 'table' THEN 'table' ELSE 'figure' END AS part, row_number() OVER (PARTITION BY document_id, source_type ORDER BY pos) AS nth, stack[-1] AS parent_pos, page_idx, text, stack FROM k WHERE source_type IN ('table', 'image')"""
+Q = """SELECT document_id, pos, 0 AS first, 'section' AS part, parent_pos, 'report:' || document_id || ':section:' || nth AS uid, NULL AS text, NULL AS page, NULL AS stack FROM x
+ UNION ALL SELECT document_id, pos, 1, 'unit', parent_pos, 'report:' || document_id || ':unit:' || nth, text, unit_page, stack FROM u
+ UNION ALL SELECT document_id, pos, 1, part, parent_pos, 'report:' || document_id || ':' || part || ':' || nth, text, page_idx, stack FROM m"""
+C = """SELECT x.document_id, x.pos, count(q.uid) AS members, coalesce(min(q.page), any_value(CASE WHEN x.source_type = 'title' THEN x.page_idx ELSE 1 END)) AS first_page,
+ coalesce(max(q.page), any_value(CASE WHEN x.source_type = 'title' THEN x.page_idx ELSE 1 END)) AS last_page, coalesce(substr(string_agg(q.text, chr(10) ORDER BY q.pos), 1, 500), '') AS content_preview,
+ coalesce(string_agg(q.uid, ',' ORDER BY q.pos), '') AS member_uids FROM x LEFT JOIN q ON q.document_id = x.document_id AND q.part <> 'section' AND list_contains(q.stack, x.pos) GROUP BY x.document_id, x.pos"""
 CTES = {"doc_lines": DUCK_LINES, "doc_blocks": DOC_BLOCKS, "b": B, "l": L, "s": S, "k": K, "r": R, "p": P, "f": F_, "u": U}
 
+MEDIA_CTES = {"doc_lines": DUCK_LINES, "plain_blocks": DOC_BLOCKS, "doc_blocks": MEDIA_BLOCKS, **{n: t for n, t in CTES.items() if n not in ("doc_lines", "doc_blocks")}, "l": ML, "x": X, "m": M, "q": Q, "c": C}
 
-def query(name: str, sql: str | None):
+
+def query(name: str, sql: str | None, ctes: dict[str, str] = CTES):
     def put(f):
         QUERIES[name] = f
         if sql:
-            ORACLE[name] = duck(sql, **CTES).replace("WITH ", "WITH RECURSIVE ", 1)
+            ORACLE[name] = duck(sql, **ctes).replace("WITH ", "WITH RECURSIVE ", 1)
         return f
 
     return put
@@ -45,9 +59,14 @@ def rows_of(spark, sf) -> DataFrame:
     return report.page_roles(report.normalized(doc_blocks(spark, sf)))
 
 
-def by_length(spark, sf) -> DataFrame:
+def media_blocks(spark, sf) -> DataFrame:
+    doc_blocks(spark, sf).createOrReplaceTempView("plain_blocks")
+    return spark.sql(MEDIA_BLOCKS)
+
+
+def by_length(spark, sf, blocks=doc_blocks) -> DataFrame:
     """Blocks under an outline whose levels come from the titles' lengths."""
-    rows = rows_of(spark, sf).withColumn("page_role", F.lit("body"))
+    rows = report.page_roles(report.normalized(blocks(spark, sf))).withColumn("page_role", F.lit("body"))
     titles = rows.where("source_type = 'title'").select("document_id", "pos", F.lit("topic").alias("kind"), (1 + F.length("text_normalized") % 5).alias("level"), F.lit(None).cast("string").alias("ref"), F.lit(True).alias("structural"))
     return cut_lineage(report.planned(rows, titles))
 
@@ -57,6 +76,12 @@ def parts(spark, sf) -> tuple[DataFrame, DataFrame]:
     return report.sections(stacked), cut_lineage(report.text_units(stacked))
 
 
+def media_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sections, units, and tables with figures."""
+    stacked = by_length(spark, sf, media_blocks)
+    return report.sections(stacked), cut_lineage(report.text_units(stacked)), report.media(stacked)
+
+
 @query("report_blocks", "SELECT document_id, pos, source_type, text AS text_normalized FROM b")
 def report_blocks(spark, sf) -> DataFrame:
     return report.normalized(doc_blocks(spark, sf)).select("document_id", "pos", "source_type", "text_normalized")
@@ -95,7 +120,7 @@ def section_contents(spark, sf) -> DataFrame:
 
 @query("implicit_sections", "SELECT document_id, count(*) AS units FROM u WHERE parent_pos IS NULL GROUP BY ALL")
 def implicit_sections(spark, sf) -> DataFrame:
-    return report.implicit_sections(parts(spark, sf)[1]).select("document_id", "units")
+    return report.implicit_sections(*parts(spark, sf)).select("document_id", "units")
 
 
 @query("order_index", """
@@ -136,7 +161,8 @@ def report_graph_nodes(spark, sf) -> DataFrame:
 
 
 @query("report_metrics", """
-SELECT document_id, 0 AS front_matter_pages, 0 AS toc_pages, body_pages, coalesce(sections, 0) AS sections, 0 AS chapter_sections, 0 AS section_sections, coalesce(sections, 0) AS topic_sections, 0 AS front_matter_sections, coalesce(units, 0) AS units FROM
+SELECT document_id, 0 AS front_matter_pages, 0 AS toc_pages, body_pages, coalesce(sections, 0) AS sections, 0 AS chapter_sections, 0 AS section_sections, coalesce(sections, 0) AS topic_sections, 0 AS front_matter_sections,
+ 0 AS subsection_sections, 0 AS appendix_sections, 0 AS subtopic_sections, 0 AS toc_sections, coalesce(units, 0) AS units, 0 AS front_matter_units FROM
 (SELECT document_id, count(DISTINCT page_idx) AS body_pages FROM b GROUP BY ALL) LEFT JOIN (SELECT document_id, count(*) AS sections FROM k WHERE level IS NOT NULL GROUP BY ALL) USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS units FROM u GROUP BY ALL) USING (document_id)""")
 def report_metrics(spark, sf) -> DataFrame:
     stacked = by_length(spark, sf)
@@ -148,3 +174,52 @@ SELECT document_id, pos, CASE WHEN length(t) <= 180 THEN t ELSE rtrim(substr(t,
 def nearest_text(spark, sf) -> DataFrame:
     rows = rows_of(spark, sf).withColumn("page_role", F.lit("body"))
     return report.text_previews(rows).select("document_id", "pos", "before")
+
+
+@query("report_media", "SELECT document_id, pos, part, nth, parent_pos, page_idx, text FROM m", MEDIA_CTES)
+def report_media(spark, sf) -> DataFrame:
+    return report.media(by_length(spark, sf, media_blocks)).select("document_id", "pos", "part", "nth", "parent_pos", "page_idx", "text")
+
+
+@query("report_parts_in_order", "SELECT document_id, uid, part, row_number() OVER (PARTITION BY document_id ORDER BY pos, first) AS order_index FROM q", MEDIA_CTES)
+def report_parts_in_order(spark, sf) -> DataFrame:
+    return report.ordered_parts(*media_parts(spark, sf)).select("document_id", "uid", "part", "order_index")
+
+
+@query("report_section_members", "SELECT document_id, pos, members, first_page, last_page, content_preview, member_uids FROM c", MEDIA_CTES)
+def report_section_members(spark, sf) -> DataFrame:
+    return report.section_contents(*media_parts(spark, sf)).select("document_id", "pos", "members", "first_page", "last_page", "content_preview", F.array_join("member_uids", ",").alias("member_uids"))
+
+
+@query("front_matter_sections", """
+SELECT x.document_id, 'report:' || x.document_id || ':section:' || x.nth AS section_uid, x.title, count(u.nth) AS units FROM x LEFT JOIN u ON u.document_id = x.document_id AND u.parent_pos = x.pos WHERE x.source_type <> 'title' GROUP BY ALL""", MEDIA_CTES)
+def front_matter_sections(spark, sf) -> DataFrame:
+    found, units, _ = media_parts(spark, sf)
+    return report.implicit_sections(found, units).select("document_id", "section_uid", "title", "units")
+
+
+@query("report_space_nodes", """
+SELECT DISTINCT document_id, 'report:' || document_id AS node_uid, 'report' AS node_type, document_id AS label, document_id AS text_content FROM q
+UNION ALL SELECT document_id, uid, 'report_' || part, CASE part WHEN 'unit' THEN substr(text, 1, 80) ELSE uid END, text FROM q WHERE part <> 'section'
+UNION ALL SELECT x.document_id, 'report:' || x.document_id || ':section:' || x.nth, 'report_section', x.title, coalesce(any_value(sp) || chr(10), '') || x.title || CASE WHEN any_value(content_preview) <> '' THEN chr(10) || any_value(content_preview) ELSE '' END
+ FROM x JOIN c USING (document_id, pos) LEFT JOIN (SELECT x.document_id, x.pos, string_agg(b.text, ' > ' ORDER BY b.pos) AS sp FROM x JOIN b ON b.document_id = x.document_id AND list_contains(x.stack, b.pos) AND b.source_type = 'title' GROUP BY ALL) USING (document_id, pos)
+ GROUP BY x.document_id, x.nth, x.title""", MEDIA_CTES)
+def report_space_nodes(spark, sf) -> DataFrame:
+    return report.report_nodes(*media_parts(spark, sf))
+
+
+@query("report_space_edges", """
+WITH placed AS (SELECT q.*, coalesce(p.uid, 'report:' || q.document_id) AS parent_uid FROM q LEFT JOIN q AS p ON p.document_id = q.document_id AND p.part = 'section' AND p.pos = q.parent_pos)
+SELECT document_id, 'CONTAINS' AS edge_type, parent_uid AS source_uid, uid AS target_uid FROM placed
+UNION ALL SELECT * FROM (SELECT document_id, 'NEXT', uid, lead(uid) OVER (PARTITION BY document_id, parent_uid ORDER BY pos, first) AS following FROM placed) WHERE following IS NOT NULL""", MEDIA_CTES)
+def report_space_edges(spark, sf) -> DataFrame:
+    return report.report_edges(*media_parts(spark, sf)).select("document_id", "edge_type", "source_uid", "target_uid")
+
+
+@query("report_space_metrics", """
+SELECT document_id, sections, topic_sections, front_matter_sections, units, tables, figures FROM (SELECT document_id, count(*) AS sections, count(*) FILTER (source_type = 'title') AS topic_sections, count(*) FILTER (source_type <> 'title') AS front_matter_sections FROM x GROUP BY ALL)
+JOIN (SELECT document_id, count(*) FILTER (part = 'unit') AS units, count(*) FILTER (part = 'table') AS tables, count(*) FILTER (part = 'figure') AS figures FROM q GROUP BY ALL) USING (document_id)""", MEDIA_CTES)
+def report_space_metrics(spark, sf) -> DataFrame:
+    stacked = by_length(spark, sf, media_blocks)
+    measured = report.report_metrics(stacked, report.sections(stacked), report.text_units(stacked), report.media(stacked))
+    return measured.select("document_id", "sections", "topic_sections", "front_matter_sections", "units", "tables", "figures")

@@ -44,8 +44,13 @@ def test_golden(spark, tmp_path):
     decided = spark.createDataFrame([("r1", pos, "section", 2, None, True)], "document_id string, pos int, kind string, level int, ref string, structural boolean")
     over = report.override_plan(plan, decided)
     assert report.plan_source(over).first()["source"] == "hybrid" and over.where(f"pos = {pos}").first()["kind"] == "section"
-    edges = report.report_edges(report.sections(stacked), units)
-    assert edges.where("edge_type = 'CONTAINS'").count() == 7 + units.count()
+    media = report.media(stacked)
+    shown = {r["uid"]: (r["item_ref"], r["caption"], r["section_path"][-1]) for r in media.collect()}
+    assert shown == {"report:r1:table:1": ("2.1-1", "表 2.1-1 工程特性表", "2.1 工程基本情况"), "report:r1:figure:1": ("2.1-1", "图 2.1-1 工程布置图", "2.1 工程基本情况")}
+    nodes = {r["node_uid"]: r["label"] for r in report.report_nodes(report.sections(stacked), units, media).collect()}
+    assert nodes["report:r1:figure:1"] == "图 2.1-1 工程布置图" and len(nodes) == 1 + 7 + units.count() + 2
+    edges = report.report_edges(report.sections(stacked), units, media)
+    assert edges.where("edge_type = 'CONTAINS'").count() == 7 + units.count() + 2
 
 
 def test_units_and_outline_read_like_a_reader(spark):
@@ -56,6 +61,9 @@ def test_units_and_outline_read_like_a_reader(spark):
 
         def flush():
             if buffer:
+                if not stack:  # content before any title
+                    stack.append((1, report.IMPLICIT))
+                    paths.append([report.IMPLICIT])
                 units.append("\n".join(buffer))
                 buffer.clear()
 
@@ -72,7 +80,8 @@ def test_units_and_outline_read_like_a_reader(spark):
                 paths.append([t for _, t in stack])
             elif kind == "list_item":
                 flush()
-                units.append(text)
+                buffer.append(text)
+                flush()
             else:
                 buffer.append(text)
                 if sum(map(len, buffer)) >= 900 or len(buffer) >= 4:
