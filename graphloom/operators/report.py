@@ -279,6 +279,17 @@ def ordered_parts(found: DataFrame, units: DataFrame, others: DataFrame | None =
     return all_parts(found, units, others).withColumn("order_index", F.row_number().over(Window.partitionBy(DOC).orderBy("pos", "first")))
 
 
+def space_view(found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sections, units) as a report space shows them: parents by uid, place among all parts, page span, members."""
+    up = found.select(DOC, F.col("pos").alias("parent_pos"), F.col("section_uid").alias("parent_section_uid"))
+    order = ordered_parts(found, units, others).select(DOC, "uid", "order_index")
+    place = lambda rows, uid: rows.join(up, [DOC, "parent_pos"], "left").join(order.withColumnRenamed("uid", uid), [DOC, uid])
+    pages = [F.array(F.col("first_page"), F.col("last_page")).alias("page_span")]
+    heads = place(section_contents(found, units, others), "section_uid").select(DOC, "section_uid", "parent_section_uid", "title", F.col("kind").alias("section_kind"), "path", "order_index", *pages, F.col("members").alias("member_count"))
+    own = place(units, "unit_uid").select(DOC, "unit_uid", "parent_section_uid", "unit_type", "section_path", "structural_path", "text", "order_index", *pages)
+    return heads, own
+
+
 def scopes(units: DataFrame, found: DataFrame) -> DataFrame:
     """Text units gathered by their section (units without one stand alone)."""
     text = units.where("unit_type = 'text'").join(found.select(DOC, F.col("pos").alias("parent_pos"), F.col("section_uid").alias("parent_uid"), "title"), [DOC, "parent_pos"], "left")

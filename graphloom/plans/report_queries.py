@@ -223,3 +223,22 @@ def report_space_metrics(spark, sf) -> DataFrame:
     stacked = by_length(spark, sf, media_blocks)
     measured = report.report_metrics(stacked, report.sections(stacked), report.text_units(stacked), report.media(stacked))
     return measured.select("document_id", "sections", "topic_sections", "front_matter_sections", "units", "tables", "figures")
+
+
+@query("report_space_sections", """
+WITH o AS (SELECT document_id, uid, row_number() OVER (PARTITION BY document_id ORDER BY pos, first) AS order_index FROM q),
+paths AS (SELECT x.document_id, x.pos, string_agg(y.title, ' > ' ORDER BY y.pos) AS path FROM x JOIN x AS y ON y.document_id = x.document_id AND list_contains(x.stack, y.pos) GROUP BY ALL)
+SELECT x.document_id, 'report:' || x.document_id || ':section:' || x.nth AS section_uid, 'report:' || x.document_id || ':section:' || p.nth AS parent_section_uid, x.title, CASE WHEN x.source_type = 'title' THEN 'topic' ELSE 'front_matter' END AS section_kind,
+ path, order_index, first_page, last_page, members AS member_count FROM x JOIN c USING (document_id, pos) JOIN paths USING (document_id, pos) LEFT JOIN x AS p ON p.document_id = x.document_id AND p.pos = x.parent_pos JOIN o ON o.uid = 'report:' || x.document_id || ':section:' || x.nth""", MEDIA_CTES)
+def report_space_sections(spark, sf) -> DataFrame:
+    shown = report.space_view(*media_parts(spark, sf))[0]
+    return shown.select("document_id", "section_uid", "parent_section_uid", "title", "section_kind", F.array_join("path", " > ").alias("path"), "order_index", F.col("page_span")[0].alias("first_page"), F.col("page_span")[1].alias("last_page"), "member_count")
+
+
+@query("report_space_units", """
+WITH o AS (SELECT document_id, uid, row_number() OVER (PARTITION BY document_id ORDER BY pos, first) AS order_index FROM q)
+SELECT u.document_id, 'report:' || u.document_id || ':unit:' || u.nth AS unit_uid, 'report:' || u.document_id || ':section:' || x.nth AS parent_section_uid, text, order_index, first_page, last_page
+ FROM u JOIN x ON x.document_id = u.document_id AND x.pos = u.parent_pos JOIN o ON o.uid = 'report:' || u.document_id || ':unit:' || u.nth""", MEDIA_CTES)
+def report_space_units(spark, sf) -> DataFrame:
+    shown = report.space_view(*media_parts(spark, sf))[1]
+    return shown.select("document_id", "unit_uid", "parent_section_uid", "text", "order_index", F.col("page_span")[0].alias("first_page"), F.col("page_span")[1].alias("last_page"))

@@ -104,3 +104,21 @@ def test_numeric_entities(spark):
 
     rows = spark.createDataFrame([("a &#20013;&#x6587; b",), ("&lt;plain&gt;",), (None,), ("&#65;",)], "t string")
     assert [r[0] for r in rows.select(report.unescaped(F.col("t"))).collect()] == ["a 中文 b", "<plain>", None, "A"]
+
+
+def test_merges_carry_properties(spark):
+    nodes = spark.createDataFrame(
+        [("s", "a", "clause", "A", "text a", {"x": "1", "y": "1"}, ["old"]), ("s", "b", "clause", "B", "", {"y": "2", "z": "2"}, None), ("s", "c", "clause", "C", "text c", None, None)],
+        "standard_uid string, node_uid string, node_type string, label string, text_content string, properties map<string,string>, merged_aliases array<string>",
+    )
+    merges = spark.createDataFrame([("s", "a", "b")], "standard_uid string, source string, target string")
+    got = {r["node_uid"]: r for r in edits.merge_nodes(nodes, merges, "B", new_type="topic", new_properties={"z": "3", "w": "3"}).collect()}
+    b = got["b"]
+    assert set(got) == {"b", "c"} and b["properties"] == {"x": "1", "y": "2", "z": "3", "w": "3"} and (b["node_type"], b["text_content"]) == ("topic", "text a")
+    assert b["merged_aliases"] == ["A", "old"] and b["merged_node_ids"] == ["a", "b"] and got["c"]["properties"] is None and got["c"]["text_content"] == "text c"
+    edges = spark.createDataFrame(
+        [("s", "e1", "ABOUT", "a", "c", {"k": "1"}), ("s", "e2", "ABOUT", "b", "c", {"k": "2", "l": "2"}), ("s", "e3", None, "a", "b", None)],
+        "standard_uid string, edge_uid string, edge_type string, source_uid string, target_uid string, properties map<string,string>",
+    )
+    [edge] = edits.merge_edges(edges, merges).collect()
+    assert (edge["edge_uid"], edge["merged_edge_ids"], edge["properties"]) == ("e1", ["e2"], {"k": "1", "l": "2"})
