@@ -242,6 +242,34 @@ def safe_segment(c: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(strip(c), "[^A-Za-z0-9._-]+", "-"), F.lit("-.")))
 
 
+#: Fixed value: codes of standards as file names hold them.
+STANDARD_FILE = r"(?iU)(GB|SL|DL/T|SDJ|SLJ)\s*(\d+)[-—](\d{2,4})"
+
+
+def file_stem(name: Column) -> Column:
+    """The last part of a path without its last extension."""
+    return F.regexp_replace(F.substring_index(name, "/", -1), r"(?<=.)\.[^.]+$", "")
+
+
+def file_descriptor(name: Column) -> Column:
+    """standard_id, code, year and title of a standard from its file name; null if the name holds no code."""
+    kind, number, year = (F.regexp_extract(name, STANDARD_FILE, i) for i in (1, 2, 3))
+    title = F.regexp_replace(file_stem(name), r"(?U)^\d+[_\s-]*", "")
+    made = F.struct(F.concat(F.lower(F.replace(kind, F.lit("/"), F.lit(""))), number, F.lit(":"), year).alias("standard_id"), F.concat(F.upper(kind), number).alias("code"), year.alias("year"), title.alias("title"))
+    return F.when(name.rlike(STANDARD_FILE), made)
+
+
+def source_format(name: Column) -> Column:
+    """docx, doc or else pdf, by the extension."""
+    extension = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))
+    return F.when(extension.isin("docx", "doc"), extension).otherwise("pdf")
+
+
+def document_slug(name: Column) -> Column:
+    """The part of a document's id that comes from its file name; the caller adds a suffix of its own."""
+    return F.substring(F.btrim(F.regexp_replace(F.lower(file_stem(name)), "[^a-zA-Z0-9._-]+", "-"), F.lit("-")), 1, 80)
+
+
 #: Functions whose names can stand for themselves in SQL, as ``register`` makes them.
 SQL_FUNCTIONS = {
     "gl_search_form": ("s STRING", "STRING", r"regexp_replace(trim(lower(coalesce(s, ''))), '(?U)\\s+', ' ')"),

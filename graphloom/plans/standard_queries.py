@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import normative as N
 from graphloom.operators import graph_build, outline, requirements
-from graphloom.sources.bindings import SPEC_BLOCKS, duck, spec_blocks
+from graphloom.sources.bindings import SPEC_BLOCKS, bound, duck, spec_blocks
 from graphloom.sources.stage import cut_lineage
 
 QUERIES: dict = {}
@@ -236,3 +236,23 @@ def embedding_inputs(spark, sf) -> DataFrame:
     nodes = graph_build.standard_nodes(*parts(spark, sf))
     made = graph_build.embedding_inputs(nodes, ("chapter", "section", "clause"))
     return made.groupBy("standard_uid", "node_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+DUCK_FILE = N.STANDARD_FILE.replace("(?iU)", "(?i)")
+#: File names of standards, made of parts.
+FILE_NAMES = """
+SELECT p_partkey, concat(CAST(p_partkey AS VARCHAR(19)), CASE p_size % 3 WHEN 0 THEN '_' WHEN 1 THEN ' - ' ELSE '' END,
+ CASE p_size % 6 WHEN 0 THEN 'GB ' WHEN 1 THEN 'sl' WHEN 2 THEN 'DL/T ' WHEN 3 THEN 'Sdj  ' WHEN 4 THEN 'SLJ' ELSE 'note ' END, CAST(p_partkey % 900 + 100 AS VARCHAR(9)), CASE WHEN p_size % 2 = 0 THEN '-' ELSE '—' END, CAST(1990 + p_size AS VARCHAR(9)),
+ ' ', p_name, CASE p_size % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.doc' ELSE '.v2.pdf' END) AS name FROM part
+"""
+
+
+@query("file_descriptors", f"""
+SELECT p_partkey, CASE WHEN ok THEN lower(replace(regexp_extract(name, '{DUCK_FILE}', 1), '/', '')) || regexp_extract(name, '{DUCK_FILE}', 2) || ':' || regexp_extract(name, '{DUCK_FILE}', 3) END AS standard_id,
+ CASE WHEN ok THEN upper(regexp_extract(name, '{DUCK_FILE}', 1)) || regexp_extract(name, '{DUCK_FILE}', 2) END AS code, CASE WHEN ok THEN regexp_replace(stem, '^\\d+[_\\s-]*', '') END AS title,
+ CASE WHEN lower(name) LIKE '%.docx' THEN 'docx' WHEN lower(name) LIKE '%.doc' THEN 'doc' ELSE 'pdf' END AS source_format, substr(trim(regexp_replace(lower(stem), '[^a-zA-Z0-9._-]+', '-', 'g'), '-'), 1, 80) AS slug
+FROM (SELECT p_partkey, name, regexp_matches(name, '{DUCK_FILE}') AS ok, regexp_replace(string_split(name, '/')[-1], '\\.[^.]+$', '') AS stem FROM ({FILE_NAMES}))""")
+def file_descriptors(spark, sf) -> DataFrame:
+    named, name = bound(spark, sf, FILE_NAMES), F.col("name")
+    own = named.withColumn("d", N.file_descriptor(name))
+    return own.select("p_partkey", "d.standard_id", "d.code", "d.title", N.source_format(name).alias("source_format"), N.document_slug(name).alias("slug"))
