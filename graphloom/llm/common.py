@@ -106,5 +106,23 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+#: Keys with more than this part of all rows are joined by broadcast: there are at most so many of them.
+HOT_KEYS = 1000
+
+
+def joined_back(rows: DataFrame, distinct: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` with what ``distinct`` (one row a key, with the number of its rows) has found for their key.
+
+    A key of many rows would meet in one task.  Those with more than a thousandth of all rows are
+    fewer than a thousand, so these alone are broadcast; all others meet in a shuffle.
+    """
+    total = distinct.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_KEYS > total
+    few = F.broadcast(distinct.where(hot).drop(count))
+    near = rows.join(few, keys)
+    far = rows.join(F.broadcast(distinct.where(hot).select(*keys)), keys, "left_anti").hint("shuffle_merge").join(distinct.where(~hot).drop(count), keys)
+    return near.unionByName(far)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, pii, simhash, substring_bytes, substring_words, tiers, token_store, topk, toxicity, url_filter
+from graphloom.llm import decontaminate, packing, pii, simhash, substring_bytes, substring_words, tiers, token_store, topk, toxicity, url_filter, whitening
 from graphloom.llm.common import table
 
 URL_RULES = [
@@ -72,6 +72,10 @@ def op11_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, tiers=tiers.TIERS)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_packing": op10_packing,
     "op11_tiered_packing": op11_tiered_packing,
+    "op12_whitening": op12_whitening,
 }
 
 #: DuckDB's form of those that SQL can express.
