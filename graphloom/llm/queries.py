@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, packing, pii, simhash, substring_bytes, substring_words, tiers, token_store, topk, toxicity, url_filter, whitening
+from graphloom.llm import conversations, decontaminate, packing, pii, simhash, substring_bytes, substring_words, tiers, token_store, topk, toxicity, url_filter, whitening
 from graphloom.llm.common import table
 
 URL_RULES = [
@@ -76,6 +76,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_tiered_packing": op11_tiered_packing,
     "op12_whitening": op12_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB's form of those that SQL can express.
