@@ -10,7 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 
-LOW = 7  # bits that hold a place within two blocks; window - k + 1 must stay below 64
+LOW = 7  # bits that hold a place within two blocks
+#: The most places that an anchor can have in its window; longer windows take longer anchors.
+PLACES = 63
+
+
+def anchor_length(window: int, least: int) -> int:
+    """The length of anchors for a window: ``least``, or what leaves ``PLACES`` places."""
+    if window <= least:
+        raise ValueError(f"a window is longer than {least}")
+    return max(least, window - PLACES + 1)
 
 
 def anchored_runs(hashes: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -20,7 +29,9 @@ def anchored_runs(hashes: np.ndarray, bounds: np.ndarray, window: int, k: int) -
     doesn't matter); text t covers places bounds[t]:bounds[t+1]; no window leaves its text.
     """
     w, n = window - k + 1, int(bounds[-1])
-    if n < window or w > 63:
+    if not 0 < w <= PLACES:
+        raise ValueError(f"an anchor has 1 to {PLACES} places in its window, not {w}")
+    if n < window:
         return (np.zeros(0, np.int64),) * 3
     rows = -(-n // w) + 1
     padded = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))

@@ -81,6 +81,11 @@ def only(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def repeated_ids(docs: DataFrame) -> bool:
+    """Does a doc_id stand in more than one row?"""
+    return bool(docs.groupBy("doc_id").count().where("count > 1").take(1))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column as numpy views; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -34,10 +34,10 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0x1F83D9ABFB41BD6B) -> np.ndarray:
     """A 64-bit hash of every data[start:end], chained over eight bytes at a time: each step is a bijection of the one before."""
     size, view = ends - starts, eights(data)
-    h = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(0x1F83D9ABFB41BD6B))
+    h = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(seed))
     alive, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
     while len(alive):
         left = size[alive] - at
@@ -45,10 +45,28 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         h[alive] = mix(h[alive] * np.uint64(BASE) ^ own)
         alive, at = alive[left > 8], at + 8
     for i in np.flatnonzero(size > LONG).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 
+def two_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, int]) -> np.ndarray:
+    """Two ``range_hashes`` [seed, range] at once; every range is read once."""
+    size, view = ends - starts, eights(data)
+    h = np.stack([mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(s)) for s in seeds])
+    order = np.argsort(size, kind="stable")  # the ranges that go on are then a slice
+    starts, size, h = starts[order], size[order], h[:, order]
+    at, begin = 0, int(np.searchsorted(size, 0, "right"))
+    while begin < len(size):
+        left = size[begin:] - at
+        own = view[starts[begin:] + at].view("<u8")[:, 0] & FIRST_BYTES[np.minimum(left, 8)]
+        h[:, begin:] = mix(h[:, begin:] * np.uint64(BASE) ^ own)
+        at += 8
+        begin = int(np.searchsorted(size, at, "right"))
+    out = np.empty_like(h)
+    out[:, order] = h
+    return out
+
+
 #: Bytes that separate words (true), by kind of word.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
