@@ -17,19 +17,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.anchors import anchored_runs
-from graphloom.llm.common import emptied, only, trimmed, written
+from graphloom.llm.anchors import anchor_length, anchored_runs
+from graphloom.llm.common import emptied, only, repeated_ids, trimmed, written
 from graphloom.llm.words import BASE, SPACES, Words, mix, ngram_hashes, words_of
 
-#: Words of an anchor.
-ANCHOR = 8
+#: Words of an anchor at least, and hash seeds tried.
+ANCHOR, SEEDS = 8, 6
 CLAIMS = "array<struct<path:long,n:int,digest:binary>>"
 
 
@@ -46,14 +45,15 @@ def digests(w: Words, begin: np.ndarray, end: np.ndarray, seed: int, bits: int)
 
 def paths(docs: DataFrame, window: int, seed: int, bits: int) -> DataFrame:
     """h, p, doc_id, at: anchor, digest of the path, document, and first edge << 7 | edges."""
+    size = anchor_length(window, ANCHOR)
 
     @trimmed
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             for w in words_of(b.column("text"), SPACES):
-                h = ngram_hashes(w.hashes, ANCHOR)
-                first, last, anchor = anchored_runs(h, w.bounds, window, ANCHOR)
+                h = ngram_hashes(w.hashes, size)
+                first, last, anchor = anchored_runs(h, w.bounds, window, size)
                 p = digests(w, first, last + window, seed, bits)
                 row = np.searchsorted(w.bounds, first, "right") - 1
                 at = (first - w.bounds[row]) << 7 | (last - first + 1)
@@ -165,14 +165,23 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
     """doc_id, n_words, n_removed, kept_sha256, spans (and the kept words as ``kept``).
 
     A word goes if a window of ``window`` words around it also starts anywhere else, in the same
-    document too.  Null and blank texts have no words; rows without doc_id are left out; doc_id
-    names a document; a row that stands twice is two documents with the same text, each a second
-    place of the other's windows, and both get the rows' common result.  An empty table gives no
-    rows; columns other than doc_id and text are ignored, whatever their names.  ``bits`` of a hash
-    are used at first (fewer in tests, to see different texts meet); results don't depend on it.
+    document too.  Null and blank texts have no words; rows without doc_id are left out.  Every
+    row is a document of its own, whatever its doc_id: a row that stands twice is two documents with
+    the same text, each a second place of the other's windows.  An empty table gives no rows; columns
+    other than doc_id and text are ignored, whatever their names.  ``bits`` of a hash are used at
+    first (fewer in tests, to see different texts meet); results don't depend on it.
     """
     docs = only(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    for seed in count():
+    if repeated_ids(docs):  # rows get keys of their own, fixed in a table
+        rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = passages(rows.select(F.col("row").alias("doc_id"), "text"), window, with_text, bits).withColumnRenamed("doc_id", "row")
+        return rows.select("row", "doc_id").join(found, "row").drop("row")
+    return passages(docs, window, with_text, bits)
+
+
+def passages(docs: DataFrame, window: int, with_text: bool, bits: int) -> DataFrame:
+    """``repeated_passages`` of rows whose doc_id is a key."""
+    for seed in range(SEEDS):
         units = repeated_units(docs, window, seed, 64 if seed else bits)
         path = nonbranching(units)
         gone = units.join(path, "unit", "left").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "first", "n", F.coalesce("path", "unit").alias("path"), F.col("path").isNull().alias("head"))).alias("gone"))
@@ -182,3 +191,4 @@ def repeated_passages(docs: DataFrame, window: int = 35, with_text: bool = False
         if not claims.where("lo <> hi OR places < 2").take(1):
             return result.drop("claims")
         emptied(result)
+    raise RuntimeError(f"different passages met under equal hashes with each of {SEEDS} seeds: is doc_id a key?")

@@ -81,3 +81,21 @@ def test_repeated_rows_long_texts_and_rows_without_id(spark):
     expected = brute(docs, 35)
     assert all((r["n_words"], r["n_removed"], r["kept_sha256"]) == expected[r["doc_id"]] for r in got if r["doc_id"] != 5)
     assert [r["n_removed"] for r in got if r["doc_id"] == 5] == [60, 60]
+
+
+def test_one_id_with_several_texts(spark):
+    shared = " ".join(f"s{i}" for i in range(40))
+    for more in ("v0 other words there", "v0 other words there now"):  # as many words, and another number
+        rows = [(1, "w0 some text here " + shared), (2, "w0 some text here " + shared), (2, f"{more} {shared}"), (2, "alone")]
+        got = sorted(tuple(r)[:3] for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == sorted([(1, 44, 44), (2, 44, 44), (2, len(more.split()) + 40, 40), (2, 1, 0)])
+
+
+def test_windows_of_any_length(spark):
+    rng = random.Random(8)
+    some = lambda n: [rng.choice("abcdefgh") for _ in range(n)]
+    passages = [some(n) for n in (70, 71, 150)]
+    docs = [(i, " ".join(some(rng.randint(0, 30)) + rng.choice(passages) + some(rng.randint(0, 30)))) for i in range(30)]
+    for window in (9, 70, 71, 120):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), window).collect()}
+        assert got == brute(docs, window), window
