@@ -5,8 +5,10 @@ sets, joined by their Golay keys, propose the closest pairs.  What fingerprints
 prefix filtering: two sets of similarity t share one of the first |S| - ceil(t|S|) + 1 elements of
 each in any common order (shingles that a sample of the rows shows to be common come last, which
 changes only how many pairs are compared).  Classes under a shingle are first compared with the
-least of them, then, where a shingle still holds several components, across these.  So a dense
-group costs about one comparison a member, and no pair that is similar enough is left apart.
+least of them.  Where a shingle still holds several components, one member of each is compared with
+one of a chosen component, a few times over with other members, and what is apart even then is
+compared across all members.  So a dense group costs about one comparison a member, and no pair that
+is similar enough is left apart.
 
 Every pair passes two bounds before its texts are fetched: the sizes, and the differing bits of two
 parity bitmaps, which are never more than the shingles that only one of the sets has.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import emptied, has_bit, hash_bits, only, trimmed, written
@@ -31,6 +33,8 @@ from graphloom.llm.words import BASE, SPACES, mix, ngram_hashes, words_of
 SAMPLED, MOST_COMMON = 16, 200_000
 #: Pairs whose texts are compared at once; longs of a parity bitmap; bits of the filter of rows whose texts are fetched.
 PAIRS, PARITY, FETCHED = 128, 16, 1 << 23
+#: Times that components under a shingle are compared by one member each.
+ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -131,6 +135,19 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def close_sizes(similarity: float) -> Column:
+    """May two sets of n and m elements be similar enough?"""
+    return F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+
+
+def parted(held: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """shingle, row, root, n: the members of all shingles that hold more than one component."""
+    roots = connected_components(links).select(F.col("node").alias("row"), "root")
+    part = written(held.select("shingle", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "parted")
+    mixed = part.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    return written(part.join(mixed, "shingle", "left_semi").join(classes.select(F.col("rep").alias("row"), "n"), "row"), "parted")
+
+
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, component) for every row of ``docs`` (row, text): the rows that similar pairs connect, by one of them.
 
@@ -156,16 +173,25 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     stars = written(ordered(held.select(F.col("center").alias("a"), F.col("row").alias("b"))).join(tried, ["a", "b"], "left_anti"), "stars")
     links = links.unionByName(similar(stars, classes, docs, size, similarity))
 
-    roots = connected_components(links).select(F.col("node").alias("row"), "root")
-    part = written(held.select("shingle", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "parted")
-    mixed = written(part.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle"), "mixed")
-    part = part.join(mixed, "shingle", "left_semi").join(classes.select(F.col("rep").alias("row"), "n"), "row")
+    seen = [tried, stars]
+    for turn in range(ROUNDS):
+        part = parted(held, links, classes)
+        member = F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n").alias("m")
+        members = part.groupBy("shingle", "root").agg(F.min(member).alias("m")).select("shingle", "root", "m.row", "m.n")
+        chosen = members.groupBy("shingle").agg(F.min_by(F.struct("row", "n"), F.xxhash64("root", F.lit(turn))).alias("c")).select("shingle", F.col("c.row").alias("center"), F.col("c.n").alias("m"))
+        pairs = ordered(members.join(chosen, "shingle").where(close_sizes(similarity)).select(F.col("row").alias("a"), F.col("center").alias("b")))
+        for before in seen:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        seen.append(written(pairs, "between-components"))
+        links = links.unionByName(similar(seen[-1], classes, docs, size, similarity))
+    part = parted(held, links, classes)
     other = part.select("shingle", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    sizes = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    across = part.withColumnRenamed("row", "a").join(other, "shingle").where(sizes & F.expr("a < b AND root <> other")).select("a", "b").distinct()
-    across = written(across.join(tried, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"), "across")
+    across = part.withColumnRenamed("row", "a").join(other, "shingle").where(close_sizes(similarity) & F.expr("a < b AND root <> other")).select("a", "b").distinct()
+    for before in seen:
+        across = across.join(before, ["a", "b"], "left_anti")
+    across = written(across, "across")
     links = links.unionByName(similar(across, classes, docs, size, similarity))
-    emptied(tried, centers, held, stars, mixed, across)
+    emptied(*seen, centers, held, across)
 
     roots = connected_components(links).withColumnRenamed("node", "rep")
     labelled = classes.join(roots, "rep", "left").select("a", "c", "n", F.coalesce("root", "rep").alias("component"))

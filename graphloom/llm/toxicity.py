@@ -385,7 +385,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns as they are; no shuffle."""
+    """The rows of ``docs`` that score below ``threshold``, all columns as they are; no shuffle.
+
+    A model without terms - no usable labels, labels of one class only, or none that any term tells
+    apart - gives every document the same score and so rejects none: all rows are kept.
+    """
+    if not model.terms:
+        return docs
     lexicon = model.lexicon(docs)
 
     @trimmed

@@ -78,3 +78,17 @@ def test_contaminated_rows_without_id(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = [(None, f"x y {item} z"), (None, "clean words"), (4, f"x {item}"), (4, "other clean words")]
     assert stage_output(spark, "decontamination", rows, tmp_path) == sorted([rows[1], rows[3]], key=str)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 1), (2, 0, 1)], [(1, 1, 0)], [(None, 1, 1), (1, None, None)]])
+def test_labels_that_teach_nothing_reject_nothing(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "some words"), (2, "more words"), (None, None), (4, "")]
+    assert stage_output(spark, "toxicity", rows, tmp_path) == sorted(rows, key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
