@@ -1,4 +1,8 @@
-"""The corpus pipeline: the stages in order, each over all that the stage before it kept."""
+"""The corpus pipeline: the stages in order, each over all that the stage before it kept.
+
+No stage needs a doc_id, or one that names a single row; a null text counts as empty; an empty table
+of documents, labels or benchmark items gives a stage nothing to reject, and no documents give no rows.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,17 @@ from graphloom.llm.queries import PII_KEY, tokenizer_path
 
 #: What every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The session's setting that holds the key of pseudonyms.
+KEY_SETTING = "spark.graphloom.pseudonymKey"
 #: Near copies have this share of all their shingles, of so many words, in common.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are not predicted toxic; rows without doc_id can't be judged by label and are scored alike."""
+    """Keeps documents that are not predicted toxic; rows without doc_id are scored as all others.
+
+    Labels that teach nothing (none, of one class only, or told apart by no term) reject nothing.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
     return toxicity.keep_clean(docs, model).select(*COLUMNS)
@@ -48,13 +57,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by pseudonyms; n_chars follows the new text."""
-    changed = pii.replace_personal_data(docs, PII_KEY)
+    """Replaces personal data by pseudonyms; n_chars follows the new text.
+
+    The key is the session's setting ``KEY_SETTING``; without it, that of the test tables.  Null texts
+    stay null, rows that repeat or have no doc_id are changed as all others.
+    """
+    changed = pii.replace_personal_data(docs, spark.conf.get(KEY_SETTING, PII_KEY.decode()).encode())
     return changed.withColumn("n_chars", F.when(F.col("pii_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece of a document: its sequence and its place there."""
+    """One row a piece of a document: its sequence and its place there; a null or empty text is one end id."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
