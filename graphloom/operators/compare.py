@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.labels import natural_key, node_label, search_form
 from graphloom.operators.graph import KEY, NODE, SPACE, ancestors, inner_edges
+from graphloom.operators.qgrams import substring_pairs
 
 # The spellings of each status, the worst first in priority.
 STATUS_FORMS = {
@@ -126,26 +127,24 @@ def resolve_ids(values: DataFrame, aliases: DataFrame, structural: str = r"[:0-9
     """Free-form ids (unit_uid, position, value) to candidates (id, alias, alias_order).
 
     Equal aliases are an equi-join.  What is left is compared with structural aliases: a value may
-    begin with the alias, or hold the id, as a token or the beginning of one, anywhere.  The tokens of
-    the value, and their parts before each colon, are the keys that meet the first tokens of both.
-    First by value position, exact before the others, then alias order.
+    begin with the alias and a separator, or hold the id anywhere, within a word too; both are found
+    by their rarest q-grams.  First by value position, exact before the others, then alias order.
     """
     norm = lambda c: search_form(F.col(c))
     values = values.withColumn("v", norm("value")).where("v <> ''")
     known = aliases.withColumn("a", norm("alias")).where("a <> ''")
-    first = Window.partitionBy("a").orderBy("alias_order", "id")
-    known = known.withColumn("r", F.row_number().over(first)).where("r = 1").select("a", "id", "alias_order")
-    exact = values.join(known, F.col("v") == F.col("a")).select("unit_uid", "position", "v", "id", "alias_order", F.lit(0).alias("tier"))
+    known = known.groupBy("a").agg(F.min(F.struct("alias_order", "id")).alias("o")).select("a", "o.id", "o.alias_order")
+    exact = values.join(known, F.col("v") == F.col("a")).select("unit_uid", "position", "id", "alias_order", F.lit(0).alias("tier"))
     rest = values.join(exact.select("unit_uid", "position"), ["unit_uid", "position"], "left_anti")
-    first_token = lambda c: F.regexp_extract(c, r"^[^ \-]*", 0)
-    short = known.where(F.col("a").rlike(structural)).withColumn("t", F.explode(F.array_distinct(F.array(first_token(F.col("a")), first_token(F.lower("id"))))))
-    begins = F.col("v").startswith(F.concat("a", F.lit(" "))) | F.col("v").startswith(F.concat("a", F.lit(":"))) | F.col("v").startswith(F.concat("a", F.lit("-"))) | F.col("v").contains(F.lower("id"))
-    tokens = F.split("v", r"[ \-,;()\[\]（），；]+")
-    prefixes = lambda w: F.transform(F.sequence(F.lit(1), F.size(F.split(w, ":"))), lambda n: F.array_join(F.slice(F.split(w, ":"), F.lit(1), n), ":"))
-    keyed = rest.withColumn("t", F.explode(F.array_distinct(F.flatten(F.transform(tokens, prefixes))))).where("t <> ''")
-    part = keyed.join(short, "t").where(begins).select("unit_uid", "position", "v", "id", "alias_order", F.lit(1).alias("tier")).distinct()
-    order = Window.partitionBy("unit_uid").orderBy("position", "tier", "alias_order", "id")
-    return exact.unionByName(part).withColumn("r", F.row_number().over(order)).where("r = 1").select("unit_uid", "id", "tier")
+    parts = known.where(F.col("a").rlike(structural)).select("a", "id", "alias_order", F.explode(F.array_distinct(F.array("a", F.lower("id")))).alias("needle"))
+    held = substring_pairs(F.col("v"), rest, F.col("needle"), parts)
+    begins = F.col("needle") == F.lower("id")
+    for separator in (" ", ":", "-"):
+        begins = begins | F.col("text").startswith(F.concat("a", F.lit(separator)))
+    first = held.join(parts, "needle").where(begins).groupBy("text").agg(F.min(F.struct("alias_order", "id")).alias("o"))
+    part = rest.join(first.withColumnRenamed("text", "v"), "v").select("unit_uid", "position", "o.id", "o.alias_order", F.lit(1).alias("tier"))
+    best = exact.unionByName(part).groupBy("unit_uid").agg(F.min(F.struct("position", "tier", "alias_order", "id")).alias("o"))
+    return best.select("unit_uid", "o.id", "o.tier")
 
 
 def comparison_graph(nodes: DataFrame, edges: DataFrame, items: DataFrame, statuses: Sequence[str] = ("covered", "partial", "missing", "violated")) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.labels import match_score, node_excerpt, node_label, search_form
+from graphloom.operators.qgrams import GramIndex, write_index
 from graphloom.sources.stage import cut_lineage
 
 SPACE, NODE = "standard_uid", "node_uid"
@@ -81,9 +82,22 @@ def popular_labels(nodes: DataFrame, edges: DataFrame, limit: int = 300) -> Data
     return items.orderBy(F.desc("degree"), F.lower("label"), SPACE, NODE).limit(limit)
 
 
-def search_labels(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def properties_text() -> Column:
+    """A node's properties as JSON text, keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries("properties"))))
+
+
+def write_search_index(nodes: DataFrame, path: str) -> GramIndex:
+    """An index that the three searches below can use: of each node's uid, label, type, text and properties."""
+    fields = [NODE, "label", "text_content"]
+    more = [properties_text()] if "properties" in nodes.columns else [F.to_json(F.struct("text_content"))]
+    return write_index(nodes, KEY, path, F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in fields]), F.concat_ws(" ", NODE, "label", "node_type", *more), node_label())
+
+
+def search_labels(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 50, index: GramIndex | None = None) -> DataFrame:
     """Nodes that fit ``query``, by score, degree and label.  Only fitting nodes are joined with their edges."""
     needle = " ".join(query.lower().split())
+    nodes = index.narrowed(nodes, needle) if index and needle else nodes
     if not needle:
         return label_items(nodes.limit(0), edges).drop("text_content").withColumn("score", F.lit(0))
     found = nodes.withColumn("score", match_score(needle)).where("score > 0")
@@ -94,9 +108,10 @@ def search_labels(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 5
     return items.orderBy(F.desc("score"), F.desc("degree"), F.lower("label"), SPACE, NODE).limit(limit)
 
 
-def search_nodes(nodes: DataFrame, query: str, position: Sequence[Column], limit: int = 20) -> DataFrame:
+def search_nodes(nodes: DataFrame, query: str, position: Sequence[Column], limit: int = 20, index: GramIndex | None = None) -> DataFrame:
     """The first ``limit`` nodes in stored order (``position``) whose uid, label or text holds ``query``."""
     needle = query.strip().lower()
+    nodes = index.narrowed(nodes, needle) if index and needle else nodes
     hay = F.lower(F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in (NODE, "label", "text_content")]))
     found = nodes.where(hay.contains(needle)) if needle else nodes.limit(0)
     shown = F.coalesce(F.col("text_content"), F.col("label"), F.col(NODE))
@@ -104,10 +119,12 @@ def search_nodes(nodes: DataFrame, query: str, position: Sequence[Column], limit
     return found.orderBy(*position).limit(limit).select(SPACE, NODE, "node_type", F.coalesce("label", NODE).alias("label"), cut.alias("excerpt"))
 
 
-def search_subgraph(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def search_subgraph(nodes: DataFrame, edges: DataFrame, query: str, limit: int = 20, index: GramIndex | None = None) -> DataFrame:
     """Search within a loaded graph, its properties as JSON included; by degree, then label."""
     needle = " ".join(query.lower().split())
-    hay = search_form(F.concat_ws(" ", NODE, "label", "node_type", F.to_json(F.struct("text_content"))))
+    nodes = index.narrowed(nodes, needle) if index and needle else nodes
+    more = properties_text() if "properties" in nodes.columns else F.to_json(F.struct("text_content"))
+    hay = search_form(F.concat_ws(" ", NODE, "label", "node_type", more))
     return degrees(nodes.where(hay.contains(needle)), edges).orderBy(F.desc("degree"), node_label(), SPACE, NODE).limit(limit).select(SPACE, NODE, "node_type", "label", "degree")
 
 

@@ -123,14 +123,35 @@ def hierarchy_clauses(spark, sf) -> DataFrame:
     return compare.hierarchy(*kg(spark, sf))["clauses"]
 
 
-@query("resolved_ids", """
-SELECT 'u' || p_partkey AS unit_uid, 'part:' || p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE 1 END AS INTEGER) AS tier FROM part WHERE p_partkey % 4 <> 3""")
-def resolved_ids(spark, sf) -> DataFrame:
+#: Values that name parts, exactly, at their beginning or within running text; of the ids that a value holds the first part's counts.
+ID_VALUES = """SELECT concat('u', p_partkey) AS unit_uid, 1 AS position, CASE WHEN p_partkey % 4 = 3 THEN 'nothing known' WHEN p_partkey % 3 = 0 THEN concat('Part:', p_partkey, ' - ', p_name)
+      WHEN p_partkey % 3 = 1 THEN concat('part:', p_partkey, ':x') ELSE concat(' PART:', p_partkey, ' ') END AS value FROM part"""
+TEXT_VALUES = """SELECT concat('u', p_partkey) AS unit_uid, CAST(k AS INT) AS position, CASE WHEN k = 1 THEN 'no id' WHEN p_partkey % 2 = 0 THEN concat('参见Part:', p_partkey, '条与part:', 7 * p_partkey, '条')
+      ELSE concat('[', p_brand, '/part:', 3 * p_partkey, '],', p_name) END AS value FROM part, (SELECT 1 AS k UNION ALL SELECT 2) t"""
+#: The first part whose id a value holds, unless its own alias is all of it.
+HELD = """SELECT unit_uid, position, arg_min(id, (tier, k)) AS id, min(tier) AS tier FROM (
+  SELECT v.*, 'part:' || p_partkey AS id, p_partkey AS k, CAST(CASE WHEN lower(trim(value)) = 'part:' || p_partkey THEN 0 ELSE 1 END AS INTEGER) AS tier FROM v JOIN part ON contains(lower(value), 'part:' || p_partkey)) GROUP BY ALL"""
+FIRST_HELD = "SELECT unit_uid, arg_min(id, position) AS id, arg_min(tier, position) AS tier FROM h GROUP BY ALL"
+
+
+def resolved(spark, sf, values: str) -> DataFrame:
     tables(spark, sf, "part")
-    values = spark.sql("""SELECT concat('u', p_partkey) AS unit_uid, 1 AS position, CASE WHEN p_partkey % 4 = 3 THEN 'nothing known' WHEN p_partkey % 3 = 0 THEN concat('Part:', p_partkey, ' - ', p_name)
-      WHEN p_partkey % 3 = 1 THEN concat('part:', p_partkey, ':x') ELSE concat(' PART:', p_partkey, ' ') END AS value FROM part""")
     known = spark.sql("SELECT concat('part:', p_partkey) AS id, concat('part:', p_partkey) AS alias, p_partkey AS alias_order FROM part")
-    return compare.resolve_ids(values, known)
+    return compare.resolve_ids(spark.sql(values), known)
+
+
+@query("resolved_ids", None)
+def resolved_ids(spark, sf) -> DataFrame:
+    return resolved(spark, sf, ID_VALUES)
+
+
+@query("resolved_ids_in_text", None)
+def resolved_ids_in_text(spark, sf) -> DataFrame:
+    return resolved(spark, sf, TEXT_VALUES)
+
+
+ORACLE["resolved_ids"] = duck(FIRST_HELD, v=ID_VALUES, h=HELD)
+ORACLE["resolved_ids_in_text"] = duck(FIRST_HELD, v=TEXT_VALUES, h=HELD)
 
 
 @query("comparison_graph_edges", """

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
 from graphloom.sources.bindings import KG_EDGES, KG_NODES, duck, kg
+from graphloom.sources.stage import shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +31,10 @@ def query(name: str, sql: str | None):
     return put
 
 
+def search_index(spark, nodes: DataFrame):
+    return graph.write_search_index(nodes, f"{shared_dir(spark)}/graphloom-index/{uuid.uuid4().hex}")
+
+
 @query("degree_map", "SELECT standard_uid, node_uid, degree FROM d")
 def degree_map(spark, sf) -> DataFrame:
     return graph.degrees(*kg(spark, sf)).select("standard_uid", "node_uid", "degree")
@@ -99,6 +106,30 @@ def subgraph_search(spark, sf) -> DataFrame:
     return graph.search_subgraph(*kg(spark, sf), "Nation:1")
 
 
+@query("indexed_label_search", None)
+def indexed_label_search(spark, sf) -> DataFrame:
+    nodes, edges = kg(spark, sf)
+    return graph.search_labels(nodes, edges, " Red  W ", index=search_index(spark, nodes))
+
+
+@query("indexed_node_search", None)
+def indexed_node_search(spark, sf) -> DataFrame:
+    nodes = kg(spark, sf)[0]
+    return graph.search_nodes(nodes, "Customer#00000001", [F.col("standard_uid"), F.col("node_uid")], index=search_index(spark, nodes))
+
+
+@query("indexed_subgraph_search", """
+SELECT standard_uid, node_uid, node_type, label, degree FROM d WHERE contains('{"kind":"' || node_type || '","name":"' || lower(label) || '"}', 'se","name":"customer#00000002') ORDER BY degree DESC, label, standard_uid, node_uid LIMIT 20""")
+def indexed_subgraph_search(spark, sf) -> DataFrame:
+    nodes, edges = kg(spark, sf)
+    nodes = nodes.withColumn("properties", F.create_map(F.lit("kind"), F.col("node_type"), F.lit("name"), F.col("label")))
+    return graph.search_subgraph(nodes, edges, 'se","name":"Customer#00000002', index=search_index(spark, nodes))
+
+
+for name in ("label_search", "node_search"):
+    ORACLE[f"indexed_{name}"] = ORACLE[name]
+
+
 @query("filtered_nodes", """
 SELECT standard_uid, node_uid, node_type, label, degree FROM d WHERE node_type IN ('clause', 'section') AND contains(lower(label || ' ' || node_uid), '00012') ORDER BY degree DESC, label, standard_uid, node_uid LIMIT 160""")
 def filtered_nodes(spark, sf) -> DataFrame:
