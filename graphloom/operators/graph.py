@@ -13,22 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.labels import match_score, node_excerpt, node_label, search_form
+from graphloom.operators import trees
+from graphloom.operators.adjacency import KEY, NODE, SPACE, Stored, around, discover, endpoints, store
 from graphloom.operators.qgrams import GramIndex, write_index
+from graphloom.operators.ranks import first_rows, group_ranks
 from graphloom.sources.stage import cut_lineage
 
-SPACE, NODE = "standard_uid", "node_uid"
-KEY = [SPACE, NODE]
 
-
-def endpoints(edges: DataFrame) -> DataFrame:
-    """Each edge twice, from either end: (standard_uid, node_uid, other_uid, edge_uid, edge_type, direction)."""
-    rest = ["edge_uid", "edge_type"]
-    out = edges.select(SPACE, F.col("source_uid").alias(NODE), F.col("target_uid").alias("other_uid"), *rest, F.lit("out").alias("direction"))
-    return out.unionByName(edges.select(SPACE, F.col("target_uid").alias(NODE), F.col("source_uid").alias("other_uid"), *rest, F.lit("in").alias("direction")))
-
-
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` with ``degree``: edge ends at the node, a self-loop counting twice."""
+def degrees(nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """``nodes`` with ``degree``: edge ends at the node, a self-loop counting twice; those of a stored graph have it."""
+    if "degree" in nodes.columns:
+        return nodes
     ends = endpoints(edges).groupBy(*KEY).agg(F.count("*").alias("degree"))
     return nodes.join(ends, KEY, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
@@ -137,7 +132,7 @@ def filtered_nodes(nodes: DataFrame, edges: DataFrame, types: Sequence[str], tex
     return degrees(found, edges).orderBy(F.desc("degree"), node_label(), SPACE, NODE).limit(limit).select(SPACE, NODE, "node_type", "label", "degree")
 
 
-def start_nodes(nodes: DataFrame, edges: DataFrame, label: str | None = None, node_id: str | None = None) -> DataFrame:
+def start_nodes(nodes: DataFrame, edges: DataFrame | None, label: str | None = None, node_id: str | None = None) -> DataFrame:
     """One start node a space: by id, else equal label or uid, else part of label or text, else the root, else the first."""
     wanted = " ".join((label or "").lower().split())
     own = search_form(node_label())
@@ -165,12 +160,14 @@ def relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(other, [SPACE, "other_uid"], "left").withColumn("other_label", F.coalesce("other_label", "other_uid"))
 
 
-def top_neighbors(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """At most k neighbors of every node, by degree, then label."""
-    near = endpoints(inner_edges(nodes, edges)).where(F.col(NODE) != F.col("other_uid")).select(SPACE, NODE, "other_uid").distinct()
-    other = degrees(nodes, edges).select(SPACE, F.col(NODE).alias("other_uid"), node_label().alias("other_label"), F.col("degree").alias("other_degree"))
-    order = Window.partitionBy(*KEY).orderBy(F.desc("other_degree"), "other_label", "other_uid")
-    return near.join(other, [SPACE, "other_uid"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+def top_neighbors(graph: Stored, k: int, edge_types: Sequence[str] | None = None) -> DataFrame:
+    """At most k neighbors of every node, by degree, then label: chosen within each chunk of a node's edges first."""
+    near = graph.near.where(F.col("known") & (F.col(NODE) != F.col("other_uid")))
+    near = near.where(F.col("edge_type").isin(*edge_types)) if edge_types else near
+    near = near.select(*KEY, "chunk", "other_uid", "other_label", "other_degree").distinct()  # within a chunk: no shuffle
+    order = [F.desc("other_degree"), "other_label", "other_uid"]
+    nearest = near.withColumn("r", F.dense_rank().over(Window.partitionBy(*KEY, "chunk").orderBy(*order))).where(F.col("r") <= k).drop("r", "chunk").distinct()
+    return nearest.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))).where(F.col("r") <= k)
 
 
 def label_exists(nodes: DataFrame, name: str, exclude: str | None = None) -> DataFrame:
@@ -180,68 +177,54 @@ def label_exists(nodes: DataFrame, name: str, exclude: str | None = None) -> Dat
     return found.groupBy(SPACE).agg(F.min(NODE).alias("node_id"), F.lit(True).alias("exists"))
 
 
-def breadth_first(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int, preferred: Sequence[str] = ()) -> DataFrame:
+def breadth_first(graph: Stored, starts: DataFrame, depth: int, preferred: Sequence[str] = ()) -> DataFrame:
     """Nodes within ``depth`` of each space's start, in discovery order: standard_uid, node_uid, level, seq.
 
-    A level is a join of the frontier with the adjacency; who is discovered first follows from the
-    frontier's order and, within a node, from (preferred type, degree, label, uid).
+    Who is discovered first follows from the finders' order and, within a node, from (preferred type,
+    degree, label, uid).
     """
-    known = degrees(nodes, edges)
-    kind = F.when(search_form(F.col("node_type")).isin(*[" ".join(p.lower().split()) for p in preferred]) if preferred else F.lit(False), 0).otherwise(1)
-    other = known.select(SPACE, F.col(NODE).alias("other_uid"), kind.alias("kind"), F.col("degree").alias("other_degree"), F.lower(node_label()).alias("other_label"))
-    near = endpoints(inner_edges(nodes, edges)).select(SPACE, NODE, "other_uid").distinct().join(other, [SPACE, "other_uid"])
-    near = cut_lineage(near)
-    reached = starts.select(SPACE, NODE, F.lit(0).alias("level"), F.lit(1).cast("long").alias("seq"))
-    frontier = reached
-    for level in range(1, depth + 1):
-        step = frontier.select(SPACE, NODE, F.col("seq").alias("from_seq")).join(near, KEY)
-        step = step.join(reached.select(SPACE, F.col(NODE).alias("other_uid")), [SPACE, "other_uid"], "left_anti")
-        first = Window.partitionBy(SPACE, "other_uid").orderBy("from_seq")
-        step = step.withColumn("r", F.row_number().over(first)).where("r = 1")
-        order = Window.partitionBy(SPACE).orderBy("from_seq", "kind", F.desc("other_degree"), "other_label", "other_uid")
-        base = reached.groupBy(SPACE).agg(F.max("seq").alias("base"))
-        frontier = step.join(base, SPACE).select(SPACE, F.col("other_uid").alias(NODE), F.lit(level).alias("level"), (F.col("base") + F.row_number().over(order)).alias("seq"))
-        frontier = cut_lineage(frontier)
-        reached = reached.unionByName(frontier)
-    return reached
+    kind = F.when(search_form(F.col("other_type")).isin(*[" ".join(p.lower().split()) for p in preferred]) if preferred else F.lit(False), 0).otherwise(1)
+    starts = starts.select(*KEY).join(graph.nodes.select(*KEY, "chunks"), KEY)
+    return discover(graph.near, starts, [kind, -F.col("other_degree"), F.lower("other_label")], depth).select(*KEY, "level", "seq")
 
 
 def node_budget(found: DataFrame, nodes: DataFrame, most: int, preferred: Sequence[str] = ()) -> DataFrame:
-    """At most ``most`` nodes a space: the start, preferred types, then the rest, each in discovery order."""
-    chosen = found.join(nodes.select(*KEY, "node_type"), KEY)
+    """At most ``most`` nodes a space (0: all): the start, preferred types, then the rest, each in discovery order."""
     kind = F.when(F.col("seq") == 1, 0).when(search_form(F.col("node_type")).isin(*preferred) if preferred else F.lit(False), 1).otherwise(2)
-    order = Window.partitionBy(SPACE).orderBy("rank", "seq")
-    ranked = chosen.withColumn("rank", kind).withColumn("position", F.row_number().over(order))
-    total = Window.partitionBy(SPACE)
-    return ranked.withColumn("truncated", F.count("*").over(total) > most if most > 0 else F.lit(False)).where(F.col("position") <= most if most > 0 else F.lit(True)).drop("rank")
+    chosen = found.join(nodes.select(*KEY, "node_type"), KEY).withColumn("rank", kind)
+    if most <= 0:
+        return group_ranks(chosen, [SPACE], ["rank", "seq"], "position").withColumn("truncated", F.lit(False)).drop("rank")
+    total = found.groupBy(SPACE).agg((F.count("*") > most).alias("truncated"))
+    return first_rows(chosen, [SPACE], ["rank", "seq"], most, NODE).join(total, SPACE).drop("rank")
 
 
-def workbench(nodes: DataFrame, edges: DataFrame, label: str | None = None, node_id: str | None = None, preferred: Sequence[str] = (), depth: int = 2, most: int = 220) -> tuple[DataFrame, DataFrame]:
+def workbench(graph: Stored, label: str | None = None, node_id: str | None = None, preferred: Sequence[str] = (), depth: int = 2, most: int = 220) -> tuple[DataFrame, DataFrame]:
     """(nodes, induced edges) around each space's start node; depth 1..4, at most 3000 nodes, 0: no bound."""
     depth, most = max(1, min(depth, 4)), 0 if most <= 0 else min(most, 3000)
-    found = breadth_first(nodes, edges, start_nodes(nodes, edges, label, node_id), depth, preferred)
-    kept = cut_lineage(node_budget(found, nodes, most, [" ".join(p.lower().split()) for p in preferred]))
-    return kept, inner_edges(kept, edges)
+    found = cut_lineage(breadth_first(graph, start_nodes(graph.nodes, None, label, node_id), depth, preferred))
+    kept = cut_lineage(node_budget(found, graph.nodes, most, [" ".join(p.lower().split()) for p in preferred]))
+    inside = around(kept.select(*KEY).join(graph.nodes.select(*KEY, "chunks"), KEY), graph.near).where("direction = 'out'")
+    return kept, inside.join(kept.select(SPACE, F.col(NODE).alias("other_uid")), [SPACE, "other_uid"], "left_semi").select(SPACE, "edge_uid", "edge_type", F.col(NODE).alias("source_uid"), F.col("other_uid").alias("target_uid"))
 
 
-def incident_subgraph(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
+def incident_subgraph(graph: Stored, starts: DataFrame, depth: int = 1) -> DataFrame:
     """Edges that touch a frontier of the first ``depth`` levels (edges between two outermost nodes are not among them)."""
-    ends = endpoints(edges)
-    seen = frontier = starts.select(*KEY)
-    out = None
-    for _ in range(max(1, depth)):
-        step = cut_lineage(ends.join(frontier, KEY, "left_semi"))
+    frontier = cut_lineage(starts.select(*KEY).join(graph.nodes.select(*KEY, "chunks"), KEY))
+    last, out = None, None
+    for left in range(max(1, depth) - 1, -1, -1):
+        step = cut_lineage(around(frontier, graph.near).select(*KEY, "other_uid", "other_chunks", "edge_uid", "edge_type", "direction"))
         out = step if out is None else out.unionByName(step)
-        reached = step.select(SPACE, F.col("other_uid").alias(NODE)).distinct()
-        frontier = cut_lineage(reached.join(seen, KEY, "left_anti"))
-        seen = seen.unionByName(frontier)
-    return edges.join(out.select(SPACE, "edge_uid").distinct(), [SPACE, "edge_uid"], "left_semi")
+        if left:
+            reached = step.select(SPACE, F.col("other_uid").alias(NODE), F.col("other_chunks").alias("chunks")).distinct().join(frontier.select(*KEY), KEY, "left_anti")
+            last, frontier = frontier, cut_lineage(reached if last is None else reached.join(last.select(*KEY), KEY, "left_anti"))
+    ends = F.when(F.col("direction") == "out", F.struct(F.col(NODE).alias("source_uid"), F.col("other_uid").alias("target_uid"))).otherwise(F.struct(F.col("other_uid").alias("source_uid"), F.col(NODE).alias("target_uid")))
+    return out.select(SPACE, "edge_uid", "edge_type", ends.alias("ends")).distinct().select(SPACE, "edge_uid", "edge_type", "ends.*")
 
 
 def typed_neighborhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, node_types: Sequence[str], edge_types: Sequence[str], depth: int, fan_out: int) -> DataFrame:
     """Breadth-first over active types, each node passing on to its first ``fan_out`` neighbors only."""
     active = nodes.where(F.col("node_type").isin(*node_types))
-    near = cut_lineage(top_neighbors(active, edges.where(F.col("edge_type").isin(*edge_types)), fan_out).select(SPACE, NODE, "other_uid"))
+    near = cut_lineage(top_neighbors(store(active, edges.where(F.col("edge_type").isin(*edge_types))), fan_out).select(SPACE, NODE, "other_uid"))
     reached = frontier = starts.select(*KEY, F.lit(0).alias("level"))
     for level in range(1, depth + 1):
         step = frontier.select(*KEY).join(near, KEY).select(SPACE, F.col("other_uid").alias(NODE)).distinct()
@@ -251,62 +234,54 @@ def typed_neighborhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, no
 
 
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """Closure of ``starts`` over CONTAINS, upwards, to any height; of several parents the last one by edge_uid counts."""
-    parent = edges.where(F.upper("edge_type") == "CONTAINS").groupBy(SPACE, F.col("target_uid").alias(NODE)).agg(F.max_by("source_uid", "edge_uid").alias("parent"))
-    reached = frontier = starts.select(*KEY).distinct()
-    parent = cut_lineage(parent)
+    """Closure of ``starts`` over CONTAINS, upwards, to any height; of several parents the last one by edge_uid counts.
+
+    Pointers to parents are doubled, so rounds follow the logarithm of the height; a cycle ends when a round adds nothing.
+    """
+    up = edges.where(F.upper("edge_type") == "CONTAINS").groupBy(SPACE, F.col("target_uid").alias(NODE)).agg(F.max_by("source_uid", "edge_uid").alias("up"))
+    up, reached = cut_lineage(up), cut_lineage(starts.select(*KEY).distinct())
+    known = reached.count()
     while True:
-        step = frontier.join(parent, KEY).select(SPACE, F.col("parent").alias(NODE)).distinct()
-        frontier = cut_lineage(step.join(reached, KEY, "left_anti"))
-        if frontier.isEmpty():
+        reached = cut_lineage(reached.unionByName(reached.join(up, KEY).select(SPACE, F.col("up").alias(NODE))).distinct())
+        last, known = known, reached.count()
+        if known == last:
             return reached
-        reached = cut_lineage(reached.unionByName(frontier))
+        up = cut_lineage(up.join(up.select(SPACE, F.col(NODE).alias("up"), F.col("up").alias("next")), [SPACE, "up"]).select(*KEY, F.col("next").alias("up")))
 
 
-def prune(nodes: DataFrame, edges: DataFrame, node_id: str, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def prune(graph: Stored, node_id: str, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without a node and, until nothing changes, its neighbors left with one connection or none.
 
     ``roots``, by default each space's standard nodes, only go if named.  A space of which nothing
-    would be left, or that hasn't the node, stays as it is.
+    would be left, or that hasn't the node, stays as it is.  A round looks at the neighbors of what
+    went in the round before: what each of these has left is a count that only falls.
     """
-    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
+    nodes = graph.nodes
     roots = cut_lineage((nodes.where("node_type = 'standard'") if roots is None else roots).select(*KEY))
-    near = cut_lineage(endpoints(inner_edges(nodes, edges)).where(F.col(NODE) != F.col("other_uid")).select(SPACE, NODE, "other_uid").distinct())
-    gone = nodes.where(F.col(NODE) == node_id).select(*KEY)
-    last = gone
+    near = graph.near.where(F.col("known") & (F.col(NODE) != F.col("other_uid"))).select(*KEY, "chunk", "other_uid", "other_chunks")
+    gone = last = cut_lineage(nodes.where(F.col(NODE) == node_id).select(*KEY, "chunks"))
     while True:
-        left = near.join(gone, KEY, "left_anti").join(gone.withColumnRenamed(NODE, "other_uid"), [SPACE, "other_uid"], "left_anti").groupBy(*KEY).agg(F.count("*").alias("n"))
-        touched = near.join(last.withColumnRenamed(NODE, "other_uid"), [SPACE, "other_uid"], "left_semi").select(*KEY).distinct().join(gone, KEY, "left_anti")
-        weak = touched.join(left, KEY, "left").where(F.coalesce("n", F.lit(0)) <= 1)
-        weak = weak.select(*KEY).join(roots, KEY, "left_anti")
-        last = cut_lineage(weak)
+        touched = around(last, near).select(SPACE, F.col("other_uid").alias(NODE), F.col("other_chunks").alias("chunks")).distinct()
+        touched = cut_lineage(touched.join(gone.select(*KEY), KEY, "left_anti").join(roots, KEY, "left_anti"))
+        ends = around(touched, near).join(gone.select(SPACE, F.col(NODE).alias("other_uid")), [SPACE, "other_uid"], "left_anti")
+        left = ends.groupBy(*KEY).agg((F.min("other_uid") < F.max("other_uid")).alias("several")).where("several")
+        last = cut_lineage(touched.join(left.select(*KEY), KEY, "left_anti"))
         if last.isEmpty():
             break
         gone = cut_lineage(gone.unionByName(last))
-    left = nodes.join(gone, KEY, "left_anti")
-    gone = gone.join(left.select(SPACE).distinct(), SPACE, "left_semi")
-    kept = edges
+    kept = nodes.join(gone.select(*KEY), KEY, "left_anti")
+    gone = cut_lineage(gone.select(*KEY).join(kept.select(SPACE).distinct(), SPACE, "left_semi"))
+    edges = graph.edges
     for end in ("source_uid", "target_uid"):
-        kept = kept.join(gone.withColumnRenamed(NODE, end), [SPACE, end], "left_anti")
-    return nodes.join(gone, KEY, "left_anti"), kept.select(*edges.columns)
+        edges = edges.join(gone.withColumnRenamed(NODE, end), [SPACE, end], "left_anti")
+    return nodes.join(gone, KEY, "left_anti").drop("degree", "chunks"), edges.select(*graph.edges.columns)
 
 
-def tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """BFS tree over edges in their direction: parent, level and path; the path's order is the pre-order."""
-    other = nodes.select(SPACE, F.col(NODE).alias("other_uid"), node_label().alias("other_label"))
-    near = cut_lineage(endpoints(inner_edges(nodes, edges)).where("direction = 'out'").select(SPACE, NODE, "other_uid").distinct().join(other, [SPACE, "other_uid"]))
-    reached = frontier = starts.select(*KEY, F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level"), F.array(F.col(NODE)).alias("path"))
-    for level in range(1, depth + 1):
-        step = frontier.select(SPACE, NODE, "path").join(near, KEY).join(reached.select(SPACE, F.col(NODE).alias("other_uid")), [SPACE, "other_uid"], "left_anti")
-        first = Window.partitionBy(SPACE, "other_uid").orderBy(F.array_join("path", "|"), NODE)
-        step = step.withColumn("r", F.row_number().over(first)).where("r = 1")
-        frontier = cut_lineage(step.select(SPACE, F.col("other_uid").alias(NODE), F.col(NODE).alias("parent"), F.lit(level).alias("level"), F.concat("path", F.array("other_uid")).alias("path")))
-        reached = reached.unionByName(frontier)
-    return reached
+def tree(graph: Stored, starts: DataFrame) -> DataFrame:
+    """See ``trees.tree``."""
+    return trees.tree(graph, starts)
 
 
 def leaf_weights(spanning: DataFrame) -> DataFrame:
-    """Leaves below every node of a tree with ``path``; a leaf weighs 1."""
-    parents = spanning.select(SPACE, F.col("parent").alias(NODE)).where(f"{NODE} IS NOT NULL").distinct()
-    leaves = spanning.join(parents, KEY, "left_anti")
-    return leaves.select(SPACE, F.explode("path").alias(NODE)).groupBy(*KEY).agg(F.count("*").alias("weight"))
+    """Leaves below every reached node of a tree; a leaf weighs 1."""
+    return spanning.where("weight IS NOT NULL").select(*KEY, "weight")

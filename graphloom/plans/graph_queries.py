@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph
+from graphloom.operators.adjacency import store
 from graphloom.sources.bindings import KG_EDGES, KG_NODES, duck, kg
 from graphloom.sources.stage import shared_dir
 
@@ -154,7 +155,7 @@ SELECT standard_uid, node_uid, other_uid FROM (SELECT p.standard_uid, p.node_uid
   row_number() OVER (PARTITION BY p.standard_uid, p.node_uid ORDER BY d.degree DESC, d.label, other_uid) AS r
   FROM (SELECT DISTINCT standard_uid, node_uid, other_uid FROM ends WHERE node_uid <> other_uid) p JOIN d ON d.standard_uid = p.standard_uid AND d.node_uid = other_uid) WHERE r <= 3""")
 def top_neighbors(spark, sf) -> DataFrame:
-    return graph.top_neighbors(*kg(spark, sf), 3).select("standard_uid", "node_uid", "other_uid")
+    return graph.top_neighbors(store(*kg(spark, sf)), 3).select("standard_uid", "node_uid", "other_uid")
 
 
 @query("start_node_root", "SELECT standard_uid, node_uid, node_type, label, degree, 4 AS tier FROM d WHERE node_type = 'standard'")
@@ -200,18 +201,18 @@ def two_levels(sql: str) -> str:
 
 @query("workbench_bfs", None)
 def workbench_bfs(spark, sf) -> DataFrame:
-    nodes, edges = kg(spark, sf)
-    return graph.breadth_first(nodes, edges, graph.start_nodes(nodes, edges), 2, PREFERRED)
+    stored = store(*kg(spark, sf))
+    return graph.breadth_first(stored, graph.start_nodes(stored.nodes, None), 2, PREFERRED)
 
 
 @query("workbench_nodes", None)
 def workbench_nodes(spark, sf) -> DataFrame:
-    return graph.workbench(*kg(spark, sf), preferred=PREFERRED)[0].select("standard_uid", "node_uid", "level", "position", "truncated")
+    return graph.workbench(store(*kg(spark, sf)), preferred=PREFERRED)[0].select("standard_uid", "node_uid", "level", "position", "truncated")
 
 
 @query("workbench_edges", None)
 def workbench_edges(spark, sf) -> DataFrame:
-    return graph.workbench(*kg(spark, sf), preferred=PREFERRED)[1].select("standard_uid", "edge_uid")
+    return graph.workbench(store(*kg(spark, sf)), preferred=PREFERRED)[1].select("standard_uid", "edge_uid")
 
 
 ORACLE["workbench_bfs"] = two_levels("SELECT standard_uid, node_uid, level, seq FROM bfs")
@@ -223,8 +224,8 @@ JOIN kept t ON t.standard_uid = e.standard_uid AND t.node_uid = target_uid AND t
 @query("incident_subgraph", """
 SELECT standard_uid, edge_uid FROM e WHERE source_uid LIKE 'region:%' OR source_uid LIKE 'nation:%'""")
 def incident_subgraph(spark, sf) -> DataFrame:
-    nodes, edges = kg(spark, sf)
-    return graph.incident_subgraph(edges, nodes.where("node_type = 'standard'"), 2).select("standard_uid", "edge_uid")
+    stored = store(*kg(spark, sf))
+    return graph.incident_subgraph(stored, stored.nodes.where("node_type = 'standard'"), 2).select("standard_uid", "edge_uid")
 
 
 @query("typed_neighborhood", """
@@ -249,7 +250,7 @@ def ancestor_closure(spark, sf) -> DataFrame:
 
 @query("prune_node", None)
 def prune_node(spark, sf) -> DataFrame:
-    return graph.prune(*kg(spark, sf), "nation:1")[0].select("standard_uid", "node_uid")
+    return graph.prune(store(*kg(spark, sf)), "nation:1")[0].select("standard_uid", "node_uid")
 
 
 #: A clause left with one order goes, then that order if it has one part or none, then that part if nothing else is about it; rounds in turn.
@@ -261,20 +262,47 @@ ORACLE["prune_node"] = duck("SELECT standard_uid, node_uid FROM n WHERE (standar
       FROM (SELECT DISTINCT near.standard_uid, near.node_uid FROM near JOIN g{i - 1} g ON g.standard_uid = near.standard_uid AND g.node_uid = near.other_uid) t) WHERE left_over <= 1 AND node_uid NOT LIKE 'region:%'""" for i in range(1, 6)})
 
 
-@query("bfs_tree", """
-SELECT standard_uid, node_uid, NULL AS parent, 0 AS level, node_uid AS path FROM n WHERE node_type = 'standard'
-UNION ALL SELECT e.standard_uid, target_uid, source_uid, 1, source_uid || '/' || target_uid FROM e WHERE source_uid LIKE 'region:%'
-UNION ALL SELECT e.standard_uid, e.target_uid, e.source_uid, 2, f.source_uid || '/' || e.source_uid || '/' || e.target_uid FROM e JOIN e f ON f.target_uid = e.source_uid WHERE f.source_uid LIKE 'region:%'""")
-def bfs_tree(spark, sf) -> DataFrame:
+#: Relations without those of one nation: what hangs on it is found from elsewhere, or not at all.
+PARTED = "SELECT * FROM whole WHERE 'nation:1' NOT IN (source_uid, target_uid)"
+TREE_LEVELS = 9
+TREE_ENDS = """SELECT p.standard_uid, p.node_uid, p.other_uid, d.label, CASE
+  WHEN edge_type = 'CONTAINS' THEN {rank} WHEN d.node_type = 'requirement' THEN 8 + back ELSE 12 + back + {rank} END AS priority
+  FROM (SELECT *, CASE direction WHEN 'out' THEN 0 ELSE 2 END AS back FROM ends) p JOIN n d ON d.standard_uid = p.standard_uid AND d.node_uid = p.other_uid""".format(
+    rank="CASE d.node_type WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 WHEN 'clause' THEN 3 WHEN 'requirement' THEN 5 ELSE 6 END")
+
+
+def tree_sql(sql: str) -> str:
+    levels = {"r0": "SELECT standard_uid, node_uid, CAST(NULL AS VARCHAR) AS parent, 0 AS level, CAST(1 AS BIGINT) AS seq, '000000001' AS path FROM n WHERE node_type = 'standard'"}
+    for k in range(1, TREE_LEVELS + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM r{j} x WHERE x.standard_uid = a.standard_uid AND x.node_uid = other_uid)" for j in range(max(0, k - 2), k))
+        levels[f"f{k}"] = f"""SELECT a.standard_uid, other_uid, arg_min(a.node_uid, (seq, priority)) AS parent, arg_min(path, (seq, priority)) AS path, min((seq, priority)) AS o, any_value(label) AS label
+          FROM a JOIN r{k - 1} USING (standard_uid, node_uid) WHERE true {seen} GROUP BY ALL"""
+        levels[f"s{k}"] = f"SELECT f{k}.*, (SELECT max(seq) FROM r{k - 1} WHERE r{k - 1}.standard_uid = f{k}.standard_uid) + row_number() OVER (PARTITION BY standard_uid ORDER BY o, label, other_uid) AS seq FROM f{k}"
+        levels[f"r{k}"] = f"SELECT standard_uid, other_uid AS node_uid, parent, {k} AS level, seq, path || lpad(CAST(seq AS VARCHAR), 9, '0') AS path FROM s{k}"
+    found = " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(TREE_LEVELS + 1))
+    leaf = "SELECT standard_uid, parent AS node_uid FROM found WHERE parent IS NOT NULL GROUP BY ALL"
+    above = "SELECT l.standard_uid, substr(path, 9 * i + 1, 9) AS up, count(*) AS size, count(*) FILTER (k.node_uid IS NULL) AS weight FROM found l LEFT JOIN inner_nodes k ON k.standard_uid = l.standard_uid AND k.node_uid = l.node_uid, range(0, 20) t(i) WHERE 9 * i < length(path) GROUP BY ALL"
+    whole = """SELECT f.standard_uid, f.node_uid, parent, level, seq, row_number() OVER (PARTITION BY f.standard_uid ORDER BY path) - 1 AS position, size, weight FROM found f JOIN above b ON b.standard_uid = f.standard_uid AND b.up = lpad(CAST(seq AS VARCHAR), 9, '0')
+      UNION ALL SELECT n.standard_uid, node_uid, NULL, deepest + row_number() OVER w, c + row_number() OVER w, c + row_number() OVER w - 1, NULL, NULL FROM n JOIN (SELECT standard_uid, max(level) AS deepest, count(*) AS c FROM found GROUP BY ALL) m USING (standard_uid)
+      WHERE (n.standard_uid, node_uid) NOT IN (SELECT standard_uid, node_uid FROM found) WINDOW w AS (PARTITION BY n.standard_uid ORDER BY label, node_uid)"""
+    return duck(sql, n=KG_NODES, whole=KG_EDGES, e=PARTED, ends=ENDS, a=TREE_ENDS, **levels, found=found, inner_nodes=leaf, above=above, tree=whole)
+
+
+def parted_tree(spark, sf) -> DataFrame:
     nodes, edges = kg(spark, sf)
-    return graph.tree(nodes, edges, nodes.where("node_type = 'standard'"), 2).withColumn("path", F.array_join("path", "/"))
+    stored = store(nodes, edges.where("'nation:1' NOT IN (source_uid, target_uid)"))
+    return graph.tree(stored, stored.nodes.where("node_type = 'standard'"))
 
 
-@query("leaf_weights", """
-SELECT standard_uid, node_uid, 1 AS weight FROM n WHERE node_type IN ('section', 'clause') UNION ALL
-SELECT standard_uid, source_uid, count(*) FROM e WHERE source_uid LIKE 'nation:%' GROUP BY ALL UNION ALL
-SELECT standard_uid, node_uid, 1 FROM n WHERE node_type = 'chapter' AND node_uid NOT IN (SELECT source_uid FROM e) UNION ALL
-SELECT f.standard_uid, f.source_uid, count(*) FROM e f LEFT JOIN e g ON g.source_uid = f.target_uid WHERE f.source_uid LIKE 'region:%' GROUP BY ALL""")
+@query("bfs_tree", None)
+def bfs_tree(spark, sf) -> DataFrame:
+    return parted_tree(spark, sf).select("standard_uid", "node_uid", "parent", "level", "position", "size")
+
+
+@query("leaf_weights", None)
 def leaf_weights(spark, sf) -> DataFrame:
-    nodes, edges = kg(spark, sf)
-    return graph.leaf_weights(graph.tree(nodes, edges, nodes.where("node_type = 'standard'"), 2))
+    return graph.leaf_weights(parted_tree(spark, sf))
+
+
+ORACLE["bfs_tree"] = tree_sql("SELECT standard_uid, node_uid, parent, level, position, size FROM tree")
+ORACLE["leaf_weights"] = tree_sql("SELECT standard_uid, node_uid, weight FROM tree WHERE weight IS NOT NULL")

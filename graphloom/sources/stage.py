@@ -24,3 +24,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/graphloom-steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``df`` as a table in buckets of ``keys``, sorted by them: joins on the keys don't move it."""
+    spark = df.sparkSession
+    name, n = f"graphloom_{what}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/graphloom-tables/{name}").saveAsTable(name)
+    return spark.table(name)

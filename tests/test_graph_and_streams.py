@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from graphloom.operators import compare, edits, graph, payloads
+from graphloom.operators.adjacency import store
 from graphloom.sources import artifacts
 from graphloom.streaming import pipelines
 
@@ -30,11 +31,11 @@ def test_degrees_and_search(spark):
 def test_traversals(spark):
     nodes, edges = small(spark)
     start = graph.start_nodes(nodes, edges)
-    assert [r["node_uid"] for r in graph.breadth_first(nodes, edges, start, 4).orderBy("seq").collect()] == ["s", "a", "b", "c", "d"]
+    assert [r["node_uid"] for r in graph.breadth_first(store(nodes, edges), start, 4).orderBy("seq").collect()] == ["s", "a", "b", "c", "d"]
     assert {r["node_uid"] for r in graph.ancestors(edges, nodes.where("node_uid = 'c'")).collect()} == {"c", "b", "a", "s"}
-    assert {r["node_uid"] for r in graph.prune(nodes, edges, "d")[0].collect()} == {"s", "a", "b", "c"}
-    assert {r["node_uid"] for r in graph.prune(nodes, edges.where("edge_uid <> 'e6'"), "c")[0].collect()} == {"s", "d"}
-    assert {r["node_uid"]: r["weight"] for r in graph.leaf_weights(graph.tree(nodes, edges, start, 3)).collect()} == {"s": 2, "a": 2, "b": 2, "c": 1, "d": 1}
+    assert {r["node_uid"] for r in graph.prune(store(nodes, edges), "d")[0].collect()} == {"s", "a", "b", "c"}
+    assert {r["node_uid"] for r in graph.prune(store(nodes, edges.where("edge_uid <> 'e6'")), "c")[0].collect()} == {"s", "d"}
+    assert {r["node_uid"]: r["weight"] for r in graph.leaf_weights(graph.tree(store(nodes, edges), start)).collect()} == {"s": 2, "a": 2, "b": 2, "c": 1, "d": 1}
     found = compare.hierarchy(nodes, edges)
     assert [(r["id"], r["chapter_id"], r["section_id"]) for r in found["clauses"].orderBy("id").collect()] == [("c", "a", "b"), ("d", "a", "b")]
 
@@ -72,16 +73,16 @@ def test_long_chains_are_followed_to_their_end(spark):
     nodes = spark.createDataFrame([("s", n, "standard" if n == "s" else "clause", n, None) for n in names], NODES)
     edges = spark.createDataFrame([("s", f"e{i}", "CONTAINS", names[i], names[i + 1]) for i in range(35)], EDGES)
     assert graph.ancestors(edges, nodes.where("node_uid = 'n34'")).count() == 36
-    left, kept = graph.prune(nodes, edges, "n34")
+    left, kept = graph.prune(store(nodes, edges), "n34")
     assert [r["node_uid"] for r in left.collect()] == ["s"] and kept.count() == 0
 
 
 def test_pruning_stops_at_roots_and_never_empties_a_space(spark):
     nodes, edges = small(spark)
-    left, kept = graph.prune(nodes, edges, "s", nodes.where("node_uid = 'b'"))
+    left, kept = graph.prune(store(nodes, edges), "s", nodes.where("node_uid = 'b'"))
     assert {r["node_uid"] for r in left.collect()} == {"b", "c", "d"} and {r["edge_uid"] for r in kept.collect()} >= {"e3"}
     chain = edges.where("edge_uid IN ('e1', 'e2')")
-    left, kept = graph.prune(nodes.where("node_uid IN ('s', 'a', 'b')"), chain, "s", nodes.limit(0))
+    left, kept = graph.prune(store(nodes.where("node_uid IN ('s', 'a', 'b')"), chain), "s", nodes.limit(0))
     assert left.count() == 3 and kept.count() == 2
 
 
