@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import normative as N
 from graphloom.functions.labels import node_label, search_form
+from graphloom.operators import merges as batches
 
 SPACE, NODE = "standard_uid", "node_uid"
 PROPERTIES = "map<string,string>"
@@ -93,54 +93,22 @@ def edit_check(nodes: DataFrame, source: DataFrame, new_label: str, allow_rename
     return found.select(SPACE, NODE, "twin", renamed.alias("renamed"), outcome.alias("outcome"))
 
 
-def over(below: Column, above: Column) -> Column:
-    """Two property maps as one; the entries of ``above`` win.  A null map is empty."""
-    below, above = (F.coalesce(m, F.create_map().cast(PROPERTIES)) for m in (below, above))
-    return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(above, k)), above)
-
-
 def merge_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
-    """Edges after merges (standard_uid, source, target): ends rewritten, loops dropped, duplicates folded.
-
-    Of edges with the same ends and type the first by uid stays; the others' uids are listed, and
-    their ``properties``, where edges have such a map, fill in what the ones before them lack.
-    """
-    for end in ("source_uid", "target_uid"):
-        by = merges.select(SPACE, F.col("source").alias(end), F.col("target").alias("_to"))
-        edges = edges.join(by, [SPACE, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    kept = edges.where("source_uid <> target_uid").withColumn("edge_type", F.coalesce("edge_type", F.lit("RELATED_TO")))
-    known = "properties" in edges.columns
-    maps = [F.array_sort(F.collect_list(F.struct("edge_uid", F.map_entries("properties").alias("entries")))).alias("maps")] if known else []
-    folded = kept.groupBy(SPACE, "source_uid", "target_uid", "edge_type").agg(F.min("edge_uid").alias("edge_uid"), F.array_sort(F.collect_set("edge_uid")).alias("all"), *maps)
-    filled = F.aggregate("maps", F.create_map().cast(PROPERTIES), lambda have, m: over(F.map_from_entries(m["entries"]), have))
-    return folded.select(SPACE, "edge_uid", "edge_type", "source_uid", "target_uid", F.array_except("all", F.array("edge_uid")).alias("merged_edge_ids"), *([filled.alias("properties")] if known else []))
+    """Edges after merges (standard_uid, source, target and, where chains matter, seq); see ``merges.merged_edges``."""
+    merges = merges if "seq" in merges.columns else merges.withColumn("seq", F.lit(0).cast("long"))
+    found = batches.survivors(batches.resolved(merges))
+    return batches.merged_edges(edges, found.select(SPACE, NODE, "survivor"))
 
 
 def merge_nodes(nodes: DataFrame, merges: DataFrame, new_label: str, new_type: str | None = None, new_text: str | None = None, new_properties: dict[str, str] | None = None) -> DataFrame:
-    """Nodes after merges: the source goes, the target takes the label and lists aliases and ids.
+    """Nodes after merges (standard_uid, source, target) that all edit the same; see ``merges.merge_entities``.
 
-    A new type and text win over the target's; without any text the source's is taken.  Where nodes
-    have ``properties`` (a map), the source's lie below the target's and those below the new ones;
-    the lists of an earlier merge, the target's before the source's, are united with this one's.
+    The source's type, text and properties win over the target's, and what is new over both.
     """
-    earlier = [c for c in ("merged_aliases", "merged_node_ids") if c in nodes.columns]
-    own = nodes.select(SPACE, NODE, node_label().alias("l"), "text_content", F.col("properties") if "properties" in nodes.columns else F.create_map().cast(PROPERTIES).alias("properties"),
-                       *[F.col(c) if c in earlier else F.lit(None).cast("array<string>").alias(c) for c in ("merged_aliases", "merged_node_ids")])
-    both = merges.select(SPACE, "source", "target")
-    for end in ("source", "target"):
-        both = both.join(own.select(SPACE, F.col(NODE).alias(end), F.struct("l", "text_content", "properties", "merged_aliases", "merged_node_ids").alias(f"_{end}")), [SPACE, end])
-    united = lambda c, *more: F.array_sort(F.array_distinct(F.concat(F.array(*more), F.coalesce(f"_target.{c}", f"_source.{c}", F.array().cast("array<string>")))))
     added = F.create_map(*[F.lit(x) for entry in (new_properties or {}).items() for x in entry]).cast(PROPERTIES)
-    info = both.select(
-        SPACE, F.col("target").alias(NODE), F.filter(united("merged_aliases", F.col("_source.l"), F.col("_target.l")), lambda a: (a != new_label) & (a != "")).alias("_aliases"), united("merged_node_ids", F.col("source"), F.col("target")).alias("_ids"),
-        F.coalesce(N.blank_to_null(F.lit(new_text).cast("string")), N.blank_to_null(F.col("_target.text_content")), F.col("_source.text_content")).alias("_text"), over(over(F.col("_source.properties"), F.col("_target.properties")), added).alias("_properties"),
-    )
-    left = nodes.drop(*earlier).join(merges.select(SPACE, F.col("source").alias(NODE)), [SPACE, NODE], "left_anti").join(info, [SPACE, NODE], "left")
-    merged = F.col("_ids").isNotNull()
-    values = {"label": F.when(merged, new_label).otherwise(F.col("label")), "node_type": F.when(merged, F.coalesce(F.lit(new_type).cast("string"), F.col("node_type"))).otherwise(F.col("node_type")), "text_content": F.when(merged, F.col("_text")).otherwise(F.col("text_content"))}
-    if "properties" in nodes.columns:
-        values["properties"] = F.when(merged, F.col("_properties")).otherwise(F.col("properties"))
-    return left.withColumns(values | {"merged_aliases": F.col("_aliases"), "merged_node_ids": F.col("_ids")}).drop("_aliases", "_ids", "_text", "_properties")
+    edited = merges.withColumns({"label": F.lit(new_label), "node_type": F.lit(new_type).cast("string"), "text_content": F.lit(new_text).cast("string"), "properties": added})
+    edited = batches.resolved(edited if "seq" in merges.columns else edited.withColumn("seq", F.lit(0).cast("long")))
+    return batches.merged_nodes(nodes, edited, batches.survivors(edited))
 
 
 def merge_graphs(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -171,7 +139,20 @@ def find_relation(edges: DataFrame, edge_id: str | None, source: str | None, tar
 
 def serialized(nodes: DataFrame) -> DataFrame:
     """Nodes as the workbench shows them: defaults enter the properties without overwriting."""
-    defaults = F.map_filter(F.create_map(F.lit("node_uid"), F.col(NODE), F.lit("standard_uid"), F.col(SPACE), F.lit("text_content"), F.col("text_content")), lambda _, v: v.isNotNull())
-    own = F.coalesce("properties", F.create_map().cast("map<string,string>")) if "properties" in nodes.columns else F.create_map().cast("map<string,string>")
-    missing = F.map_filter(defaults, lambda k, _: ~F.map_contains_key(own, k))
-    return nodes.select(SPACE, F.col(NODE).alias("id"), node_label().alias("label"), F.coalesce("node_type", F.lit("unknown")).alias("node_type"), F.map_concat(own, missing).alias("properties"))
+    shown = with_defaults(nodes, ["node_uid", "standard_uid", "text_content"])
+    return nodes.select(SPACE, F.col(NODE).alias("id"), node_label().alias("label"), F.coalesce("node_type", F.lit("unknown")).alias("node_type"), shown.alias("properties"))
+
+
+def serialized_edges(edges: DataFrame) -> DataFrame:
+    """Edges as the workbench shows them: a type where there is none, the uid in the properties without overwriting."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    kind = F.coalesce("edge_type", F.lit("RELATED_TO"))
+    return edges.select(SPACE, text("edge_uid").alias("id"), text("source_uid").alias("source"), text("target_uid").alias("target"), kind.alias("edge_type"), with_defaults(edges, ["edge_uid"]).alias("properties"))
+
+
+def with_defaults(rows: DataFrame, columns: Sequence[str]):
+    """The properties, with the given columns where these aren't null and no property has their name."""
+    none = F.create_map().cast(PROPERTIES)
+    defaults = F.map_filter(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))]), lambda _, v: v.isNotNull())
+    own = F.coalesce("properties", none) if "properties" in rows.columns else none
+    return F.map_concat(own, F.map_filter(defaults, lambda k, _: ~F.map_contains_key(own, k)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.labels import natural_key
 from graphloom.operators import compare, edits, graph, jobs
+from graphloom.operators import merges as merges_
 from graphloom.plans.graph_queries import DEGREES, ENDS
 from graphloom.sources.stage import cut_lineage
 from graphloom.sources.bindings import ASSESSMENTS, CLAUSE_INFO, JOB_LOG, KG_EDGES, KG_NODES, assessments, clause_info, duck, job_log, kg, tables
@@ -182,6 +183,80 @@ def merge_entity_nodes(spark, sf) -> DataFrame:
     return edits.merge_nodes(nodes, merges, "Both").select("standard_uid", "node_uid", "label", F.coalesce(F.array_join("merged_aliases", ","), F.lit("")).alias("aliases"))
 
 
+#: Clauses of a space in fours: the first goes into the second, that into the third with an edit, then the fourth into the third.
+FOURS = """SELECT standard_uid, node_uid, label, node_type, k, (row_number() OVER (PARTITION BY standard_uid ORDER BY k) - 1) % 4 AS r, floor((row_number() OVER (PARTITION BY standard_uid ORDER BY k) - 1) / 4) AS g
+  FROM (SELECT *, CAST(substr(node_uid, 10) AS BIGINT) AS k FROM n WHERE node_type = 'clause') t"""
+FOUR_MERGES = """SELECT a.standard_uid, a.node_uid AS source, b.node_uid AS target, CASE a.r WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS seq, CASE WHEN a.r = 1 THEN 'group' END AS node_type
+  FROM fours a JOIN fours b ON a.standard_uid = b.standard_uid AND a.g = b.g AND b.r = CASE a.r WHEN 0 THEN 1 ELSE 2 END WHERE a.r <> 2"""
+
+
+def merged_fours(spark, sf) -> tuple[DataFrame, DataFrame]:
+    nodes, edges_ = kg(spark, sf)
+    nodes.createOrReplaceTempView("n")
+    spark.sql(FOURS).createOrReplaceTempView("fours")
+    merges = spark.sql(FOUR_MERGES).withColumn("seq", F.col("seq").cast("long"))
+    merges = merges.withColumn("properties", F.when(F.col("seq") == 2, F.create_map(F.lit("k0"), F.lit("edited"), F.lit("by"), F.lit("2"))))
+    k = F.substring_index("node_uid", ":", -1).cast("long")
+    nodes = nodes.withColumn("properties", F.create_map(F.concat(F.lit("k"), k % 3), F.col("node_uid"))).withColumn("text_content", F.when(k % 5 == 0, F.concat(F.lit("text "), "label")))
+    nodes = nodes.withColumn("node_type", F.when(k % 7 == 0, F.concat("node_type", F.lit("7"))).otherwise(F.col("node_type")))
+    return merges_.merge_entities(nodes, edges_, merges)
+
+
+@query("merged_chains", None)
+def merged_chains(spark, sf) -> DataFrame:
+    nodes = merged_fours(spark, sf)[0]
+    lists = {c: F.coalesce(F.array_join(c, ","), F.lit("")) for c in ("merged_aliases", "merged_node_ids")}
+    return nodes.withColumns(lists | {"properties": graph.map_text("properties"), "text_content": F.coalesce("text_content", F.lit(""))})
+
+
+@query("merged_chain_edges", None)
+def merged_chain_edges(spark, sf) -> DataFrame:
+    return merged_fours(spark, sf)[1].withColumn("merged_edge_ids", F.array_join("merged_edge_ids", ","))
+
+
+#: p: 4 for the highest; the edit of the second merge stands over the first two.
+FOUR_ITEMS = """SELECT standard_uid, g, node_uid, label, CASE WHEN k % 7 = 0 THEN node_type || '7' ELSE node_type END AS node_type, CASE WHEN k % 5 = 0 THEN 'text ' || label END AS text_content, CASE r WHEN 3 THEN 4.0 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS p, k, r,
+  CASE WHEN max(r) OVER w >= 2 THEN 2 ELSE max(r) OVER w END AS root, max(r) OVER w AS top FROM fours WINDOW w AS (PARTITION BY standard_uid, g)"""
+FOUR_ENTRIES = """SELECT standard_uid, g, 'k' || k % 3 AS name, node_uid AS v, p FROM i UNION ALL SELECT standard_uid, g, name, v, 3.0 FROM i, (VALUES ('k0', 'edited'), ('by', '2')) t(name, v) WHERE r = 2"""
+FOUR_NODES = """SELECT i.standard_uid, max(CASE WHEN r = root THEN node_uid END) AS node_uid, coalesce(max(CASE WHEN p = 4 THEN node_type END), max(CASE WHEN top >= 2 THEN 'group' END), arg_max(node_type, p)) AS node_type, arg_max(label, p) AS label,
+  coalesce(arg_max(text_content, p) FILTER (text_content IS NOT NULL), '') AS text_content, max(props) AS properties, CASE WHEN count(*) = 1 THEN '' ELSE coalesce(string_agg(label, ',' ORDER BY label) FILTER (label <> lab), '') END AS merged_aliases, CASE WHEN count(*) = 1 THEN '' ELSE string_agg(node_uid, ',' ORDER BY node_uid) END AS merged_node_ids
+  FROM i JOIN (SELECT standard_uid, g, string_agg(name || '=' || v, ',' ORDER BY name) AS props FROM (SELECT standard_uid, g, name, arg_max(v, p) AS v FROM ent GROUP BY ALL) GROUP BY ALL) USING (standard_uid, g)
+  JOIN (SELECT standard_uid, g, arg_max(label, p) AS lab FROM i GROUP BY ALL) USING (standard_uid, g) GROUP BY i.standard_uid, g"""
+OTHER_NODES = """SELECT standard_uid, node_uid, CASE WHEN k % 7 = 0 THEN node_type || '7' ELSE node_type END AS node_type, label, CASE WHEN k % 5 = 0 THEN 'text ' || label ELSE '' END AS text_content, 'k' || k % 3 || '=' || node_uid AS properties, '' AS merged_aliases, '' AS merged_node_ids
+  FROM (SELECT *, CAST(string_split(node_uid, ':')[-1] AS BIGINT) AS k FROM n WHERE node_type <> 'clause')"""
+SURVIVORS = "SELECT i.standard_uid, i.node_uid, s.node_uid AS survivor FROM i JOIN i s ON i.standard_uid = s.standard_uid AND i.g = s.g AND s.r = s.root"
+ORACLE["merged_chains"] = duck(f"SELECT * FROM ({FOUR_NODES}) UNION ALL SELECT * FROM ({OTHER_NODES})", n=KG_NODES, fours=FOURS, i=FOUR_ITEMS, ent=FOUR_ENTRIES)
+ORACLE["merged_chain_edges"] = duck("""SELECT standard_uid, min(edge_uid) AS edge_uid, edge_type, source_uid, target_uid, coalesce(string_agg(DISTINCT edge_uid, ',' ORDER BY edge_uid) FILTER (edge_uid <> least_uid), '') AS merged_edge_ids FROM (
+  SELECT *, min(edge_uid) OVER (PARTITION BY standard_uid, source_uid, target_uid, edge_type) AS least_uid FROM (
+  SELECT e.standard_uid, edge_uid, edge_type, coalesce(a.survivor, source_uid) AS source_uid, coalesce(b.survivor, target_uid) AS target_uid FROM e LEFT JOIN s a ON a.standard_uid = e.standard_uid AND a.node_uid = source_uid LEFT JOIN s b ON b.standard_uid = e.standard_uid AND b.node_uid = target_uid)
+  WHERE source_uid <> target_uid) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY standard_uid, edge_type, source_uid, target_uid"), n=KG_NODES, e=KG_EDGES, fours=FOURS, i=FOUR_ITEMS, s=SURVIVORS)
+
+
+@query("serialized_edges", "SELECT standard_uid, edge_uid AS id, source_uid AS source, target_uid AS target, edge_type, 'edge_uid=' || edge_uid AS properties FROM e")
+def serialized_edges(spark, sf) -> DataFrame:
+    return edits.serialized_edges(kg(spark, sf)[1]).withColumn("properties", graph.map_text("properties"))
+
+
+@query("edited_relations", """
+SELECT standard_uid, edge_uid, CASE WHEN source_uid LIKE 'region:%' THEN 'HAS' ELSE edge_type END AS edge_type, CASE WHEN source_uid LIKE 'region:%' THEN 'a=new,b=1,note=' || target_uid ELSE 'a=old' END AS properties FROM e""")
+def edited_relations(spark, sf) -> DataFrame:
+    edges_ = kg(spark, sf)[1].withColumn("properties", F.create_map(F.lit("a"), F.lit("old")))
+    fields = F.create_map(F.lit("relation_type"), F.lit(" HAS "), F.lit("note"), F.col("target_uid"), F.lit("a"), F.lit("new"))
+    changes = edges_.where("source_uid LIKE 'region:%'").select("standard_uid", "edge_uid", fields.alias("fields"), F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("explicit")).alias("properties"))
+    return merges_.edit_relations(edges_, changes).select("standard_uid", "edge_uid", "edge_type", graph.map_text("properties").alias("properties"))
+
+
+@query("edited_entities", """
+SELECT standard_uid, node_uid, CASE WHEN node_type = 'chapter' THEN 'New ' || label ELSE label END AS label, CASE WHEN node_type = 'chapter' THEN 'topic' ELSE node_type END AS node_type, CASE WHEN node_type = 'chapter' THEN 'about ' || label ELSE '' END AS text_content,
+  CASE WHEN node_type = 'chapter' THEN 'size=3' ELSE '' END AS properties FROM n""")
+def edited_entities(spark, sf) -> DataFrame:
+    nodes, _ = kg(spark, sf)
+    fields = F.create_map(F.lit("entity_name"), F.concat(F.lit(" New "), "label"), F.lit("entity_type"), F.lit("topic"), F.lit("description"), F.concat(F.lit("about "), "label"), F.lit("size"), F.lit("3"), F.lit("label"), F.lit(" "))
+    changes = nodes.where("node_type = 'chapter'").select("standard_uid", "node_uid", fields.alias("fields"))
+    out = merges_.edit_entities(nodes, changes)
+    return out.select("standard_uid", "node_uid", "label", "node_type", F.coalesce("text_content", F.lit("")).alias("text_content"), graph.map_text("properties").alias("properties"))
+
+
 @query("patched_nodes", "SELECT standard_uid, node_uid, CASE WHEN node_type = 'chapter' THEN 'new ' || label ELSE label END AS label, node_type FROM n")
 def patched_nodes(spark, sf) -> DataFrame:
     nodes, _ = kg(spark, sf)

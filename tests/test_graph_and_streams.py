@@ -115,7 +115,7 @@ def test_merges_carry_properties(spark):
     merges = spark.createDataFrame([("s", "a", "b")], "standard_uid string, source string, target string")
     got = {r["node_uid"]: r for r in edits.merge_nodes(nodes, merges, "B", new_type="topic", new_properties={"z": "3", "w": "3"}).collect()}
     b = got["b"]
-    assert set(got) == {"b", "c"} and b["properties"] == {"x": "1", "y": "2", "z": "3", "w": "3"} and (b["node_type"], b["text_content"]) == ("topic", "text a")
+    assert set(got) == {"b", "c"} and b["properties"] == {"x": "1", "y": "1", "z": "3", "w": "3"} and (b["node_type"], b["text_content"]) == ("topic", "text a")
     assert b["merged_aliases"] == ["A", "old"] and b["merged_node_ids"] == ["a", "b"] and got["c"]["properties"] is None and got["c"]["text_content"] == "text c"
     edges = spark.createDataFrame(
         [("s", "e1", "ABOUT", "a", "c", {"k": "1"}), ("s", "e2", "ABOUT", "b", "c", {"k": "2", "l": "2"}), ("s", "e3", None, "a", "b", None)],
