@@ -6,9 +6,10 @@ prefix filtering: two sets of similarity t share one of the first |S| - ceil(t|S
 each in any common order (shingles that a sample of the rows shows to be common come last, which
 changes only how many pairs are compared).  Classes under a shingle are first compared with the
 least of them.  Where a shingle still holds several components, one member of each is compared with
-one of a chosen component, a few times over with other members, and what is apart even then is
-compared across all members.  So a dense group costs about one comparison a member, and no pair that
-is similar enough is left apart.
+one of the largest, a few times over with other members: each time, what is near a dense group joins
+it.  What is apart even then is compared across all members, as far as sizes and the shingle's places
+in both orders allow.  So a dense group costs a few comparisons a member, and no pair that is similar
+enough is left apart.
 
 Every pair passes two bounds before its texts are fetched: the sizes, and the differing bits of two
 parity bitmaps, which are never more than the shingles that only one of the sets has.
@@ -33,8 +34,8 @@ from graphloom.llm.words import BASE, SPACES, mix, ngram_hashes, words_of
 SAMPLED, MOST_COMMON = 16, 200_000
 #: Pairs whose texts are compared at once; longs of a parity bitmap; bits of the filter of rows whose texts are fetched.
 PAIRS, PARITY, FETCHED = 128, 16, 1 << 23
-#: Times that components under a shingle are compared by one member each.
-ROUNDS = 2
+#: Times at most that components under a shingle are compared by one member each.
+ROUNDS = 5
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -141,11 +142,13 @@ def close_sizes(similarity: float) -> Column:
 
 
 def parted(held: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """shingle, row, root, n: the members of all shingles that hold more than one component."""
+    """shingle, row, at, root, n: the members of all shingles that hold more than one component."""
     roots = connected_components(links).select(F.col("node").alias("row"), "root")
-    part = written(held.select("shingle", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "parted")
+    part = written(held.select("shingle", "row", "at").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "parted")
     mixed = part.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    return written(part.join(mixed, "shingle", "left_semi").join(classes.select(F.col("rep").alias("row"), "n"), "row"), "parted")
+    left = written(part.join(mixed, "shingle", "left_semi").join(classes.select(F.col("rep").alias("row"), "n"), "row"), "parted")
+    emptied(part)
+    return left
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -167,32 +170,39 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
 
     # the first shingles of every class
     least = rows.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    entries = least.select(F.explode("first").alias("shingle"), "row")
+    entries = least.select(F.posexplode("first").alias("at", "shingle"), "row")
     centers = written(entries.groupBy("shingle").agg(F.count("*").alias("of"), F.min("row").alias("center")).where("of > 1").select("shingle", "center"), "centers")
-    held = written(entries.join(centers, "shingle").select("shingle", "row", "center"), "shared-shingles")
+    held = written(entries.join(centers, "shingle").select("shingle", "row", "at", "center"), "shared-shingles")
     stars = written(ordered(held.select(F.col("center").alias("a"), F.col("row").alias("b"))).join(tried, ["a", "b"], "left_anti"), "stars")
     links = links.unionByName(similar(stars, classes, docs, size, similarity))
 
-    seen = [tried, stars]
+    seen, part = [tried, stars], parted(held, links, classes)
     for turn in range(ROUNDS):
-        part = parted(held, links, classes)
-        member = F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "n").alias("m")
-        members = part.groupBy("shingle", "root").agg(F.min(member).alias("m")).select("shingle", "root", "m.row", "m.n")
-        chosen = members.groupBy("shingle").agg(F.min_by(F.struct("row", "n"), F.xxhash64("root", F.lit(turn))).alias("c")).select("shingle", F.col("c.row").alias("center"), F.col("c.n").alias("m"))
+        member = F.struct(F.xxhash64("row", "shingle", F.lit(turn)).alias("h"), "row", "n").alias("m")
+        members = part.groupBy("shingle", "root").agg(F.min(member).alias("m"), F.count("*").alias("of")).select("shingle", "root", "of", "m.row", "m.n")
+        chosen = members.groupBy("shingle").agg(F.max_by(F.struct("row", "n"), F.struct("of", "root")).alias("c")).select("shingle", F.col("c.row").alias("center"), F.col("c.n").alias("m"))
         pairs = ordered(members.join(chosen, "shingle").where(close_sizes(similarity)).select(F.col("row").alias("a"), F.col("center").alias("b")))
         for before in seen:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         seen.append(written(pairs, "between-components"))
-        links = links.unionByName(similar(seen[-1], classes, docs, size, similarity))
-    part = parted(held, links, classes)
-    other = part.select("shingle", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    across = part.withColumnRenamed("row", "a").join(other, "shingle").where(close_sizes(similarity) & F.expr("a < b AND root <> other")).select("a", "b").distinct()
+        found = similar(seen[-1], classes, docs, size, similarity)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        emptied(part)
+        part = parted(held, links, classes)
+    other = part.select("shingle", F.col("row").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("at").alias("place"))
+    # the first shingle that two sets share leaves as many as they must have in common behind it, in both orders
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+    across = part.withColumnRenamed("row", "a").join(other, "shingle").where(close_sizes(similarity) & enough & F.expr("a < b AND root <> other")).select("a", "b").distinct()
     for before in seen:
         across = across.join(before, ["a", "b"], "left_anti")
     across = written(across, "across")
     links = links.unionByName(similar(across, classes, docs, size, similarity))
-    emptied(*seen, centers, held, across)
+    emptied(*seen, centers, held, across, part)
 
     roots = connected_components(links).withColumnRenamed("node", "rep")
     labelled = classes.join(roots, "rep", "left").select("a", "c", "n", F.coalesce("root", "rep").alias("component"))
-    return rows.select("row", "a", "c", "n").join(labelled, ["a", "c", "n"]).select("row", "component")
+    result = written(rows.select("row", "a", "c", "n").join(labelled, ["a", "c", "n"]).select("row", "component"), "components")
+    emptied(rows, classes, alike)
+    return result
