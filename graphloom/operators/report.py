@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import normative as N
 from graphloom.functions.labels import preview
+from graphloom.operators.scans import folded, states_before
+from graphloom.sources.stage import cut_lineage
 
 DOC = "document_id"
 # Heading patterns and words, and the size of a text unit.
@@ -28,6 +30,8 @@ TEXTUAL = ["paragraph", "equation"]
 MEDIA = {"table": "table", "image": "figure"}
 KINDS = ("chapter", "section", "subsection", "appendix", "topic", "subtopic", "front_matter", "toc")
 IMPLICIT = "前置内容"
+#: What a title's form makes of it, whatever stands before: level, whether it has a reference, whether it is structural.
+FORMS = {"toc": (1, False, False), "ignore": (4, False, False), "front_matter": (1, False, False), "appendix": (1, True, True), "subsection": (3, True, True), "section": (2, True, True), "subtopic": (5, True, False), "topic": (4, True, False)}
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 # End of fixed values.
 
@@ -87,41 +91,49 @@ def spec(kind, level, ref, is_structural: bool) -> Column:
     return F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), (ref if ref is not None else F.lit(None)).cast("string").alias("ref"), F.lit(is_structural).alias("structural"))
 
 
+def title_features(rows: DataFrame) -> DataFrame:
+    """Titles with all that the plan asks of their texts, each expression evaluated once a title.
+
+    form: what the text alone says (toc, front_matter, appendix, subsection, section, subtopic, topic),
+    ``single`` for a bare number that isn't a year, null for none of these; ref: its reference; number:
+    of a ``single``; supported: whether the next title continues that number.
+    """
+    text, titles = F.col("text_normalized"), rows.where("source_type = 'title'")
+    following = F.lead("text_normalized").over(by())
+    dotted, number = F.regexp_extract(text, DOTTED, 1), F.regexp_extract(text, SINGLE, 1).try_cast("long")
+    appendix = F.coalesce(N.blank_to_null(F.regexp_extract(text, APPENDIX, 2)), F.regexp_extract(text, APPENDIX, 1))
+    on_toc = F.col("page_role") == "toc"
+    forms = [
+        (text.isin(*TOC), "toc", None), (on_toc, "ignore", None), (text.isin(*FRONT), "front_matter", None), (text.rlike(APPENDIX), "appendix", appendix), (text.rlike(DOTTED) & (F.size(F.split(dotted, r"\.")) >= 3), "subsection", dotted), (text.rlike(DOTTED), "section", dotted),
+        (text.rlike(ENUMERATED), "subtopic", F.regexp_extract(text, ENUMERATED, 1)), (text.rlike(CHINESE_ENUMERATED), "topic", F.regexp_extract(text, CHINESE_ENUMERATED, 1)), (text.rlike(SINGLE) & ~text.startswith("20") & number.isNotNull(), "single", number.cast("string")),
+    ]
+    found = F.lit(None).cast("struct<form:string,ref:string>")
+    for test, form, ref in reversed(forms):
+        found = F.when(test, F.struct(F.lit(form).alias("form"), (ref if ref is not None else F.lit(None)).cast("string").alias("ref"))).otherwise(found)
+    supported = F.coalesce(following.startswith(F.concat(number.cast("string"), F.lit("."))), F.lit(False))
+    return titles.select(DOC, "pos", found.alias("found"), number.alias("number"), supported.alias("supported")).select(DOC, "pos", "found.form", "found.ref", "number", "supported")
+
+
 def title_plan(rows: DataFrame) -> DataFrame:
     """The heuristic plan: kind, level, reference and whether structural, for every title in order.
 
     State of the fold: whether anything structural came, the chapter's number, which of the levels
     1..3 on the stack are structural, and the references of the topics on levels 4 and 5.
     """
-    titles = rows.where("source_type = 'title'").groupBy(DOC).agg(F.array_sort(F.collect_list(F.struct("pos", "text_normalized", "page_role"))).alias("titles"))
-    titles = titles.withColumn("titles", F.transform("titles", lambda t, i: F.struct(t["pos"].alias("pos"), t["text_normalized"].alias("text"), t["page_role"].alias("role"), F.get("titles", i + 1)["text_normalized"].alias("following"))))
-    specs = "array<struct<pos:int,kind:string,level:int,ref:string,structural:boolean>>"
-    start = F.struct(F.lit(False).alias("seen"), F.lit(None).cast("long").alias("chapter"), F.array(*[F.lit(False)] * 3).alias("on"), F.lit(None).cast("string").alias("t4"), F.lit(None).cast("string").alias("t5"), F.array().cast(specs).alias("out"))
+    titles = title_features(rows).groupBy(DOC).agg(F.array_sort(F.collect_list(F.struct("pos", "form", "ref", "number", "supported"))).alias("titles"))
+    start = F.struct(F.lit(False).alias("seen"), F.lit(None).cast("long").alias("chapter"), F.array(*[F.lit(False)] * 3).alias("on"), F.lit(None).cast("string").alias("t4"), F.lit(None).cast("string").alias("t5"))
 
     def decide(s: Column, t: Column) -> Column:
-        text = t["text"]
-        number = F.regexp_extract(text, SINGLE, 1).try_cast("long")
-        supported = F.coalesce(t["following"].startswith(F.concat(number.cast("string"), F.lit("."))), F.lit(False))
         depth = F.when(s["on"][2], 3).when(s["on"][1], 2).when(s["on"][0], 1).otherwise(0)
         topic = F.coalesce(s["t5"], s["t4"]).try_cast("long")
-        as_topic = (depth > 1) & ~supported & F.coalesce(number <= topic + 1, F.lit(True))
-        as_chapter = s["chapter"].isNull() | ~s["seen"] | (number == s["chapter"] + 1) | supported
-        dotted = F.regexp_extract(text, DOTTED, 1)
-        three = F.size(F.split(dotted, r"\.")) >= 3
-        appendix_ref = F.coalesce(N.blank_to_null(F.regexp_extract(text, APPENDIX, 2)), F.regexp_extract(text, APPENDIX, 1))
+        as_topic = (depth > 1) & ~t["supported"] & F.coalesce(t["number"] <= topic + 1, F.lit(True))
+        as_chapter = s["chapter"].isNull() | ~s["seen"] | (t["number"] == s["chapter"] + 1) | t["supported"]
+        single = t["form"] == "single"
+        plain = F.coalesce(*[F.when(t["form"] == form, spec(form, level, t["ref"] if has_ref else None, is_structural)) for form, (level, has_ref, is_structural) in FORMS.items()])
         return (
-            F.when((t["role"] == "toc") & text.isin(*TOC), spec("toc", 1, None, False))
-            .when(t["role"] == "toc", spec("ignore", 4, None, False))
-            .when(text.isin(*TOC), spec("toc", 1, None, False))
-            .when(text.isin(*FRONT), spec("front_matter", 1, None, False))
-            .when(text.rlike(APPENDIX), spec("appendix", 1, appendix_ref, True))
-            .when(text.rlike(DOTTED) & three, spec("subsection", 3, dotted, True))
-            .when(text.rlike(DOTTED), spec("section", 2, dotted, True))
-            .when(text.rlike(ENUMERATED), spec("subtopic", 5, F.regexp_extract(text, ENUMERATED, 1), False))
-            .when(text.rlike(CHINESE_ENUMERATED), spec("topic", 4, F.regexp_extract(text, CHINESE_ENUMERATED, 1), False))
-            .when(text.rlike(SINGLE) & ~text.startswith("20") & number.isNotNull() & as_topic, spec("topic", 4, number, False))
-            .when(text.rlike(SINGLE) & ~text.startswith("20") & number.isNotNull() & as_chapter, spec("chapter", 1, number, True))
-            .when(text.rlike(SINGLE) & ~text.startswith("20") & number.isNotNull(), spec("topic", 4, number, False))
+            F.when(single & (as_topic | ~as_chapter), spec("topic", 4, t["ref"], False))
+            .when(single, spec("chapter", 1, t["ref"], True))
+            .when(t["form"].isNotNull(), plain)
             .when(s["seen"], spec("topic", 4, None, False))
             .otherwise(spec("front_matter", 1, None, False))
         )
@@ -129,17 +141,19 @@ def title_plan(rows: DataFrame) -> DataFrame:
     def step(s: Column, t: Column) -> Column:
         def apply(d: Column) -> Column:
             keep, level = d["kind"] != "ignore", d["level"]
-            on = F.array(*[F.when(keep & (level < n), s["on"][n - 1] & (level > n)).when(keep & (level == n), d["structural"]).otherwise(s["on"][n - 1]) for n in (1, 2, 3)])
-            return F.struct(
+            on = F.array(*[F.when(keep & (level < n), F.lit(False)).when(keep & (level == n), d["structural"]).otherwise(s["on"][n - 1]) for n in (1, 2, 3)])
+            state = F.struct(
                 (s["seen"] | (keep & d["structural"])).alias("seen"), F.when(keep & (d["kind"] == "chapter"), d["ref"].try_cast("long")).otherwise(s["chapter"]).alias("chapter"), on.alias("on"),
                 F.when(~keep, s["t4"]).when(level == 4, d["ref"]).when(level < 4, F.lit(None).cast("string")).otherwise(s["t4"]).alias("t4"),
                 F.when(~keep, s["t5"]).when(level == 5, d["ref"]).otherwise(F.lit(None).cast("string")).alias("t5"),
-                F.concat(s["out"], F.array(F.struct(t["pos"].alias("pos"), d["kind"].alias("kind"), d["level"].alias("level"), d["ref"].alias("ref"), d["structural"].alias("structural")))).alias("out"),
             )
+            out = F.struct(t["pos"].alias("pos"), d["kind"].alias("kind"), d["level"].alias("level"), d["ref"].alias("ref"), d["structural"].alias("structural"))
+            return F.struct(state.alias("state"), out.alias("out"))
 
         return F.transform(F.array(decide(s, t)), apply)[0]  # binds the decision once
 
-    return titles.select(DOC, F.explode(F.aggregate("titles", start, step, lambda s: s["out"])).alias("p")).select(DOC, "p.*", F.lit("heuristic").alias("planner_source"))
+    specs = folded(F.col("titles"), start, step, "struct<pos:int,kind:string,level:int,ref:string,structural:boolean>")
+    return titles.select(DOC, F.explode(specs).alias("p")).select(DOC, "p.*", F.lit("heuristic").alias("planner_source"))
 
 
 def override_plan(plan: DataFrame, decided: DataFrame) -> DataFrame:
@@ -207,17 +221,19 @@ def text_units(stacked: DataFrame) -> DataFrame:
     textual = F.col("source_type").isin(*TEXTUAL)
     rows = stacked.where((F.col("source_type") == "title") | (F.col("page_role") != "toc"))
     rows = rows.withColumn("run", F.sum((~textual).cast("int")).over(so_far()))
-    own = F.struct("pos", F.length("text_normalized").alias("n"), "text_normalized", "page_idx", "block_id", "stack", "page_role")
-    runs = rows.where(textual).groupBy(DOC, "run").agg(F.array_sort(F.collect_list(own)).alias("blocks"))
-    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("count"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, b: Column) -> Column:
-        chars, count = s["chars"] + b["n"], s["count"] + 1
-        full = (chars >= UNIT_CHARS) | (count >= UNIT_BLOCKS)
-        return F.struct(F.when(full, 0).otherwise(chars).alias("chars"), F.when(full, 0).otherwise(count).alias("count"), (s["chunk"] + full.cast("int")).alias("chunk"), F.concat(s["out"], F.array(s["chunk"])).alias("out"))
-
-    cut = runs.withColumn("chunks", F.aggregate("blocks", start, step, lambda s: s["out"]))
-    each = cut.select(DOC, "run", F.explode(F.arrays_zip("blocks", "chunks")).alias("z")).select(DOC, "run", F.col("z.chunks").alias("chunk"), "z.blocks.*").withColumn("unit_type", F.lit("text"))
+    own = F.struct("pos", "text_normalized", "page_idx", "block_id", "stack", "page_role")
+    in_run = Window.partitionBy(DOC, "run").orderBy("pos")
+    # how many blocks a unit takes that begins here: it depends on the next few alone
+    sums, taken = F.length("text_normalized"), F.lit(UNIT_BLOCKS)
+    for n in range(UNIT_BLOCKS - 1, 0, -1):
+        upto = sum((F.coalesce(F.lead(F.length("text_normalized"), k).over(in_run), F.lit(0)) for k in range(1, n)), sums)
+        taken = F.when(upto >= UNIT_CHARS, n).otherwise(taken)
+    blocks = rows.where(textual).select(DOC, "run", own.alias("own"), (F.row_number().over(in_run) - 1).alias("at"), taken.alias("taken"))
+    # state: blocks that the open unit still takes
+    step = F.array(F.col("taken") - 1, *[F.lit(n - 1) for n in range(1, UNIT_BLOCKS)])
+    states = states_before(cut_lineage(blocks.select(DOC, "run", "own", "at", step.alias("step"))), [DOC, "run"], "at", "step", ["own"], UNIT_BLOCKS)
+    begun = F.sum((F.col("state") == 0).cast("int")).over(Window.partitionBy(DOC, "run").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    each = states.select(DOC, "run", begun.alias("chunk"), "own.*").withColumn("unit_type", F.lit("text"))
     items = rows.where("source_type = 'list_item'").select(DOC, "run", F.lit(-1).alias("chunk"), own.alias("b")).select(DOC, "run", "chunk", "b.*").withColumn("unit_type", F.lit("list_item"))
     units = each.unionByName(items).groupBy(DOC, "run", "chunk", "unit_type").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text_normalized"))), lambda x: x["text_normalized"]), "\n").alias("text"), F.count("*").alias("blocks"), F.min("page_idx").alias("first_page"), F.max("page_idx").alias("last_page"),
