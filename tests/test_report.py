@@ -10,13 +10,13 @@ from graphloom.sources import artifacts
 def golden(tmp_path):
     text = lambda kind, t: {"type": kind, "bbox": [0, 0, 1, 1], "content": {f"{kind}_content": [{"type": "text", "content": t}], "level": 1}}
     second = []
-    for i, t in enumerate(["1 引言", "1.1 工作基础", "1 基础资料收集", "2 现场安全检查", "2 工程概况", "2.1 工程基本情况"]):
+    for i, t in enumerate(["1 总则", "1.1 编制依据", "1 收集图纸", "2 查勘河段", "2 水文条件", "2.1 流域概况"]):
         second.append(text("title", t))
         if i:
-            second.append(text("paragraph", f"正文 {t}"))
-    second.append({"type": "table", "bbox": [0, 0, 1, 1], "content": {"table_caption": [{"type": "text", "content": "表 2.1-1 工程特性表"}], "html": "<table><tr><td>库容</td><td>1&amp;2</td></tr></table>"}})
-    second.append({"type": "image", "bbox": [0, 0, 1, 1], "content": {"image_caption": [{"type": "text", "content": "图 2.1-1 工程布置图"}], "image_source": {"path": "images/a.jpg"}}})
-    pages = [[text("title", "内容提要"), text("paragraph", "提要正文")], second]
+            second.append(text("paragraph", f"说明 {t}"))
+    second.append({"type": "table", "bbox": [0, 0, 1, 1], "content": {"table_caption": [{"type": "text", "content": "表 2.1-1 径流特征表"}], "html": "<table><tr><td>径流量</td><td>1&amp;2</td></tr></table>"}})
+    second.append({"type": "image", "bbox": [0, 0, 1, 1], "content": {"image_caption": [{"type": "text", "content": "图 2.1-1 水系示意图"}], "image_source": {"path": "images/a.jpg"}}})
+    pages = [[text("title", "内容摘要"), text("paragraph", "本文说明")], second]
     folder = tmp_path / "r1"
     folder.mkdir()
     (folder / "content.json").write_text(json.dumps(pages, ensure_ascii=False))
@@ -35,20 +35,20 @@ def test_golden(spark, tmp_path):
     stacked = report.planned(rows, plan)
     sections = {r["title"]: r for r in report.sections(stacked).collect()}
     by_pos = {r["pos"]: t for t, r in sections.items()}
-    assert by_pos[sections["1 基础资料收集"]["parent_pos"]] == "1.1 工作基础" and len(sections) == 7
+    assert by_pos[sections["1 收集图纸"]["parent_pos"]] == "1.1 编制依据" and len(sections) == 7
     units = report.text_units(stacked)
     assert units.count() >= 4
     table = blocks.where("source_type = 'table'").first()["text"]
-    assert table == "表 2.1-1 工程特性表\n库容 | 1&2"
+    assert table == "表 2.1-1 径流特征表\n径流量 | 1&2"
     pos = plan.orderBy("pos").collect()[4]["pos"]
     decided = spark.createDataFrame([("r1", pos, "section", 2, None, True)], "document_id string, pos int, kind string, level int, ref string, structural boolean")
     over = report.override_plan(plan, decided)
     assert report.plan_source(over).first()["source"] == "hybrid" and over.where(f"pos = {pos}").first()["kind"] == "section"
     media = report.media(stacked)
     shown = {r["uid"]: (r["item_ref"], r["caption"], r["section_path"][-1]) for r in media.collect()}
-    assert shown == {"report:r1:table:1": ("2.1-1", "表 2.1-1 工程特性表", "2.1 工程基本情况"), "report:r1:figure:1": ("2.1-1", "图 2.1-1 工程布置图", "2.1 工程基本情况")}
+    assert shown == {"report:r1:table:1": ("2.1-1", "表 2.1-1 径流特征表", "2.1 流域概况"), "report:r1:figure:1": ("2.1-1", "图 2.1-1 水系示意图", "2.1 流域概况")}
     nodes = {r["node_uid"]: r["label"] for r in report.report_nodes(report.sections(stacked), units, media).collect()}
-    assert nodes["report:r1:figure:1"] == "图 2.1-1 工程布置图" and len(nodes) == 1 + 7 + units.count() + 2
+    assert nodes["report:r1:figure:1"] == "图 2.1-1 水系示意图" and len(nodes) == 1 + 7 + units.count() + 2
     edges = report.report_edges(report.sections(stacked), units, media)
     assert edges.where("edge_type = 'CONTAINS'").count() == 7 + units.count() + 2
 
