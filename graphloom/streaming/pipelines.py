@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from graphloom.operators.edits import upsert
 from graphloom.sources import artifacts
+from graphloom.sources.tables import KeyedTable
 
 
 def artifact_stream(spark: SparkSession, path: str, id_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
@@ -41,29 +41,19 @@ def without_replays(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def into_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "append", keep_old_if_null: tuple[str, ...] = ()) -> StreamingQuery:
-    """Upserts every micro-batch into the table at ``path``; a batch that is replayed changes nothing.
-
-    Each batch writes a new version beside the last and names it, so readers never see half of one.
-    """
+    """Upserts every micro-batch into the keyed table at ``path``: only the buckets that a batch touches are
+    rewritten, readers never see half of one, and a batch that is replayed changes nothing."""
+    table = KeyedTable(path, tuple(keys))
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = latest_version(spark, path)
-        new = batch if old is None else upsert(old, batch, keys, keep_old_if_null)
-        new.write.mode("overwrite").parquet(f"{path}/version={number}")
+        table.upsert(batch, number, keep_old_if_null)
 
     return stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table's newest version, found through Spark's file system."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return None
-    numbers = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at) if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{path}/version={max(numbers)}") if numbers else None
+    """The newest version of the table at ``path``, if it has any."""
+    return KeyedTable(path, ()).read(spark)
 
 
 def run_to_end(query: StreamingQuery, result: Callable[[], DataFrame]) -> DataFrame:
