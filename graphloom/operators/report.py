@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import normative as N
 from graphloom.functions.labels import preview
+from graphloom.functions.markup import unescaped
 from graphloom.operators.scans import folded, states_before
 from graphloom.sources.stage import cut_lineage
 
@@ -32,7 +33,6 @@ KINDS = ("chapter", "section", "subsection", "appendix", "topic", "subtopic", "f
 IMPLICIT = "前置内容"
 #: What a title's form makes of it, whatever stands before: level, whether it has a reference, whether it is structural.
 FORMS = {"toc": (1, False, False), "ignore": (4, False, False), "front_matter": (1, False, False), "appendix": (1, True, True), "subsection": (3, True, True), "section": (2, True, True), "subtopic": (5, True, False), "topic": (4, True, False)}
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 # End of fixed values.
 
 
@@ -45,19 +45,6 @@ def so_far() -> Window:
     return by().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def unescaped(c: Column) -> Column:
-    for digits, pattern in ((10, "(?i)&#([0-9]{1,7});"), (16, "(?i)&#x([0-9a-f]{1,6});")):
-        # each numeric entity as a character: the text before it, then the character and the text up to the next
-        codes = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-        around = F.split(c, pattern)
-        number = lambda x, base=digits: F.conv(x, base, 10).cast("int")
-        character = lambda x: F.when(number(x).between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number(x)), 8, "0")), "UTF-32")).otherwise("")
-        c = F.when(F.size(codes) > 0, F.concat(F.element_at(around, 1), F.array_join(F.transform(codes, lambda x, i: F.concat(character(x), F.element_at(around, i + 2))), ""))).otherwise(c)
-    for name, value in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
-
-
 def normalize_lines(c: Column) -> Column:
     """Entities resolved, each line normalized, empty lines dropped, line breaks kept."""
     lines = F.transform(F.split(unescaped(F.coalesce(c, F.lit(""))), "\n"), N.normalize_text)
@@ -67,7 +54,7 @@ def normalize_lines(c: Column) -> Column:
 def normalized(blocks: DataFrame) -> DataFrame:
     """Non-empty blocks with pos, block_id and text_normalized."""
     blocks = blocks if "item_idx" in blocks.columns else blocks.withColumn("item_idx", F.lit(0))
-    rows = blocks.withColumn("text_normalized", normalize_lines(F.col("text"))).where("text_normalized <> ''")
+    rows = cut_lineage(blocks.withColumn("text_normalized", normalize_lines(F.col("text"))).where("text_normalized <> ''"))
     return rows.withColumns({"pos": F.row_number().over(Window.partitionBy(DOC).orderBy("page_idx", "block_idx", "item_idx")), "block_id": N.block_id(F.col("page_idx"), F.col("block_idx"), F.col("item_idx"), 3)})
 
 
