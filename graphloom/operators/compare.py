@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.labels import natural_key, node_label, search_form
-from graphloom.operators.graph import KEY, NODE, SPACE, ancestors, inner_edges
+from graphloom.operators import edits
+from graphloom.operators.graph import KEY, NODE, SPACE, ancestors, degrees, inner_edges
 from graphloom.operators.qgrams import substring_pairs
+from graphloom.sources.stage import cut_lineage
 
 # The spellings of each status, the worst first in priority.
 STATUS_FORMS = {
@@ -160,3 +162,58 @@ def comparison_graph(nodes: DataFrame, edges: DataFrame, items: DataFrame, statu
     kept = inner_edges(own, edges.where(F.upper("edge_type") == "CONTAINS")).select(SPACE, "edge_type", "source_uid", "target_uid")
     marks = judged.select(SPACE, F.upper("status").alias("edge_type"), unit.alias("source_uid"), F.col(NODE).alias("target_uid"))
     return own.unionByName(units), kept.unionByName(marks)
+
+
+#: Statuses that draw an edge from a unit to a clause.
+JUDGED = ("covered", "partial", "missing", "violated")
+
+
+def above(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """standard_uid, node_uid, up: every node over each of ``starts`` by CONTAINS, of any height; pairs are doubled from round to round."""
+    inside = ancestors(edges, starts)
+    up = parents(nodes, edges).join(inside, KEY, "left_semi").where(F.col("parent") != F.col(NODE))
+    pairs, known = cut_lineage(up.select(*KEY, F.col("parent").alias("up"))), -1
+    while (n := pairs.count()) > known:
+        known = n
+        further = pairs.select(SPACE, F.col(NODE).alias("up"), F.col("up").alias("next"))
+        pairs = cut_lineage(pairs.unionByName(pairs.join(further, [SPACE, "up"]).select(*KEY, F.col("next").alias("up"))).distinct())
+    return pairs.join(starts.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def unit_graphs(nodes: DataFrame, edges: DataFrame, items: DataFrame, units: DataFrame, matched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the comparison of every report unit with a standard, as the workbench shows them.
+
+    items: standard_uid, document_id, unit_uid, position (from 1), node_uid, status, reason, evidence.  units: document_id,
+    unit_uid, text, section_path.  matched: standard_uid, document_id, unit_uid, node_uid of matched chapters and sections.
+    A graph holds the unit, the standard's root, what is matched, judged clauses and all above them; CONTAINS between
+    these; and an edge by status for each judged item, with its reason and evidence.
+    """
+    of = ["document_id", "unit_uid", SPACE]
+    judged = items.where(F.col("status").isin(*JUDGED))
+    pairs = items.select(*of).unionByName(matched.select(*of)).distinct()
+    clauses = cut_lineage(judged.select(*of, NODE).distinct())
+    over = clauses.join(above(nodes, edges, clauses), KEY).select(*of, F.col("up").alias(NODE))
+    held = pairs.select(*of, F.col(SPACE).alias(NODE)).unionByName(matched.select(*of, NODE)).unionByName(clauses).unionByName(over).distinct()
+    known = nodes if "properties" in nodes.columns else nodes.withColumn("properties", F.create_map().cast(edits.PROPERTIES))
+    shown = edits.serialized(known).join(degrees(nodes, edges).select(SPACE, F.col(NODE).alias("id"), "degree"), [SPACE, "id"])
+    held = cut_lineage(held.join(nodes.select(*KEY), KEY, "left_semi"))
+    own = held.withColumnRenamed(NODE, "id").join(shown, [SPACE, "id"])
+    unit = F.concat_ws(":", F.lit("report-compare"), "document_id", "unit_uid")
+    texts = F.map_filter(F.create_map(F.lit("document_id"), F.col("document_id"), F.lit("unit_uid"), F.col("unit_uid"), F.lit("text_content"), F.coalesce("text", F.lit("")), F.lit("section_path"), F.to_json(F.coalesce("section_path", F.array().cast("array<string>")))), lambda _, v: v.isNotNull())
+    roots = pairs.join(units.select("document_id", "unit_uid", "text", "section_path"), ["document_id", "unit_uid"], "left").select(*of, unit.alias("id"), F.lit("Report Unit").alias("label"), F.lit("report_unit").alias("node_type"), texts.alias("properties"), F.lit(0).cast("long").alias("degree"))
+    contains = edges.where(F.upper("edge_type") == "CONTAINS")
+    # from below: a node has few parents, but a root's children are many
+    inner = held.withColumnRenamed(NODE, "target_uid").join(contains, [SPACE, "target_uid"]).join(held.withColumnRenamed(NODE, "source_uid"), [*of, "source_uid"], "left_semi")
+    kept = edits.serialized_edges(inner, of)
+    marks = judged.select(
+        *of, F.concat(F.lit("report-compare-edge:"), F.col("position").cast("string")).alias("id"), unit.alias("source"), F.col(NODE).alias("target"), F.upper("status").alias("edge_type"),
+        F.map_filter(F.create_map(F.lit("reason"), F.col("reason"), F.lit("report_evidence"), F.col("evidence")), lambda _, v: v.isNotNull()).alias("properties"),
+    )
+    return roots.unionByName(own.select(*roots.columns)), kept.select(*marks.columns).unionByName(marks)
+
+
+def resolved_unit_scores(payloads: DataFrame, items: DataFrame) -> DataFrame:
+    """unit_uid, coverage_score, summary: the score that a model gave with its payload (unit_uid, model_score), else that of the unit's items."""
+    own = unit_results(items)
+    joined = payloads.select("unit_uid", "model_score").join(own, "unit_uid", "full_outer")
+    return joined.select("unit_uid", resolved_score(F.col("model_score"), F.coalesce("coverage_score", F.lit(0.0))).alias("coverage_score"), "summary")

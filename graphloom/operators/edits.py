@@ -143,11 +143,11 @@ def serialized(nodes: DataFrame) -> DataFrame:
     return nodes.select(SPACE, F.col(NODE).alias("id"), node_label().alias("label"), F.coalesce("node_type", F.lit("unknown")).alias("node_type"), shown.alias("properties"))
 
 
-def serialized_edges(edges: DataFrame) -> DataFrame:
+def serialized_edges(edges: DataFrame, of: Sequence[str] = (SPACE,)) -> DataFrame:
     """Edges as the workbench shows them: a type where there is none, the uid in the properties without overwriting."""
     text = lambda c: F.coalesce(c, F.lit(""))
     kind = F.coalesce("edge_type", F.lit("RELATED_TO"))
-    return edges.select(SPACE, text("edge_uid").alias("id"), text("source_uid").alias("source"), text("target_uid").alias("target"), kind.alias("edge_type"), with_defaults(edges, ["edge_uid"]).alias("properties"))
+    return edges.select(*of, text("edge_uid").alias("id"), text("source_uid").alias("source"), text("target_uid").alias("target"), kind.alias("edge_type"), with_defaults(edges, ["edge_uid"]).alias("properties"))
 
 
 def with_defaults(rows: DataFrame, columns: Sequence[str]):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.labels import natural_key
 from graphloom.operators import compare, edits, graph, jobs
 from graphloom.operators import merges as merges_
+from graphloom.operators.ranks import group_ranks
 from graphloom.plans.graph_queries import DEGREES, ENDS
 from graphloom.sources.stage import cut_lineage
 from graphloom.sources.bindings import ASSESSMENTS, CLAUSE_INFO, JOB_LOG, KG_EDGES, KG_NODES, assessments, clause_info, duck, job_log, kg, tables
@@ -372,3 +373,53 @@ def document_listing(spark, sf) -> DataFrame:
     tables(spark, sf, "region")
     registry = spark.sql("SELECT concat('doc', r_regionkey) AS document_id, concat('space', r_regionkey) AS standard_uid, CASE WHEN r_regionkey % 2 = 0 THEN 'ready' END AS graph_status FROM region")
     return jobs.document_listing(job_log(spark, sf), registry, graph.space_stats(nodes, edges_).select("standard_uid", "nodes", "edges"))
+
+
+#: A unit in three per space, which every third customer's clause is compared with; some suppliers are matched sections.
+UNIT_ITEMS = """SELECT standard_uid, 'doc1' AS document_id, 'u' || k % 3 AS unit_uid, row_number() OVER (PARTITION BY standard_uid, k % 3 ORDER BY k) AS position, node_uid,
+  CASE k % 5 WHEN 0 THEN 'covered' WHEN 1 THEN 'partial' WHEN 2 THEN 'missing' WHEN 3 THEN 'violated' ELSE 'not_applicable' END AS status, 'reason ' || k AS reason, CASE WHEN k % 2 = 0 THEN 'evidence ' || label END AS evidence
+  FROM (SELECT *, CAST(string_split(node_uid, ':')[-1] AS BIGINT) AS k FROM n WHERE node_type = 'clause') t"""
+UNIT_HELD = """SELECT DISTINCT unit_uid, standard_uid, node_uid FROM items WHERE status <> 'not_applicable' UNION SELECT unit_uid, i.standard_uid, e.source_uid FROM items i JOIN e ON e.standard_uid = i.standard_uid AND e.target_uid = i.node_uid AND edge_type = 'CONTAINS' WHERE status <> 'not_applicable'
+  UNION SELECT unit_uid, i.standard_uid, f.source_uid FROM items i JOIN e ON e.standard_uid = i.standard_uid AND e.target_uid = i.node_uid AND e.edge_type = 'CONTAINS' JOIN e f ON f.standard_uid = i.standard_uid AND f.target_uid = e.source_uid AND f.edge_type = 'CONTAINS' WHERE status <> 'not_applicable'
+  UNION SELECT 'u' || CAST(string_split(node_uid, ':')[-1] AS BIGINT) % 3, standard_uid, node_uid FROM n WHERE node_type = 'section'"""
+
+
+def unit_graphs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    nodes, edges_ = kg(spark, sf)
+    k = F.substring_index("node_uid", ":", -1).cast("long")
+    unit = F.concat(F.lit("u"), k % 3).alias("unit_uid")
+    status = F.element_at(F.array(*map(F.lit, ("covered", "partial", "missing", "violated", "not_applicable"))), (k % 5 + 1).cast("int"))
+    items = nodes.where("node_type = 'clause'").select("standard_uid", F.lit("doc1").alias("document_id"), unit, k.alias("k"), "node_uid", status.alias("status"), F.concat(F.lit("reason "), k).alias("reason"), F.when(k % 2 == 0, F.concat(F.lit("evidence "), "label")).alias("evidence"))
+    items = group_ranks(items, ["standard_uid", "unit_uid"], ["k"], "position").drop("k")
+    units = spark.range(3).select(F.lit("doc1").alias("document_id"), F.concat(F.lit("u"), "id").alias("unit_uid"), F.concat(F.lit("text "), "id").alias("text"), F.array(F.lit("1"), F.lit("1.1")).alias("section_path"))
+    matched = nodes.where("node_type = 'section'").select("standard_uid", F.lit("doc1").alias("document_id"), unit, "node_uid")
+    return compare.unit_graphs(nodes, edges_, items, units, matched)
+
+
+@query("comparison_unit_nodes", None)
+def comparison_unit_nodes(spark, sf) -> DataFrame:
+    return unit_graphs(spark, sf)[0].withColumn("properties", graph.map_text("properties"))
+
+
+@query("comparison_unit_edges", None)
+def comparison_unit_edges(spark, sf) -> DataFrame:
+    return unit_graphs(spark, sf)[1].withColumn("properties", graph.map_text("properties"))
+
+
+UNIT_CTES = {"n": KG_NODES, "e": KG_EDGES, "items": UNIT_ITEMS, "held": UNIT_HELD}
+ORACLE["comparison_unit_nodes"] = duck("""
+SELECT 'doc1' AS document_id, unit_uid, h.standard_uid, node_uid AS id, label, node_type, 'node_uid=' || node_uid || ',standard_uid=' || h.standard_uid AS properties, (SELECT count(*) FROM e WHERE e.standard_uid = h.standard_uid AND source_uid = node_uid) + (SELECT count(*) FROM e WHERE e.standard_uid = h.standard_uid AND target_uid = node_uid) AS degree
+FROM held h JOIN n USING (standard_uid, node_uid) UNION ALL SELECT 'doc1', unit_uid, standard_uid, 'report-compare:doc1:' || unit_uid, 'Report Unit', 'report_unit', 'document_id=doc1,section_path=["1","1.1"],text_content=text ' || substr(unit_uid, 2) || ',unit_uid=' || unit_uid, 0 FROM (SELECT DISTINCT unit_uid, standard_uid FROM items UNION SELECT unit_uid, standard_uid FROM held)""", **UNIT_CTES)
+ORACLE["comparison_unit_edges"] = duck("""
+SELECT 'doc1' AS document_id, a.unit_uid, e.standard_uid, edge_uid AS id, source_uid AS source, target_uid AS target, edge_type, 'edge_uid=' || edge_uid AS properties FROM e JOIN held a ON a.standard_uid = e.standard_uid AND a.node_uid = target_uid JOIN held b ON b.standard_uid = e.standard_uid AND b.node_uid = source_uid AND b.unit_uid = a.unit_uid WHERE edge_type = 'CONTAINS'
+UNION ALL SELECT 'doc1', unit_uid, standard_uid, 'report-compare-edge:' || position, 'report-compare:doc1:' || unit_uid, node_uid, upper(status), 'reason=' || reason || coalesce(',report_evidence=' || evidence, '') FROM items WHERE status <> 'not_applicable'""", **UNIT_CTES)
+
+
+@query("unit_scores", f"""
+SELECT unit_uid, CASE WHEN m <> 0 THEN greatest(0.0, least(1.0, m)) ELSE coverage_score END AS coverage_score FROM (
+ SELECT unit_uid, CASE CAST(substr(unit_uid, 5) AS BIGINT) % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 7.0 WHEN 2 THEN 0.0 END AS m, {COVER} AS coverage_score FROM items GROUP BY unit_uid)""")
+def unit_scores(spark, sf) -> DataFrame:
+    rows = items(spark, sf)
+    k = F.substring("unit_uid", 5, 19).cast("long") % 4
+    given = rows.select("unit_uid").distinct().withColumn("model_score", F.when(k == 0, "0.5").when(k == 1, "7").when(k == 2, "0").otherwise("none"))
+    return compare.resolved_unit_scores(given, rows).select("unit_uid", "coverage_score")
