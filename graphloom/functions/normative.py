@@ -259,6 +259,25 @@ def file_descriptor(name: Column) -> Column:
     return F.when(name.rlike(STANDARD_FILE), made)
 
 
+#: Ids of standards as requests give them, and folders of graph spaces.
+STANDARD_ID = r"^([a-z]+)(\d+):(\d{2,4})$"
+SPACE_FOLDER = r"(?i)^([a-z]+\d+)-(\d{2,4})$"
+
+
+def id_descriptor(standard_id: Column, name: Column) -> Column:
+    """standard_id, code, year and title of a standard from a given id, the title from the file's name; null if it is no such id."""
+    own = F.lower(strip(standard_id))
+    kind, number, year = (F.regexp_extract(own, STANDARD_ID, i) for i in (1, 2, 3))
+    return F.when(own.rlike(STANDARD_ID), F.struct(own.alias("standard_id"), F.concat(F.upper(kind), number).alias("code"), year.alias("year"), file_stem(name).alias("title")))
+
+
+def space_descriptor(folder: Column) -> Column:
+    """standard_id and code of a graph space from the name of its folder; any other name stands for itself."""
+    kind, year = F.regexp_extract(folder, SPACE_FOLDER, 1), F.regexp_extract(folder, SPACE_FOLDER, 2)
+    other = F.struct(folder.alias("standard_id"), F.upper(F.replace(folder, F.lit("-"), F.lit(""))).alias("code"))
+    return F.when(folder.rlike(SPACE_FOLDER), F.struct(F.concat(F.lower(kind), F.lit(":"), year).alias("standard_id"), F.upper(kind).alias("code"))).otherwise(other)
+
+
 def source_format(name: Column) -> Column:
     """docx, doc or else pdf, by the extension."""
     extension = F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1))

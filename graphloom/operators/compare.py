@@ -217,3 +217,45 @@ def resolved_unit_scores(payloads: DataFrame, items: DataFrame) -> DataFrame:
     own = unit_results(items)
     joined = payloads.select("unit_uid", "model_score").join(own, "unit_uid", "full_outer")
     return joined.select("unit_uid", resolved_score(F.col("model_score"), F.coalesce("coverage_score", F.lit(0.0))).alias("coverage_score"), "summary")
+
+
+def report_scope() -> Column:
+    """What a request shows of a report's unit; columns as in ``scope_requests``."""
+    return F.struct("unit_uid", "title", "section_path", "structural_path", "text", "page_span")
+
+
+def scope_entries(chosen: DataFrame, scopes: DataFrame, key: str, name: str) -> DataFrame:
+    """unit_uid and, as ``name``, the entries (id, label and what is above) of its chosen scopes, by id."""
+    entry = F.struct(*[c for c in scopes.columns if c != SPACE])
+    return chosen.join(scopes, [SPACE, key]).groupBy(SPACE, "unit_uid").agg(F.array_sort(F.collect_set(entry)).alias(name))
+
+
+def scope_requests(units: DataFrame, levels: dict[str, DataFrame], chapters: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """standard_uid, unit_uid, candidates, payload: one JSON request a unit for the next step of its comparison with a standard.
+
+    units: standard_uid, unit_uid, title, section_path[], structural_path[], text, page_span[].  levels: ``hierarchy``.
+    Without ``chapters`` (standard_uid, unit_uid, chapter_id: those chosen) the step is to choose chapters
+    of all that the standard has; without ``sections`` (likewise, section_id) to choose sections within
+    the chapters; else to assess the clauses of the sections.  A unit without candidates has no request.
+
+    A request holds one standard's outline or the clauses of its chosen sections at most; scopes are
+    gathered a standard or a unit and meet the units by equi-joins, so units of one standard can be split.
+    """
+    if chapters is None:
+        entry = F.struct(*[c for c in levels["chapters"].columns if c != SPACE])
+        every = levels["chapters"].groupBy(SPACE).agg(F.array_sort(F.collect_set(entry)).alias("candidate_chapters"))
+        rows, fields, last = units.join(every, SPACE), ["candidate_chapters"], "candidate_chapters"
+    else:
+        picked = levels["chapters"].withColumn("chapter_id", F.col("id"))
+        above = scope_entries(chapters.distinct(), picked, "chapter_id", "selected_chapters")
+        if sections is None:
+            found = scope_entries(chapters.distinct(), levels["sections"], "chapter_id", "candidate_sections")
+            rows, fields, last = units.join(above, [SPACE, "unit_uid"], "left").join(found, [SPACE, "unit_uid"]), ["selected_chapters", "candidate_sections"], "candidate_sections"
+        else:
+            own = scope_entries(sections.distinct(), levels["sections"].withColumn("section_id", F.col("id")), "section_id", "selected_sections")
+            found = scope_entries(sections.distinct(), levels["clauses"], "section_id", "candidate_clauses")
+            rows = units.join(above, [SPACE, "unit_uid"], "left").join(own, [SPACE, "unit_uid"], "left").join(found, [SPACE, "unit_uid"])
+            fields, last = ["selected_chapters", "selected_sections", "candidate_clauses"], "candidate_clauses"
+    shown = [F.coalesce(f, F.array().cast(rows.schema[f].dataType)).alias(f) for f in fields]
+    payload = F.to_json(F.struct(report_scope().alias("report_unit"), *shown), {"ignoreNullFields": "false"})
+    return rows.select(SPACE, "unit_uid", F.size(last).alias("candidates"), payload.alias("payload"))

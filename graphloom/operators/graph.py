@@ -8,6 +8,7 @@ standard_uid; a filter on standard_uid reaches the scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,16 +222,39 @@ def incident_subgraph(graph: Stored, starts: DataFrame, depth: int = 1) -> DataF
     return out.select(SPACE, "edge_uid", "edge_type", ends.alias("ends")).distinct().select(SPACE, "edge_uid", "edge_type", "ends.*")
 
 
-def typed_neighborhood(nodes: DataFrame, edges: DataFrame, starts: DataFrame, node_types: Sequence[str], edge_types: Sequence[str], depth: int, fan_out: int) -> DataFrame:
-    """Breadth-first over active types, each node passing on to its first ``fan_out`` neighbors only."""
-    active = nodes.where(F.col("node_type").isin(*node_types))
-    near = cut_lineage(top_neighbors(store(active, edges.where(F.col("edge_type").isin(*edge_types))), fan_out).select(SPACE, NODE, "other_uid"))
-    reached = frontier = starts.select(*KEY, F.lit(0).alias("level"))
+def typed_neighborhood(graph: Stored, starts: DataFrame, node_types: Sequence[str], edge_types: Sequence[str], depth: int, fan_out: int, focus: int = 10) -> DataFrame:
+    """standard_uid, node_uid, level, focus: breadth-first over active types from one start a space.
+
+    A node passes on to its first ``fan_out`` neighbors only, by degree in the whole graph, then label;
+    the start belongs to it whatever its type.  The start and the first ``focus`` neighbors of every
+    node that passed on are in focus.  Frontiers come to the stored adjacency; of a node of many edges
+    each chunk picks its first neighbors before they are compared.
+    """
+    near = graph.near.where(F.col("known") & F.col("edge_type").isin(*edge_types)).select(*KEY, "chunk", "other_uid", "other_type", "other_label", "other_degree", "other_chunks")
+    start = graph.nodes.join(starts.select(*KEY).distinct(), KEY).select(*KEY, "chunks", F.col(NODE).alias("start"), F.lit(0).alias("level"))
+    order = [F.desc("other_degree"), "other_label", "other_uid"]
+    first = lambda *by: F.dense_rank().over(Window.partitionBy(*by).orderBy(*order))
+    levels, seen = [cut_lineage(start)], []
     for level in range(1, depth + 1):
-        step = frontier.select(*KEY).join(near, KEY).select(SPACE, F.col("other_uid").alias(NODE)).distinct()
-        frontier = cut_lineage(step.join(reached.select(*KEY), KEY, "left_anti").withColumn("level", F.lit(level)))
-        reached = reached.unionByName(frontier)
-    return reached
+        ends = around(levels[-1].select(*KEY, "chunks", "start"), near).where(F.col("other_type").isin(*node_types) | (F.col("other_uid") == F.col("start")))
+        ends = ends.withColumn("r", first(*KEY, "chunk")).where(F.col("r") <= fan_out).drop("chunk", "r").distinct()
+        passed = cut_lineage(ends.withColumn("r", first(*KEY)).where(F.col("r") <= fan_out).select(SPACE, F.col("other_uid").alias(NODE), F.col("other_chunks").alias("chunks"), "start", "r"))
+        seen.append(passed.where(F.col("r") <= focus).select(*KEY))
+        step = passed.select(*KEY, "chunks", "start").distinct()
+        for old in levels:  # fan-outs are one-sided: a node may lead back to any level
+            step = step.join(old.select(*KEY), KEY, "left_anti")
+        levels.append(cut_lineage(step.withColumn("level", F.lit(level))))
+    reached = reduce(DataFrame.unionByName, [x.select(*KEY, "level") for x in levels])
+    shown = reduce(DataFrame.unionByName, seen, start.select(*KEY)).distinct().withColumn("focus", F.lit(True))
+    return reached.join(shown, KEY, "left").fillna(False, ["focus"])
+
+
+def edges_among(graph: Stored, found: DataFrame, edge_types: Sequence[str]) -> DataFrame:
+    """Edges of active types with both ends in ``found``."""
+    own = graph.edges.where(F.col("edge_type").isin(*edge_types))
+    for end in ("source_uid", "target_uid"):
+        own = own.join(found.select(SPACE, F.col(NODE).alias(end)), [SPACE, end], "left_semi")
+    return own
 
 
 def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import normative as N
+
 # Buckets of the document list and the states that they gather.
 BUCKETS = {"completed": ["ready", "succeeded"], "processing": ["running", "queued", "processing", "uploading"], "failed": ["failed"]}
 # End of fixed values.
@@ -50,3 +52,27 @@ def document_listing(jobs: DataFrame, registry: DataFrame, stats: DataFrame) ->
     out = registry.join(latest(jobs), "document_id", "full_outer").join(stats, "standard_uid", "left")
     status = F.coalesce("graph_status", "status", F.lit("unknown"))
     return out.select("document_id", "standard_uid", status.alias("status"), "progress", F.col("job_id").alias("latest_job_id"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+def described(asked: DataFrame, registry: DataFrame) -> DataFrame:
+    """``asked`` (standard_id or null, name of the file) with ``found_id``, code and title, and where they come from.
+
+    An id that is given counts: its registry entry, else what the id itself says; it is never looked for
+    in the file's name then.  Without one the file's name decides.  Null if none of these knows.
+    """
+    own = N.strip(F.lower("standard_id"))
+    known = registry.groupBy("standard_id").agg(F.first(F.struct(F.col("standard_id").alias("found_id"), "code", "title")).alias("entry")).withColumnRenamed("standard_id", "own_id")
+    rows = asked.withColumn("own_id", F.when(F.col("standard_id") != "", own)).join(known, "own_id", "left")
+    given, named = N.id_descriptor(F.col("own_id"), F.col("name")), N.file_descriptor(F.col("name"))
+    short = lambda d: F.struct(d["standard_id"].alias("found_id"), d["code"].alias("code"), d["title"].alias("title"))
+    source = F.when(F.col("entry").isNotNull(), "registry").when(F.col("own_id").isNotNull() & given.isNotNull(), "id").when(F.col("own_id").isNull() & named.isNotNull(), "name")
+    rows = rows.withColumn("source", source)
+    entry = F.when(F.col("source") == "registry", F.col("entry")).when(F.col("source") == "id", short(given)).when(F.col("source") == "name", short(named))
+    return rows.withColumn("d", entry).select(*asked.columns, "source", "d.*")
+
+
+def by_document(registry: DataFrame, documents: DataFrame) -> DataFrame:
+    """The registry's entry of each document_id in ``documents``: of several the least standard_id."""
+    rest = [c for c in registry.columns if c != "document_id"]
+    first = registry.join(documents.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").agg(F.min_by(F.struct(*rest), "standard_id").alias("e"))
+    return first.select("document_id", "e.*")

@@ -34,11 +34,12 @@ def normalized_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def title_inventory(blocks: DataFrame) -> DataFrame:
-    """Titles in order with their neighbors: previous and next title, previews of the blocks around."""
-    around = blocks.withColumns({"prev_text": F.substring(F.lag("text_normalized").over(by()), 1, 180), "next_text": F.substring(F.lead("text_normalized").over(by()), 1, 180)})
+    """Titles in order with their neighbors: previous and next title, and the texts of the blocks around."""
+    level = F.col("raw_title_level") if "raw_title_level" in blocks.columns else F.lit(None).cast("int")
+    around = blocks.withColumns({"raw_title_level": level, "prev_text": F.lag("text_normalized").over(by()), "next_text": F.lead("text_normalized").over(by())})
     titles = around.where("source_type = 'title'")
     return titles.select(
-        DOC, "pos", F.col("block_id").alias("title_id"), F.row_number().over(by()).alias("index"), "text_normalized", F.lag("text_normalized").over(by()).alias("prev_title"),
+        DOC, "pos", "page_idx", F.col("block_id").alias("title_id"), F.row_number().over(by()).alias("index"), "text", "text_normalized", "raw_title_level", F.lag("text_normalized").over(by()).alias("prev_title"),
         F.lead("text_normalized").over(by()).alias("next_title"), F.col("prev_text").alias("prev_preview"), F.col("next_text").alias("next_preview"),
     )
 

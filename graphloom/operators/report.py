@@ -325,6 +325,25 @@ def text_previews(rows: DataFrame, most: int = 180) -> DataFrame:
     return rows.where("source_type = 'title'").join(after, [DOC, "group"]).select(DOC, "pos", "before", N.blank_to_null(F.col("after")).alias("after"))
 
 
+def numbering_pattern(c: Column) -> Column:
+    """What numbers a title: toc, appendix, dotted, enumerated, chinese_enumerated, single_number (no year) or plain."""
+    forms = {"appendix": APPENDIX, "dotted": DOTTED, "enumerated": ENUMERATED, "chinese_enumerated": CHINESE_ENUMERATED}
+    numbered = F.coalesce(*[F.when(c.rlike(pattern), name) for name, pattern in forms.items()], F.when(c.rlike(SINGLE) & ~c.startswith("20"), "single_number"), F.lit("plain"))
+    return F.when(c.isin(*TOC), "toc").otherwise(numbered)
+
+
+def title_inventory(rows: DataFrame) -> DataFrame:
+    """Titles in order: their neighbors among the titles, the texts around them, how they are numbered, whether they look structural."""
+    level = F.col("raw_title_level") if "raw_title_level" in rows.columns else F.lit(None).cast("int")
+    text = F.col("text_normalized")
+    titles = rows.where("source_type = 'title'").select(
+        DOC, "pos", F.col("block_id").alias("title_id"), F.row_number().over(by()).alias("title_index"), "page_idx", "page_role", "text", "text_normalized", level.alias("raw_title_level"),
+        F.lag(text).over(by()).alias("previous_title"), F.lead(text).over(by()).alias("next_title"), numbering_pattern(text).alias("numbering_pattern"), structural(text).alias("looks_structural"),
+    )
+    around = text_previews(rows).withColumnsRenamed({"before": "preceding_text_preview", "after": "following_text_preview"})
+    return titles.join(around, [DOC, "pos"], "left")
+
+
 def report_nodes(found: DataFrame, units: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """Nodes of a report's graph: the report, its sections (with a preview of what they hold), units, tables and figures."""
     text = lambda *cs: F.array_join(F.filter(F.array(*cs), lambda x: x.isNotNull() & (x != "")), "\n")

@@ -82,8 +82,10 @@ def counts_by_clause(clauses: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def request_payloads(clauses: DataFrame, size: int = 6) -> DataFrame:
-    """One JSON request a batch of clauses."""
-    own = F.struct("clause_uid", "clause_ref", F.col("source_text_normalized").alias("text"))
+    """One JSON request a batch of clauses: where each stands, its text and the texts of its list items."""
+    text = F.coalesce(N.blank_to_null(F.col("source_text_normalized")), F.col("source_text"))
+    items = F.transform("list_items", lambda i: F.coalesce(N.blank_to_null(i["text_normalized"]), i["text"]))
+    own = F.struct("clause_uid", "clause_ref", "heading_path", "chapter_ref", "section_ref", text.alias("source_text_normalized"), items.alias("list_items"))
     numbered = batches(clauses, size, "pos")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("c")))), lambda x: x["c"])
-    return numbered.groupBy(DOC, "batch").agg(F.count("*").alias("n"), F.to_json(F.struct(F.first(DOC).alias(DOC), listed.alias("clauses"))).alias("payload"))
+    return numbered.groupBy(DOC, "batch").agg(F.count("*").alias("n"), listed.alias("clauses")).select(DOC, "batch", "n", F.to_json(F.struct(DOC, "clauses"), {"ignoreNullFields": "false"}).alias("payload"))

@@ -22,11 +22,11 @@ DEGREES = """SELECT n.standard_uid, n.node_uid, n.node_type, n.label, coalesce(c
 LEFT JOIN (SELECT standard_uid, node_uid, count(*) AS c FROM ends GROUP BY ALL) USING (standard_uid, node_uid)"""
 
 
-def query(name: str, sql: str | None):
+def query(name: str, sql: str | None, **more: str):
     def put(f):
         QUERIES[name] = f
         if sql:
-            ORACLE[name] = duck(sql, n=KG_NODES, e=KG_EDGES, ends=ENDS, d=DEGREES)
+            ORACLE[name] = duck(sql, n=KG_NODES, e=KG_EDGES, ends=ENDS, d=DEGREES, **more)
         return f
 
     return put
@@ -236,7 +236,36 @@ SELECT standard_uid, node_uid, 0 AS level FROM n WHERE node_type = 'standard' UN
   ON d.standard_uid = p.standard_uid AND d.node_uid = other_uid) WHERE r <= 3""")
 def typed_neighborhood(spark, sf) -> DataFrame:
     nodes, edges = kg(spark, sf)
-    return graph.typed_neighborhood(nodes, edges, nodes.where("node_type = 'standard'"), ["standard", "chapter"], ["CONTAINS"], 1, 3)
+    return graph.typed_neighborhood(store(nodes, edges), nodes.where("node_type = 'standard'"), ["standard", "chapter"], ["CONTAINS"], 1, 3).drop("focus")
+
+
+#: Two levels from each region, which isn't of an active type; the first two neighbors of each are in focus.
+FOCUS = {
+    "f0": "SELECT standard_uid, node_uid FROM n WHERE node_type = 'standard'",
+    "f1": """SELECT * FROM (SELECT f.standard_uid, other_uid, row_number() OVER (PARTITION BY f.standard_uid, f.node_uid ORDER BY degree DESC, label, other_uid) AS r FROM f0 f
+      JOIN (SELECT DISTINCT standard_uid, node_uid, other_uid FROM ends WHERE edge_type = 'CONTAINS') p ON p.standard_uid = f.standard_uid AND p.node_uid = f.node_uid JOIN d ON d.standard_uid = f.standard_uid AND d.node_uid = other_uid WHERE d.node_type IN ('chapter', 'clause')) WHERE r <= 4""",
+    "f2": """SELECT * FROM (SELECT f.standard_uid, p.other_uid, row_number() OVER (PARTITION BY f.standard_uid, f.other_uid ORDER BY degree DESC, label, p.other_uid) AS r FROM f1 f
+      JOIN (SELECT DISTINCT standard_uid, node_uid, other_uid FROM ends WHERE edge_type = 'CONTAINS') p ON p.standard_uid = f.standard_uid AND p.node_uid = f.other_uid JOIN d ON d.standard_uid = f.standard_uid AND d.node_uid = p.other_uid WHERE d.node_type IN ('chapter', 'clause', 'standard')) WHERE r <= 4""",
+    "fs": "SELECT standard_uid, node_uid, 0 AS level, true AS focus FROM f0 UNION ALL SELECT standard_uid, other_uid, 1, r <= 2 FROM f1 UNION ALL SELECT standard_uid, other_uid, 2, r <= 2 FROM f2",
+    "fk": "SELECT standard_uid, node_uid, CAST(min(level) AS INTEGER) AS level, bool_or(focus) AS focus FROM fs GROUP BY ALL",
+}
+
+
+def focused(spark, sf):
+    nodes, edges = kg(spark, sf)
+    stored = store(nodes, edges)
+    return stored, graph.typed_neighborhood(stored, nodes.where("node_type = 'standard'"), ["chapter", "clause"], ["CONTAINS"], 2, 4, 2)
+
+
+@query("typed_focus", "SELECT standard_uid, node_uid, level, focus FROM fk", **FOCUS)
+def typed_focus(spark, sf) -> DataFrame:
+    return focused(spark, sf)[1]
+
+
+@query("typed_edges", "SELECT e.standard_uid, edge_uid FROM e JOIN fk a ON a.standard_uid = e.standard_uid AND a.node_uid = source_uid JOIN fk b ON b.standard_uid = e.standard_uid AND b.node_uid = target_uid WHERE edge_type = 'CONTAINS'", **FOCUS)
+def typed_edges(spark, sf) -> DataFrame:
+    stored, found = focused(spark, sf)
+    return graph.edges_among(stored, found, ["CONTAINS"]).select("standard_uid", "edge_uid")
 
 
 @query("ancestor_closure", """

@@ -53,7 +53,7 @@ def title_payloads(spark, sf) -> DataFrame:
     tables(spark, sf, "labels")
     rows = spark.sql("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('{"titles":[{"id":"t', doc_id, '","type":"', IF(toxic = 1, 'Chapter', 'none'), '","score":0.5}]}')
       WHEN 1 THEN concat('[{"title_id":"t', doc_id, '","label":"', IF(toxic = 1, 'CHAPTER', 'none'), '","confidence":0.5}]') ELSE concat('{"labels":{"t', doc_id, '":"', IF(toxic = 1, 'chapter', 'none'), '"}}') END AS payload FROM labels""")
-    return payloads.title_items(rows, "doc_id")
+    return payloads.title_items(rows, "doc_id").drop("rationale")
 
 
 @query("assessment_payloads", "SELECT doc_id, 'c' || doc_id AS clause_id, CASE WHEN quality = 1 THEN '符合' ELSE '缺失' END AS raw_status, 'why' AS reason, CASE WHEN doc_id % 2 = 0 THEN 'seen' END AS evidence FROM labels")
