@@ -1,7 +1,7 @@
 """URL filter rules as one bit-parallel wildcard automaton.
 
-All glob rules are packed into the bits of a few 64-bit words (Shift-And with self-loops for the
-stars) and advanced together, one character of every URL of a batch at a time.
+All glob rules (stars, ``?`` and classes anywhere) are packed into the bits of a few 64-bit words
+(Shift-And with self-loops for the stars) and advanced together, one character of every URL of a batch at a time.
 """
 
 from __future__ import annotations
@@ -19,49 +19,106 @@ from graphloom.llm.common import text_bytes, trimmed
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+SPECIAL = "*?[]\\"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``name`` is host and path, as ``example.net/en/``; it holds for the host and its subdomains."""
+    """``name`` is host and path, as ``example.net/en/``; it holds for the host and its subdomains.
+
+    ``pattern``, if given, is a glob over ``.host/path`` that decides instead of the name.
+    """
 
     name: str
     verdict: str
+    pattern: str | None = None
 
     @property
     def glob(self) -> str:
-        """Over ``.host/path``; ``*`` stands for characters of a host, a last ``**`` for any."""
-        return f"*.{self.name}**"
+        own = "".join("\\" + c if c in SPECIAL else c for c in self.name)
+        return f"*.{own}**" if self.pattern is None else self.pattern
+
+
+#: Bytes that begin a character, those that continue one, and all but the slash.
+CONTINUED = frozenset(range(0x80, 0xC0))
+BEGINS = frozenset(range(256)) - CONTINUED
+SEGMENT = frozenset(range(256)) - {ord("/")}
+
+
+def parse_class(glob: str, at: int) -> tuple[frozenset[int], int]:
+    """Bytes that begin the characters of the class at ``at``, and where it ends; characters of a class are ASCII."""
+    i = at + 1
+    negated = glob[i : i + 1] in ("!", "^")
+    i += negated
+    end = glob.find("]", i + 1)
+    if end < 0:
+        raise ValueError(f"class without end: {glob}")
+    own: set[int] = set()
+    while i < end:
+        ranged = glob[i + 1] == "-" and i + 2 < end
+        last = glob[i + 2] if ranged else glob[i]
+        if not (glob[i] <= last and last.isascii()):
+            raise ValueError(f"no class of ASCII characters: {glob}")
+        own |= set(range(ord(glob[i]), ord(last) + 1))
+        i += 3 if ranged else 1
+    return (BEGINS & SEGMENT) - own if negated else frozenset(own) - {ord("/")}, end + 1
+
+
+def tokens(glob: str) -> tuple[list[tuple[frozenset[int], bool]], dict[int, frozenset[int]]]:
+    """(the bytes that each position takes, with whether the rest of a character may follow; bytes that a star before position j passes over).
+
+    ``*`` passes over anything within a part of the path or the host, ``**`` over anything at all, ``?``
+    stands for one character other than a slash, ``[a-z]`` and ``[!a-z]`` for one of, or none of, some
+    ASCII characters (no slash), a backslash takes the next character as it is.
+    """
+    taken: list[tuple[frozenset[int], bool]] = []
+    stars: dict[int, frozenset[int]] = {}
+    i = 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "*":
+            wide = glob[i : i + 2] == "**"
+            stars[len(taken)] = stars.get(len(taken), frozenset()) | (frozenset(range(256)) if wide else SEGMENT)
+            i += 1 + wide
+        elif c == "?":
+            taken.append((BEGINS & SEGMENT, True))
+            i += 1
+        elif c == "[":
+            own, i = parse_class(glob, i)
+            taken.append((own, True))
+        else:
+            i += c == "\\" and i + 1 < len(glob)
+            taken += [(frozenset([b]), False) for b in glob[i].encode()]
+            i += 1
+    return taken, stars
 
 
 class GlobAutomaton:
-    """Multiword Shift-And over bytes: bit j of a rule is on while its first j characters fit."""
+    """Multiword Shift-And over bytes: bit j of a glob is on while its first j positions fit; stars keep a bit on."""
 
     def __init__(self, globs: Sequence[str]):
-        literals = []
-        for g in globs:
-            if not (g.startswith("*.") and g.endswith("**")) or "*" in g[1:-2]:
-                raise ValueError(f"not of the form *.host/path**: {g}")
-            literals.append(g[1:-2].encode())
-        bits = sum(len(x) + 1 for x in literals)
+        parsed = [tokens(g) for g in globs]
+        bits = sum(len(taken) + 1 for taken, _ in parsed)
         self.words = max(1, -(-bits // 64))
         self.step = np.zeros((256, self.words), np.uint64)  # bits that a character lets in
         self.loop = np.zeros((256, self.words), np.uint64)  # bits that stay on at a character
         self.first = np.zeros(self.words, np.uint64)
         self.last: list[tuple[int, np.uint64]] = []
 
-        def on(table: np.ndarray, bit: int) -> None:
-            table[bit // 64] |= np.uint64(1 << (bit % 64))
+        def on(table: np.ndarray, bit: int, chars: frozenset[int]) -> None:
+            table[sorted(chars), bit // 64] |= np.uint64(1 << (bit % 64))
 
         at = 0
-        for x in literals:
-            on(self.first, at)
-            for c in range(256):
-                if c != ord("/"):
-                    on(self.loop[c], at)
-                on(self.loop[c], at + len(x))
-            for j, c in enumerate(x, 1):
-                on(self.step[c], at + j)
-            self.last.append(((at + len(x)) // 64, np.uint64(1 << ((at + len(x)) % 64))))
-            at += len(x) + 1
+        for taken, stars in parsed:
+            self.first[at // 64] |= np.uint64(1 << (at % 64))
+            for j, (chars, continued) in enumerate(taken, 1):
+                on(self.step, at + j, chars)
+                if continued:
+                    on(self.loop, at + j, CONTINUED)
+            for j, chars in stars.items():
+                on(self.loop, at + j, chars)
+            self.last.append(((at + len(taken)) // 64, np.uint64(1 << ((at + len(taken)) % 64))))
+            at += len(taken) + 1
 
     def match(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         """bool[url, rule]: does the rule fit the whole text?"""
@@ -92,11 +149,11 @@ def canonical(url) -> tuple:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule, verdict for every page: the longest fitting rule decides.
+    """page_id, host, path, rule, verdict for every page: of the fitting rules the one with the longest name decides.
 
     A null url, or one without ``://``, has an empty host and path and gets ``default``; so does a
     url that no rule fits.  Of rules equally long the first by name decides.  Repeated rows stay
-    repeated, other columns are ignored.  No shuffle: rules travel with the task, pages are scanned.
+    repeated, a null page_id stays null, other columns are ignored, no pages give no rows.  No shuffle: rules travel with the task, pages are scanned.
     """
     ranked = sorted(rules, key=lambda r: (-len(r.name), r.name))
     host, path = canonical(F.col("url"))

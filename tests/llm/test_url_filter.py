@@ -1,8 +1,13 @@
 """The bit-parallel automaton against rules applied one by one."""
 
 import random
+import re
 
-from graphloom.llm.url_filter import Rule, filter_urls
+import numpy as np
+import pytest
+
+from graphloom.llm.common import text_bytes
+from graphloom.llm.url_filter import GlobAutomaton, Rule, filter_urls
 
 RULES = [Rule("net/", "block"), Rule("example.net/en/", "allow"), Rule("example.com/de/", "block"), Rule("org/fr/", "allow"), Rule("a.b.example.org/" + "deep/" * 30, "block")]
 
@@ -35,3 +40,45 @@ def test_filter(spark):
     assert got == {i: brute(u) for i, u in enumerate(urls)}
     assert filter_urls(pages.limit(0), RULES).count() == 0
     assert {r["verdict"] for r in filter_urls(pages, []).collect()} == {"allow"}
+
+
+def expression(glob):
+    """The glob as a regular expression."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif glob[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif glob[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif glob[i] == "[":
+            end = glob.index("]", i + 2)
+            own = glob[i + 1 : end]
+            out, i = out + (f"[^/{own[1:]}]" if own[0] in "!^" else f"(?!/)[{own}]"), end + 1
+        else:
+            i += glob[i] == "\\"
+            out, i = out + re.escape(glob[i]), i + 1
+    return re.compile(out, re.DOTALL)
+
+
+def test_globs_of_any_form():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    globs = ["", "*", "**", "?", "a?*b", "*a*/b", "**/b", "[a-c]*", "[!a]b", "é?", "?é**", "\\*a", "a**b*c", "*.x[0-9-]/**/*.gif", "***", "[^b-]é", "\\[a]"] + ["".join(rng.choice("ab/?*é.") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = ["", "/", "*a", "[a]", ".a.x7/q/r/t.gif", ".a.x-/t.gif", "日é", "é日", "-é"] + ["".join(rng.choice("ab/cé.日") for _ in range(rng.randint(1, 10))) for _ in range(600)]
+    automaton = GlobAutomaton(globs)
+    found = automaton.match(*text_bytes(pa.array(texts, pa.string())))
+    want = np.array([[expression(g).fullmatch(t) is not None for g in globs] for t in texts])
+    assert automaton.words > 4 and (found == want).all()
+    with pytest.raises(ValueError):
+        GlobAutomaton(["a[b"])
+
+
+def test_patterns_null_ids_and_repeated_rows(spark):
+    rules = [Rule("ads", "block", "*/ads/**.gif"), Rule("a*[b].org/", "block"), Rule("two", "allow", "*.x?.org/[a-f]*")]
+    urls = ["http://q.org/ads/1/z.gif", "http://q.org/b/ads/z.gif", "http://a*[b].org/", "http://axb.org/", "http://xé.org/ff", "http://xé.org/gf"]
+    pages = spark.createDataFrame([(None if i == 4 else i, u) for i, u in enumerate(urls)] + [(0, urls[0])], "page_id long, url string")
+    got = sorted(((r["page_id"] if r["page_id"] is not None else -1, r["rule"], r["verdict"]) for r in filter_urls(pages, rules).collect()), key=str)
+    assert got == sorted([(0, "ads", "block"), (0, "ads", "block"), (1, None, "allow"), (2, "a*[b].org/", "block"), (3, None, "allow"), (-1, "two", "allow"), (5, None, "allow")], key=str)
