@@ -52,12 +52,22 @@ def strings(v: Column, name: str) -> Column:
     return F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), F.when(F.try_variant_get(v, f"$.{name}", "string").isNotNull(), F.array(F.try_variant_get(v, f"$.{name}", "string"))), F.array().cast("array<string>"))
 
 
+def extracted(r: Column) -> Column:
+    """One returned requirement with all its fields, as ``requirements.from_items`` takes it."""
+    lists = ("action", "object", "judgement_criteria", "evidence_expected", "domain_tags")
+    return F.struct(
+        named(r, ["requirement_text", "text", "requirement"]).alias("requirement_text"), *[named(r, [c]).alias(c) for c in ("modality", "subject", "applicability_rule", "confidence")],
+        *[strings(r, c).alias(c) for c in lists], F.try_variant_get(r, "$.cited_targets", "array<struct<standard_code:string,clause_ref:string,citation_type:string>>").alias("cited_targets"),
+    )
+
+
 def extraction_items(rows: DataFrame, key: str) -> DataFrame:
-    """key, clause_uid, concepts, number of requirements and their texts for each returned item."""
+    """key, clause_uid, concepts, texts and whole requirements of each returned item."""
     each = parsed(rows).where("v IS NOT NULL").select(key, F.explode(listed(F.col("v"), CONTAINERS, "$.clause_uid")).alias("i"))
     found = F.coalesce(named(F.col("i"), ["requirements", "extracted_requirements"], "array<variant>"), F.array().cast("array<variant>"))
-    texts = F.transform(found, lambda r: named(r, ["requirement_text", "text", "requirement"]))
-    return each.select(key, named(F.col("i"), ["clause_uid", "clause_id", "id"]).alias("clause_uid"), strings(F.col("i"), "concepts").alias("concepts"), F.filter(texts, lambda t: t.isNotNull()).alias("texts")).where("clause_uid IS NOT NULL")
+    whole = F.filter(F.transform(found, extracted), lambda r: r["requirement_text"].isNotNull())
+    out = each.select(key, named(F.col("i"), ["clause_uid", "clause_id", "id"]).alias("clause_uid"), strings(F.col("i"), "concepts").alias("concepts"), whole.alias("requirements"))
+    return out.where("clause_uid IS NOT NULL").withColumn("texts", F.col("requirements.requirement_text"))
 
 
 def number(v: Column, name: str) -> Column:

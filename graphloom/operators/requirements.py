@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import normative as N
+from graphloom.operators.ranks import first_rows
 
 DOC = "standard_uid"
 
@@ -36,24 +37,33 @@ def requirements(clauses: DataFrame) -> DataFrame:
 
 
 def from_items(clauses: DataFrame, items: DataFrame) -> DataFrame:
-    """Requirements from items of a model (clause_uid, requirements array), gaps filled by the heuristics.
+    """Requirements from items of a model (clause_uid, requirements array, maybe concepts), gaps filled by the heuristics.
 
     An item's requirement: requirement_text, modality, subject, action[], object[], evidence_expected[],
-    domain_tags[], cited_targets[], confidence.  Blank texts are dropped before numbering.
+    cited_targets[], confidence, and maybe applicability_rule, judgement_criteria[], domain_tags[].
+    Blank texts are dropped before numbering.
     """
-    rows = clauses.join(items.select(DOC, "clause_uid", "requirements"), [DOC, "clause_uid"]).select("*", F.posexplode("requirements").alias("i", "r"))
+    none = F.array().cast(N.STRINGS)
+    known = items.schema["requirements"].dataType.elementType.fieldNames()
+    own = items.select(DOC, "clause_uid", "requirements", (F.col("concepts") if "concepts" in items.columns else none).alias("concepts"))
+    rows = clauses.drop("concepts").join(own, [DOC, "clause_uid"]).select("*", F.posexplode("requirements").alias("i", "r"))
     text = N.normalize_text(F.col("r.requirement_text"))
     rows = rows.withColumn("t", text).where("t <> ''")
     t, r = F.col("t"), F.col("r")
     nth = F.row_number().over(Window.partitionBy(DOC, "clause_uid").orderBy("i"))
-    or_else = lambda own, other: F.when(F.size(F.coalesce(own, F.array().cast(N.STRINGS))) > 0, own).otherwise(other)
+    or_else = lambda own, other: F.when(F.size(F.coalesce(own, none)) > 0, own).otherwise(other)
+    listed = lambda name: F.coalesce(r[name], none) if name in known else none
+    rule = N.blank_to_null(r["applicability_rule"]) if "applicability_rule" in known else F.lit(None).cast("string")
     confidence = N.clamp(r["confidence"], 0.82)
     return rows.select(
         DOC, F.col("clause_uid").alias("parent_clause_uid"), "clause_ref", F.concat(F.col("clause_uid"), F.lit("#r"), nth.cast("string")).alias("requirement_uid"), t.alias("requirement_text"),
         F.coalesce(N.blank_to_null(r["modality"]), N.modality(t), F.lit("must")).alias("modality"), F.coalesce(N.blank_to_null(r["subject"]), N.subject(t)).alias("subject"),
-        N.dedupe_strings(or_else(r["action"], F.array(N.action(t)))).alias("action"), N.dedupe_strings(or_else(r["object"], N.objects(t))).alias("object"),
+        or_else(N.dedupe_strings(or_else(r["action"], F.array(N.action(t)))), F.array(t)).alias("action"), N.dedupe_strings(or_else(r["object"], N.objects(t))).alias("object"),
+        F.coalesce(rule, N.applicability(t)).alias("applicability_rule"), N.dedupe_strings(or_else(listed("judgement_criteria"), F.array(F.concat(F.lit("应在报告或资料中体现："), t)))).alias("judgement_criteria"),
         N.dedupe_strings(or_else(r["evidence_expected"], N.evidence(t))).alias("evidence_expected"),
+        N.dedupe_strings(F.concat(listed("domain_tags"), F.coalesce("concepts", none), N.domain_tags(F.col("heading_path"), F.col("source_text_normalized")))).alias("domain_tags"),
         N.merge_targets(r["cited_targets"], N.cited_targets(N.citations(t)), N.cited_targets(N.citations(F.col("source_text_normalized")))).alias("cited_targets"),
+        ((F.size("requirements") > 1) | (F.size("list_items") > 0)).alias("is_soft_split"),
         F.round(confidence, 2).alias("split_confidence"), F.round(F.least("segmentation_confidence", confidence), 2).alias("confidence"),
     )
 
@@ -71,7 +81,7 @@ def returned_or_failed(asked: DataFrame, returned: DataFrame, key: str = "clause
 
 def with_fallback(clauses: DataFrame, items: DataFrame) -> DataFrame:
     """Model requirements where an item came back, the heuristic ones for all other clauses."""
-    common = [DOC, "parent_clause_uid", "clause_ref", "requirement_uid", "requirement_text", "modality", "subject", "action", "object", "evidence_expected", "cited_targets", "split_confidence", "confidence"]
+    common = [DOC, "parent_clause_uid", "clause_ref", "requirement_uid", "requirement_text", "modality", "subject", "action", "object", "applicability_rule", "judgement_criteria", "evidence_expected", "domain_tags", "cited_targets", "is_soft_split", "split_confidence", "confidence"]
     model, rest = from_items(clauses, items), clauses.join(items.select(DOC, "clause_uid"), [DOC, "clause_uid"], "left_anti")
     return model.select(*common, F.lit("model").alias("path")).unionByName(requirements(rest).select(*common, F.lit("heuristic").alias("path")))
 
@@ -89,3 +99,38 @@ def request_payloads(clauses: DataFrame, size: int = 6) -> DataFrame:
     numbered = batches(clauses, size, "pos")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("c")))), lambda x: x["c"])
     return numbered.groupBy(DOC, "batch").agg(F.count("*").alias("n"), listed.alias("clauses")).select(DOC, "batch", "n", F.to_json(F.struct(DOC, "clauses"), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def details(found: DataFrame, clauses: DataFrame) -> DataFrame:
+    """What is shown of each requirement: its standard (from its own id), texts, citations and the spans of pages that it comes from.
+
+    ``found`` and ``clauses`` meet by the clause, in equal partitions of (standard, clause); a requirement of an unknown clause has no spans.
+    """
+    boxes = F.col("source_bbox") if "source_bbox" in clauses.columns else F.lit(None).cast("array<double>")
+    spans = clauses.select(DOC, F.col("clause_uid").alias("parent_clause_uid"), F.array(F.struct(F.array("first_page", "last_page").alias("page_span"), boxes.alias("bbox"))).alias("source_spans"))
+    rows = found.join(spans, [DOC, "parent_clause_uid"], "left")
+    return rows.select(
+        F.col("requirement_uid").alias("requirement_id"), standard_of(F.col("requirement_uid")).alias("standard_id"), "clause_ref", "requirement_text", "modality", "applicability_rule",
+        "judgement_criteria", "evidence_expected", F.col("cited_targets").alias("citations"), F.coalesce("source_spans", F.array().cast("array<struct<page_span:array<int>,bbox:array<double>>>")).alias("source_spans"),
+    )
+
+
+def standard_of(requirement_uid: Column) -> Column:
+    """The standard's id, code and year, that a requirement's id begins with; null if it has no more parts than that."""
+    return F.when(F.size(F.split(requirement_uid, ":")) > 2, F.substring_index(requirement_uid, ":", 2))
+
+
+def linked(edges: DataFrame, nodes: DataFrame | None = None, most: int = 12) -> DataFrame:
+    """standard_uid, node_uid, linked, first: how many requirements derive from each node, and the first ``most`` of them by id.
+
+    With ``nodes``, clauses without any count 0.  The first are chosen within parts of a node's requirements before they meet, so no task holds them all.
+    """
+    own = edges.where("edge_type = 'DERIVES_REQUIREMENT'").select(DOC, F.col("source_uid").alias("node_uid"), "target_uid").distinct()
+    counts = own.groupBy(DOC, "node_uid").agg(F.count("*").alias("linked"))
+    ranked = first_rows(own, [DOC, "node_uid"], ["target_uid"], most, "target_uid")
+    first = ranked.groupBy(DOC, "node_uid").agg(F.array_sort(F.collect_list("target_uid")).alias("first"))
+    rows = counts.join(first, [DOC, "node_uid"])
+    if nodes is None:
+        return rows
+    every = nodes.where("node_type = 'clause'").select(DOC, "node_uid").join(rows, [DOC, "node_uid"], "left")
+    return every.select(DOC, "node_uid", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("first", F.array().cast(N.STRINGS)).alias("first"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import normative as N
@@ -39,6 +39,10 @@ def query(name: str, text: str, recursive: bool = False, **ctes: str):
     return put
 
 
+def ids(c: str) -> Column:
+    return F.array_join(c, ",")
+
+
 # Standards: requests for labels, the heuristics as a baseline, agreement.
 
 
@@ -67,6 +71,19 @@ def clause_requests(spark, sf) -> DataFrame:
     return made.select("standard_uid", "batch", F.array_join(shown, ";").alias("clauses"))
 
 
+@query("model_requirements", """
+SELECT standard_uid, clause_uid || '#r' || k AS requirement_uid, CASE k WHEN 1 THEN clause_ref || ' 应记录' ELSE '可监测' END AS requirement_text, CASE k WHEN 1 THEN 'should' ELSE 'may' END AS modality, CASE k WHEN 1 THEN '专用' ELSE '' END AS rule,
+ CASE k WHEN 1 THEN '甲,乙' ELSE '应在报告或资料中体现：可监测' END AS criteria, CASE k WHEN 1 THEN 'own,' ELSE '' END || 'idea,' || replace(heading, ' > ', ',') || CASE WHEN contains(source_text, '监测') THEN ',监测' ELSE '' END AS tags,
+ CASE k WHEN 1 THEN 'GB1' ELSE '' END || CASE WHEN k = 1 AND cited <> '' THEN ',' ELSE '' END || cited AS cited, CASE k WHEN 1 THEN 0.5::DOUBLE ELSE 0.82::DOUBLE END AS split_confidence
+FROM (SELECT *, array_to_string(list_transform(list_distinct_ordered, lambda x: 'GB' || x), ',') AS cited FROM (SELECT *, list_filter(codes, lambda x, i: list_position(codes, x) = i) AS list_distinct_ordered FROM (SELECT *, regexp_extract_all(source_text, 'GB (\\d+-\\d+)', 1) AS codes FROM c))), (SELECT unnest([1, 2]) AS k)""", **S.CTES)
+def model_requirements(spark, sf) -> DataFrame:
+    found = cut_lineage(outline.clauses(S.rows_of(spark, sf)))
+    full = """[{"requirement_text":"', clause_ref, ' 应记录","modality":"should","applicability_rule":"专用","judgement_criteria":["甲"," 乙 ","甲"],"domain_tags":"own","cited_targets":[{"standard_code":"GB1"},{"clause_ref":"2"}],"confidence":0.5},{"requirement_text":" "},{"requirement":"可监测"}]"""
+    answers = found.select("standard_uid", "clause_uid", F.expr(f"concat('{{\"results\":[{{\"clause_id\":\"', clause_uid, '\",\"concepts\":[\"idea\"],\"requirements\":{full}}}]}}')").alias("payload"))
+    made = requirements.from_items(found, payloads.extraction_items(answers, "standard_uid"))
+    return made.select("standard_uid", "requirement_uid", "requirement_text", "modality", F.coalesce("applicability_rule", F.lit("")).alias("rule"), ids("judgement_criteria").alias("criteria"), ids("domain_tags").alias("tags"), ids("cited_targets.standard_code").alias("cited"), "split_confidence")
+
+
 def checked(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(baseline labels, evaluated titles)."""
     rows = cut_lineage(S.rows_of(spark, sf))
@@ -208,6 +225,28 @@ def assessment_requests(spark, sf) -> DataFrame:
     return requested(compare.scope_requests(units, levels, chosen, chosen.withColumnRenamed("chapter_id", "section_id")), "candidate_clauses")
 
 
+# What is shown of requirements.
+
+
+@query("requirement_details", """
+SELECT clause_uid || '#r' || nth AS requirement_id, standard_uid AS standard_id, clause_ref, requirement_text, modality, '应在报告或资料中体现：' || requirement_text AS criteria,
+ CASE WHEN contains(requirement_text, 'GB') THEN 'GB' || regexp_extract(requirement_text, 'GB (\\d+-\\d+)', 1) || '/mandatory' ELSE '' END AS citations, first_page || '-' || last_page AS pages FROM q""", **S.CTES)
+def requirement_details(spark, sf) -> DataFrame:
+    _, found, asked = S.parts(spark, sf)
+    rows = requirements.details(asked, found)
+    cited = F.transform("citations", lambda c: F.concat_ws("/", c["standard_code"], c["citation_type"]))
+    pages = F.transform("source_spans", lambda x: F.array_join(x["page_span"].cast("array<string>"), "-"))
+    return rows.select("requirement_id", "standard_id", "clause_ref", "requirement_text", "modality", ids("judgement_criteria").alias("criteria"), F.array_join(cited, ",").alias("citations"), F.array_join(pages, ",").alias("pages"))
+
+
+@query("linked_requirements", """
+SELECT n.standard_uid, n.node_uid, count(target_uid) AS linked, coalesce(string_agg(target_uid, ',' ORDER BY target_uid) FILTER (r <= 12), '') AS first FROM n LEFT JOIN
+(SELECT *, row_number() OVER (PARTITION BY standard_uid, source_uid ORDER BY target_uid) AS r FROM e WHERE edge_type = 'DERIVES_REQUIREMENT') d ON d.standard_uid = n.standard_uid AND d.source_uid = n.node_uid WHERE node_type = 'clause' GROUP BY ALL""", n=KG_NODES, e=KG_EDGES)
+def linked_requirements(spark, sf) -> DataFrame:
+    nodes, edges = kg(spark, sf)
+    return requirements.linked(edges, nodes).withColumn("first", ids("first"))
+
+
 # Functions of SQL, the registry.
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 SF = Path("/root/testdata/sf0.001")
-SOME = ["popular_labels", "workbench_nodes", "structure_nodes", "requirements", "standard_graph_edges", "text_units", "section_contents", "clause_status", "resolved_ids", "merge_entities", "latest_jobs", "extraction_payloads"]
+SOME = ["popular_labels", "workbench_nodes", "structure_nodes", "requirements", "standard_graph_edges", "text_units", "section_contents", "clause_status", "resolved_ids", "merge_entities", "latest_jobs", "extraction_payloads", "model_requirements", "title_rates", "sql_requirements"]
 
 
 def plain(v):
