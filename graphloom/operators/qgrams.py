@@ -1,9 +1,9 @@
 """Substring search by an inverted index of q-grams.
 
-A string that holds a needle holds all q-grams of the needle.  So the posting list of the needle's
-rarest q-gram, by counts over all strings, has every string that may hold it, and ``contains``
-decides.  ``substring_pairs`` joins many strings with many needles that way, by an equi-join on the
-rarest q-gram instead of comparing all with all; ``GramIndex`` is a stored index for single needles.
+A string that holds a needle holds all q-grams of the needle.  So the posting lists of the needle's
+rarest q-grams, by counts over all strings, have every string that may hold it, and ``contains``
+decides: ``GramIndex`` is such a stored index for single needles.  ``substring_pairs`` joins many
+strings with many needles: by the needle's first q-gram, then by the whole piece of its length.
 """
 
 from __future__ import annotations
@@ -26,29 +26,32 @@ def grams(text: Column, size: int = Q) -> Column:
     return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
 
 
-def posting_lists(texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """gram, text_id of all texts, for grams of the given sizes."""
-    return texts.select("text_id", F.explode(F.flatten(F.array(*[grams(F.col("text"), s) for s in sizes]))).alias("gram"))
+def places(text: Column, size: int) -> Column:
+    """(at, start) structs: every run of ``size`` characters with its place from 1."""
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)), F.array().cast("array<string>"))  # a whole character at a time
+    return F.transform(found, lambda g, i: F.struct((i + 1).alias("at"), g.alias("start")))
 
 
 def substring_pairs(texts: Column, of: DataFrame, needles: Column, among: DataFrame, size: int = Q) -> DataFrame:
     """(text, needle): every distinct text of ``of`` with every distinct needle of ``among`` that it holds.
 
-    Nulls and empty needles match nothing.  A needle shorter than a gram is its own gram.  A gram that
-    many texts share is only a key where it is some needle's rarest; adaptive execution splits it.
+    Nulls and empty needles match nothing.  The places of a text at which some needle's first ``size``
+    characters stand (all of a shorter needle) are cut to each length that needles with that beginning
+    have, and the pieces meet the needles by an equi-join: rows follow the texts' characters and the
+    number of different lengths, however many needles share a gram.
     """
     texts = cut_lineage(of.select(texts.alias("text")).where("text <> ''").distinct().withColumn("text_id", F.monotonically_increasing_id()))
     needles = cut_lineage(among.select(needles.alias("needle")).where("needle <> ''").distinct())
     used = F.least(F.length("needle"), F.lit(size))
-    sizes = sorted(r["s"] for r in needles.select(used.alias("s")).distinct().collect())  # at most ``size`` numbers
+    starts = cut_lineage(needles.groupBy(F.substring("needle", F.lit(1), used).alias("start")).agg(F.collect_set(F.length("needle")).alias("lengths")))
+    sizes = sorted(r["s"] for r in starts.select(F.length("start").alias("s")).distinct().collect())  # at most ``size`` numbers
     if not sizes:
         return texts.select("text", F.lit("").alias("needle")).limit(0)
-    own = needles.select("needle", F.explode(F.when(used < size, F.array("needle")).otherwise(grams(F.col("needle"), size))).alias("gram"))
-    lists = posting_lists(texts, sizes)
-    counts = lists.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = own.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
-    rarest = cut_lineage(rarest.select("needle", F.col("r.gram").alias("gram")))
-    return rarest.join(lists, "gram").join(texts, "text_id").where(F.col("text").contains(F.col("needle"))).select("text", "needle")
+    found = texts.select("text_id", F.explode(F.flatten(F.array(*[places(F.col("text"), s) for s in sizes]))).alias("p")).select("text_id", "p.*")
+    found = found.join(starts, "start").groupBy("text_id").agg(F.collect_set(F.struct("at", "lengths")).alias("found"))
+    cut = found.join(texts, "text_id").select("text", F.explode("found").alias("p")).select("text", "p.at", F.explode("p.lengths").alias("n"))
+    pieces = cut.where(F.col("at") + F.col("n") - 1 <= F.length("text")).select("text", F.substring("text", F.col("at"), F.col("n")).alias("needle")).distinct()
+    return pieces.join(needles, "needle").select("text", "needle")
 
 
 @dataclass

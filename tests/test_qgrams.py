@@ -23,6 +23,13 @@ def test_substring_pairs(spark):
     assert qgrams.substring_pairs(F.col("t"), of.limit(0), F.col("x"), among).count() == 0
 
 
+def test_texts_meet_needles_by_equality(spark):
+    of, among = spark.createDataFrame([(f"part:{i}x",) for i in range(50)], "t string"), spark.createDataFrame([(f"part:{i}",) for i in range(50)], "x string")
+    found = qgrams.substring_pairs(F.col("t"), of, F.col("x"), among)
+    assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no comparing of all that share a gram
+    assert found.count() == 50 + 40
+
+
 def test_ids_anywhere_in_a_value(spark):
     aliases = [("part:12", "part:12", 1), ("part:1", "part:1", 2), ("clause:3.1", "3.1 Scope", 3), ("clause:9", "Nine", 4), ("sec:5", "第5节", 5)]
     values = [("a", 1, "xpart:12y"), ("b", 1, "见part:1条"), ("c", 1, "none"), ("c", 2, "PART:1"), ("d", 1, "3.1  scope - more"), ("e", 1, "in 3.1 scope"), ("f", 1, "nine lives"), ("g", 1, None), ("g", 2, "clause:9"), ("h", 1, "第5节:总则"), ("i", 1, "第5节")]
