@@ -35,3 +35,10 @@ def test_heights_and_cycles(spark):
     ring = spark.createDataFrame([*chain[:2], ("s", "z", "CONTAINS", "n02", "n00")], EDGES)
     got = {(r["node_uid"], r["up"]) for r in compare.above(nodes, ring, spark.createDataFrame([("s", "n01")], "standard_uid string, node_uid string")).collect()}
     assert got == {("n01", "n00"), ("n01", "n01"), ("n01", "n02")}
+
+
+def test_counts_of_chosen_clauses(spark):
+    clauses = spark.createDataFrame([(f"c{i}", f"s{i % 3}", "h") for i in range(10)], "clause_id string, section_id string, chapter_id string")
+    sections = spark.createDataFrame([("u", "s0"), ("u", "s1"), ("v", "s1"), ("v", "none"), ("v", "s1")], "unit_uid string, section_id string")
+    want = {tuple(r) for r in compare.chosen_clauses(clauses, sections).groupBy("unit_uid", "section_id").count().collect()}
+    assert {tuple(r) for r in compare.chosen_counts(clauses, sections).collect()} == want == {("u", "s0", 4), ("u", "s1", 3), ("v", "s1", 6)}
