@@ -126,3 +126,17 @@ def test_typed_neighborhood_keeps_its_start_and_its_focus(spark):
         # degrees r 5, p 3, t 3, q 2, h 2, s 1: r passes on to p and t; p to r and t, t to r and p
         assert {(r["node_uid"], r["level"], r["focus"]) for r in found.collect()} == {("r", 0, True), ("p", 1, True), ("t", 1, False)}
         assert {r["edge_uid"] for r in graph.edges_among(stored, found, ["X"]).collect()} == {"e0", "e4", "e5"}
+
+
+def test_units_of_one_choice_share_their_lists(spark):
+    units = spark.createDataFrame([("s", f"u{i}", "t", ["p"], [], "text", [1, 2]) for i in range(5)], "standard_uid string, unit_uid string, title string, section_path array<string>, structural_path array<string>, text string, page_span array<int>")
+    levels = {
+        "chapters": spark.createDataFrame([("s", "c1", "一"), ("s", "c2", "二")], "standard_uid string, id string, label string"),
+        "sections": spark.createDataFrame([("s", f"s{i}", f"c{i % 2 + 1}", "甲", "section") for i in range(6)], "standard_uid string, id string, chapter_id string, label string, scope_type string"),
+    }
+    chosen = spark.createDataFrame([("s", f"u{i}", f"c{i % 2 + 1}") for i in range(4)] + [("s", "u4", "c1"), ("s", "u4", "c2")], "standard_uid string, unit_uid string, chapter_id string")
+    members, bodies = compare.scope_bodies(units, levels, chosen, None, ())
+    assert members.count() == 5 and bodies.count() == 3  # once a choice, not once a unit
+    got = {r["unit_uid"]: (r["candidates"], json.loads(r["payload"])) for r in compare.scope_requests(units, levels, chosen).collect()}
+    assert {u: n for u, (n, _) in got.items()} == {"u0": 3, "u1": 3, "u2": 3, "u3": 3, "u4": 6}
+    assert got["u1"][1]["report_unit"]["unit_uid"] == "u1" and [c["id"] for c in got["u1"][1]["candidate_sections"]] == ["s1", "s3", "s5"] and len(got["u4"][1]["selected_chapters"]) == 2
