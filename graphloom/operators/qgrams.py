@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from graphloom.functions.labels import search_form
 from graphloom.sources.stage import cut_lineage
 
-#: Characters of a gram; posting lists that a search intersects at most.
-Q, LISTS = 3, 3
+#: Characters of a gram; posting lists that a search intersects at most; rows of a block.
+Q, LISTS, BLOCK = 3, 3, 512
+#: Stands between texts: search forms have no line breaks.
+BETWEEN = "\n"
 
 
 def grams(text: Column, size: int = Q) -> Column:
@@ -56,14 +58,15 @@ def substring_pairs(texts: Column, of: DataFrame, needles: Column, among: DataFr
 
 @dataclass
 class GramIndex:
-    """postings: gram and key columns, sorted by gram; counts: gram, n; both stored."""
+    """postings: gram and block, sorted by gram; counts: gram, n (its blocks); members: block and key columns; all stored."""
 
     postings: DataFrame
     counts: DataFrame
+    members: DataFrame
     keys: list[str]
 
     def candidates(self, needle: str) -> DataFrame | None:
-        """Keys of rows that have the needle's rarest grams; None: the needle is too short for the index."""
+        """Keys of the rows of all blocks that have the needle's rarest grams; None: the needle is too short for the index."""
         spark = self.postings.sparkSession
         own = spark.range(1).select(F.explode(grams(search_form(F.lit(needle)))).alias("gram"))
         wanted = [r["gram"] for r in own.collect()]
@@ -71,9 +74,10 @@ class GramIndex:
             return None
         known = {r["gram"]: r["n"] for r in self.counts.where(F.col("gram").isin(wanted)).collect()}  # a row a gram of the needle
         if len(known) < len(wanted):
-            return self.postings.select(*self.keys).limit(0)
+            return self.members.select(*self.keys).limit(0)
         rarest = sorted(known, key=lambda g: (known[g], g))[:LISTS]
-        return self.postings.where(F.col("gram").isin(rarest)).groupBy(*self.keys).agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select(*self.keys)
+        blocks = self.postings.where(F.col("gram").isin(rarest)).groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") == len(rarest)).select("block")
+        return self.members.join(blocks, "block", "left_semi").select(*self.keys)
 
     def narrowed(self, rows: DataFrame, needle: str) -> DataFrame:
         """The rows that may hold the needle: all of them where it is too short."""
@@ -81,15 +85,25 @@ class GramIndex:
         return rows if found is None else rows.join(found, self.keys, "left_semi")
 
 
-def write_index(rows: DataFrame, keys: list[str], path: str, *texts: Column) -> GramIndex:
-    """An index of the search forms of ``texts``, at ``path``: posting lists in ranges of grams, so that a lookup prunes files and row groups."""
+def write_index(rows: DataFrame, keys: list[str], path: str, *texts: Column, block: int = BLOCK) -> GramIndex:
+    """An index of the search forms of ``texts``, at ``path``.
+
+    Rows stand in blocks of ``block`` neighbors by key, and a posting is a gram with a block that has
+    it: neighbors share most of their grams, so postings are far fewer than pairs of rows and grams.
+    They lie in ranges of grams, so that a lookup prunes files and row groups.
+    """
     spark = rows.sparkSession
-    own = F.array_distinct(F.flatten(F.array(*[grams(search_form(t)) for t in texts])))
-    lists = rows.select(*keys, F.explode(own).alias("gram"))
-    lists.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram", *keys).sortWithinPartitions("gram", *keys).write.parquet(f"{path}/postings")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.concat_ws(BETWEEN, *[search_form(t) for t in texts])
+    ranged = rows.select(*keys, text.alias("text")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()
+    ranged.withColumn("block", F.floor(at / block)).write.parquet(f"{path}/rows")
+    numbered = spark.read.parquet(f"{path}/rows")
+    lists = numbered.select("block", F.explode(grams(F.col("text"))).alias("gram")).where(~F.col("gram").contains(BETWEEN)).distinct()  # a block's rows are in one task, which folds them before the shuffle
+    lists.repartitionByRange(parts, "gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).sort("gram").write.parquet(f"{path}/counts")
     return read_index(spark, keys, path)
 
 
 def read_index(spark: SparkSession, keys: list[str], path: str) -> GramIndex:
-    return GramIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts"), keys)
+    return GramIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/rows").select("block", *keys), keys)

@@ -54,3 +54,13 @@ def test_lookups_prune_the_postings(spark, tmp_path):
     index = graph.write_search_index(nodes, f"{tmp_path}/index")
     plan = index.candidates("label 49")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(gram, [" in plan or "PushedFilters: [Or(" in plan
+
+
+def test_postings_are_of_blocks(spark, tmp_path):
+    nodes = spark.createDataFrame([(f"n:{i:04}", f"label {i}") for i in range(600)], "node_uid string, label string")
+    index = qgrams.write_index(nodes, ["node_uid"], f"{tmp_path}/index", F.col("node_uid"), F.col("label"))
+    each = nodes.select(F.explode(qgrams.grams(F.concat("node_uid", F.lit("\n"), "label")))).count()
+    assert index.postings.count() < each / 3
+    small = qgrams.write_index(nodes, ["node_uid"], f"{tmp_path}/small", F.col("node_uid"), F.col("label"), block=7)
+    found = {r[0] for r in small.candidates("label 123").collect()}
+    assert "n:0123" in found and len(found) < 300 and small.candidates("absent").count() == 0
