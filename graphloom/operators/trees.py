@@ -71,7 +71,7 @@ def tree(graph: Stored, starts: DataFrame) -> DataFrame:
     nodes = graph.nodes
     starts = starts.select(*KEY).join(nodes.select(*KEY, "chunks"), KEY)
     priority = neighbor_priority(F.col("edge_type"), F.col("direction") == "out", F.col("other_type"))
-    found = cut_lineage(discover(graph.near, starts, [priority, F.col("other_label")]))
+    found = cut_lineage(discover(graph, starts, [priority, F.col("other_label")]))
     sizes, hops = doubled(found)
     numbered = running_sums(found.join(sizes, KEY), [SPACE], "seq", "size", "sum")
     first = numbered.groupBy(SPACE, "parent").agg(F.min("sum").alias("first"))
