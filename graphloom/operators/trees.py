@@ -1,18 +1,20 @@
 """Breadth-first trees with pre-order numbers, without paths.
 
-Discovery gives each node its parent and its place in the queue.  Sizes of subtrees and their leaves
-are sums over descendants, and a pre-order number is a sum over ancestors: both by pointer doubling,
-so that rounds follow the logarithm of the depth.  Siblings stand next to each other in the queue, so
-what comes before a node among them is a difference of running sums.
+Discovery over a numbered graph gives each node its parent and its place in the queue, a level at a
+time.  Sizes of subtrees and their leaves go up the same levels, pre-order numbers come down again, so
+that every node is handled once each way.  Siblings stand next to each other in the queue, so what
+comes before a node among them is a difference of running sums.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.labels import node_label
-from graphloom.operators.adjacency import KEY, NODE, SPACE, Stored, discover
+from graphloom.operators.adjacency import KEY, NODE, SPACE, Stored
+from graphloom.operators.numbered import Numbered, in_order, number
 from graphloom.operators.ranks import group_ranks, running_sums
 from graphloom.sources.stage import cut_lineage
 
@@ -60,34 +62,59 @@ def doubled(tree: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         )
 
 
-def tree(graph: Stored, starts: DataFrame) -> DataFrame:
-    """standard_uid, node_uid, parent, level, seq, position, size, weight of all nodes, as a tree from each space's start.
+def discovered(graph: Numbered, starts: DataFrame) -> list[DataFrame]:
+    """The levels around the starts' ids (one a space) in both directions: id, parent, seq.
+
+    ``seq`` follows the order in which a queue would find a level's nodes: by the finder's number, then
+    priority, label and uid.  A neighbor is at most one level away, so only the last two levels are looked at again.
+    """
+    adjacency = graph.adjacency()
+    levels = [cut_lineage(starts.select("id", F.lit(None).cast("long").alias("parent"), F.col("id").alias("seq")))]
+    while True:
+        step = adjacency.around(levels[-1].select(F.col("id").alias("a"), F.col("seq").alias("from_seq")))
+        found = step.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("from_seq", "rank", F.col("a").alias("parent"))).alias("o")).select("id", "o.*")
+        for seen in levels[-2:]:
+            found = found.join(seen.select("id"), "id", "left_anti")
+        found = in_order(found, ["from_seq", "rank", "id"], "seq").select("id", "parent", "seq")
+        if found.isEmpty():
+            return levels
+        levels.append(found)
+
+
+def measured(levels: list[DataFrame]) -> DataFrame:
+    """id, parent, level, position, size, weight: sizes and leaves come up a level at a time, positions go down again."""
+    sized, below = [], None
+    for found in reversed(levels):
+        own = found.withColumns({"more": F.lit(None).cast("long"), "leaves": F.lit(None).cast("long"), "first": F.lit(None).cast("long")}) if below is None else found.join(below, "id", "left")
+        own = cut_lineage(own.select("id", "parent", "seq", (1 + F.coalesce("more", F.lit(0))).alias("size"), F.coalesce("leaves", F.lit(1)).alias("weight"), "first"))
+        own = cut_lineage(running_sums(own, [], "seq", "size", "sum").drop("seq"))
+        below = own.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("more"), F.sum("weight").alias("leaves"), F.min("sum").alias("first"))
+        sized.append(own)
+    placed = [cut_lineage(sized[-1].select("id", "parent", F.lit(0).alias("level"), F.lit(0).cast("long").alias("position"), "size", "weight", "first"))]
+    for level, own in enumerate(reversed(sized[:-1]), 1):
+        up = placed[-1].select(F.col("id").alias("parent"), F.col("position").alias("up"), F.col("first").alias("from"))
+        placed.append(cut_lineage(own.join(up, "parent").select("id", "parent", F.lit(level).alias("level"), (F.col("up") + 1 + F.col("sum") - F.col("from")).alias("position"), "size", "weight", "first")))
+    return reduce(DataFrame.unionByName, placed).drop("first")
+
+
+def tree(graph: Stored | Numbered, starts: DataFrame) -> DataFrame:
+    """standard_uid, node_uid, parent, level, position, size, weight of all nodes, as a tree from each space's start.
 
     Edges count in both directions; a node's neighbors come by ``neighbor_priority``, label and uid.
     ``position`` numbers the pre-order from 0; ``weight`` is the number of leaves below, 1 for a leaf.
     Nodes that can't be reached come last, by label and uid, one level each below the deepest, without
     parent, size and weight.  In a space without a start all nodes have level 0 and come by uid.
     """
-    nodes = graph.nodes
-    starts = starts.select(*KEY).join(nodes.select(*KEY, "chunks"), KEY)
-    priority = neighbor_priority(F.col("edge_type"), F.col("direction") == "out", F.col("other_type"))
-    found = cut_lineage(discover(graph, starts, [priority, F.col("other_label")]))
-    sizes, hops = doubled(found)
-    numbered = running_sums(found.join(sizes, KEY), [SPACE], "seq", "size", "sum")
-    first = numbered.groupBy(SPACE, "parent").agg(F.min("sum").alias("first"))
-    step = F.when(F.col("parent").isNull(), 0).otherwise(1 + F.col("sum") - F.col("first"))
-    numbered = cut_lineage(numbered.join(first.where("parent IS NOT NULL"), [SPACE, "parent"], "left").withColumn("step", step).drop("sum", "first"))
-    steps = numbered.select(*KEY, F.col("step").alias("position"))
-    for up in hops:
-        above = up.join(steps.select(SPACE, F.col(NODE).alias("up"), F.col("position").alias("more")), [SPACE, "up"]).select(*KEY, "more")
-        steps = cut_lineage(steps.join(above, KEY, "left").select(*KEY, (F.col("position") + F.coalesce("more", F.lit(0))).alias("position")))
-    reached = numbered.drop("step").join(steps, KEY)
-    ends = found.groupBy(SPACE).agg(F.max("level").alias("deepest"), F.count("*").alias("count"))
-    left = nodes.select(*KEY, node_label().alias("label")).join(found.select(*KEY), KEY, "left_anti").join(ends, SPACE, "left")
+    graph = graph if isinstance(graph, Numbered) else number(graph.nodes, graph.edges, neighbor_priority)
+    found = measured(discovered(graph, graph.numbers(starts)))
+    found = graph.named(found, "parent", F.col(NODE).alias("parent_uid"), how="left").withColumnRenamed("parent_uid", "parent")
+    reached = cut_lineage(found.join(graph.ids.select("id", *KEY), "id").select("id", *KEY, "parent", "level", "position", "size", "weight"))
+    ends = reached.groupBy(SPACE).agg(F.max("level").alias("deepest"), F.count("*").alias("count"))
+    left = graph.ids.select("id", *KEY, "label").join(reached.select("id"), "id", "left_anti").drop("id").join(ends, SPACE, "left")
     left = group_ranks(left.withColumn("label", F.when(F.col("count").isNotNull(), F.col("label")).otherwise("")), [SPACE], ["label", NODE])
     none = F.lit(None)
     rest = left.select(
-        *KEY, none.cast("string").alias("parent"), F.coalesce(F.col("deepest") + F.col("rank"), F.lit(0)).cast("int").alias("level"), (F.coalesce("count", F.lit(0)) + F.col("rank")).alias("seq"),
+        *KEY, none.cast("string").alias("parent"), F.coalesce(F.col("deepest") + F.col("rank"), F.lit(0)).cast("int").alias("level"),
         (F.coalesce("count", F.lit(0)) + F.col("rank") - 1).alias("position"), none.cast("long").alias("size"), none.cast("long").alias("weight"),
     )
     return reached.select(*rest.columns).unionByName(rest)
